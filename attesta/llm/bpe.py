@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +34,21 @@ LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 ABSENT = 1 << 40
 
 
+def _byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in a tokenizer's JSON: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
 @functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks by token, from a file of ranks or from a tokenizer's JSON whose merges are in the order of their ids."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        special, of = {t["content"] for t in whole.get("added_tokens", [])}, _byte_characters()
+        return {bytes(map(of.__getitem__, token)): i for token, i in whole["model"]["vocab"].items() if token not in special}
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 

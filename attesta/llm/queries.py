@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, neardup, quality, repeats, shards, topk
+from . import bpe, langid, licenses, media, neardup, packing, quality, repeats, shards, topk
 from .common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -15,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = langid.predict(docs.select("doc_id", "text"), docs)
@@ -85,5 +94,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk}
 ORACLES = {"op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
