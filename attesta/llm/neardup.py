@@ -178,3 +178,15 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     with_node = live.select("doc_id", "n", "node").join(own, "node").select("doc_id", "n", "component_id")
     alone = rows.where("node IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return with_node.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the row with its smallest id, of repeated rows one."""
+    told = materialise(classes(docs, percent, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")))
+    few = told.count() <= BROADCAST_ROWS
+    ids = told.select("__kept")
+    out = docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    if not told.where("__rows > 1 AND __kept IS NOT NULL").isEmpty():
+        out = out.withColumn("__key", F.sha2(F.col(text_col).cast("binary"), 256))
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"]).union(out.where(F.col(id_col).isNull())).drop("__key")
+    return out

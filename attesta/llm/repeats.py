@@ -230,3 +230,27 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept")).alias("kept"),
     )
     return rows.join(per_key, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept", "sha").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of its texts, and a column of their lengths in characters brought up to date.
+
+    A character that is cut in part goes whole. Null texts stay null; all rows stay.
+    """
+    _, first, found = spans(docs, length, id_col=id_col, text_col=text_col)
+    whole = first.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("key").alias("__key"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("__spans"))
+    cuts = found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).union(whole)
+    met = docs.withColumn("__key", text_key(F.coalesce(F.col(text_col), F.lit("")))).join(cuts, "__key", "left").select(*docs.columns, "__spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = []
+            for text, listed in zip(batch[text_col].to_pylist(), batch["__spans"].to_pylist(), strict=True):
+                texts.append(kept_bytes(text.encode(), _merged(listed)).decode("utf-8", "ignore") if text and listed else text)
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    out = met.mapInArrow(run, docs.schema)
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col else out

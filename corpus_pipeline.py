@@ -1,11 +1,58 @@
-"""A training-data pipeline over ``documents``, each stage one of the operators."""
+"""A training-data pipeline over ``documents``; each stage is one of the operators.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and handles all rows that the stage before kept. All but the last return the columns
+of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from attesta.llm import langid, neardup, packing, quality, repeats
+from attesta.llm.common import materialise, table
+from attesta.llm.queries import TOKENIZER
+from attesta.session import ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language can't be told go."""
+    ship(spark)
+    return langid.predict(docs).where(f"lang_pred <> '{langid.UNDETERMINED}'").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted to be of low quality go."""
+    return quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates stays."""
+    ship(spark)
+    return neardup.deduplicated(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere too are cut out of the texts; n_chars follows."""
+    ship(spark)
+    return repeats.without_repeats(docs, count_col="n_chars")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences."""
+    ship(spark)
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
+
+#: Language models, dictionaries and retrieval can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs
