@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The states of a region, in the order of the report.
-SEMANTIC = ["established", "ambiguous", "conflict", "not_evaluated"]
+SEMANTIC = ["established", "conflicting", "ambiguous", "not_established"]
 CANDIDATE = ["matching", "missing", "contradicting", "not_evaluated"]
 VERDICT = ["conformant_within_scope", "contradicted", "non_verifiable"]
 

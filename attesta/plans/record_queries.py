@@ -35,22 +35,22 @@ def d22_d25_cross_checks(spark, sf_dir):
     return T.regions(spark, sf_dir).groupBy("page").agg((F.count(F.lit(1)) == v[0] + v[1] + v[2]).alias("consistent"), (F.count("region_id") == F.count_distinct("region_id")).alias("unique_ids"))
 
 
-@query(f"""WITH {REGIONS_SQL}, c AS (SELECT page, count(*) FILTER (verdict = 'conformant_within_scope') AS a, count(*) FILTER (semantic = 'ambiguous') AS r, count(*) FILTER (semantic = 'conflict' AND candidate = 'missing') AS f FROM regions GROUP BY page)
+@query(f"""WITH {REGIONS_SQL}, c AS (SELECT page, count(*) FILTER (verdict = 'conformant_within_scope') AS a, count(*) FILTER (semantic = 'ambiguous') AS r, count(*) FILTER (semantic = 'conflicting' AND candidate = 'missing') AS f FROM regions GROUP BY page)
 SELECT page, a + r + f AS targets, CASE WHEN f > 3 THEN 'failed' WHEN a > 0 THEN 'corrected' WHEN r > 0 THEN 'rejected' ELSE 'not_required' END AS status FROM c""")
 def d21_d24_correction_status(spark, sf_dir):
     c = T.regions(spark, sf_dir).groupBy("page").agg(
         F.count_if(F.col("verdict") == "conformant_within_scope").alias("a"), F.count_if(F.col("semantic") == "ambiguous").alias("r"),
-        F.count_if((F.col("semantic") == "conflict") & (F.col("candidate") == "missing")).alias("f"),
+        F.count_if((F.col("semantic") == "conflicting") & (F.col("candidate") == "missing")).alias("f"),
     )
     return c.select("page", (F.col("a") + F.col("r") + F.col("f")).alias("targets"), metrics.correction_status(F.col("a"), F.col("r"), F.greatest(F.col("f") - 3, F.lit(0))).alias("status"))
 
 
-@query(f"""WITH {REGIONS_SQL}, c AS (SELECT page, avg(CASE WHEN verdict = 'contradicted' THEN 0.0 ELSE 1.0 END) AS recall, avg(CASE WHEN semantic = 'conflict' THEN 0.0 ELSE 1.0 END) AS coverage FROM regions WHERE page IS NOT NULL GROUP BY page),
+@query(f"""WITH {REGIONS_SQL}, c AS (SELECT page, avg(CASE WHEN verdict = 'contradicted' THEN 0.0 ELSE 1.0 END) AS recall, avg(CASE WHEN semantic = 'conflicting' THEN 0.0 ELSE 1.0 END) AS coverage FROM regions WHERE page IS NOT NULL GROUP BY page),
 g AS (SELECT bool_or(page % 3 = 0 AND page % 2 = 0) AS any_ok, bool_or(page % 3 = 0 AND page % 2 = 0 AND recall < 0.5) AS r, bool_or(page % 3 = 0 AND page % 2 = 0 AND coverage < 0.1) AS v FROM c)
 SELECT list_filter([CASE WHEN NOT coalesce(any_ok, false) THEN 'no_representative_corpus' END, CASE WHEN r THEN 'recall_below_threshold' END, CASE WHEN v THEN 'coverage_below_threshold' END], lambda x: x IS NOT NULL) AS reasons,
   coalesce(any_ok, false) AND NOT r AND NOT v AS passed FROM g""")
 def d19_d20_gate(spark, sf_dir):
-    c = T.regions(spark, sf_dir).where("page IS NOT NULL").groupBy("page").agg(F.avg(F.when(F.col("verdict") == "contradicted", 0.0).otherwise(1.0)).alias("recall"), F.avg(F.when(F.col("semantic") == "conflict", 0.0).otherwise(1.0)).alias("coverage"))
+    c = T.regions(spark, sf_dir).where("page IS NOT NULL").groupBy("page").agg(F.avg(F.when(F.col("verdict") == "contradicted", 0.0).otherwise(1.0)).alias("recall"), F.avg(F.when(F.col("semantic") == "conflicting", 0.0).otherwise(1.0)).alias("coverage"))
     c = c.withColumns({"exhaustive": F.col("page") % 3 == 0, "representative": F.col("page") % 2 == 0})
     return metrics.gate(c, {"recall": 0.5, "coverage": 0.1})
 

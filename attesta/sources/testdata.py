@@ -88,7 +88,7 @@ progress AS (
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region_id, page (null for some), semantic, candidate, verdict, from orders."""
     page = F.when(F.col("o_orderkey") % 37 != 0, F.col("o_custkey") % 50)
-    semantic = F.expr("CASE o_orderstatus WHEN 'F' THEN 'established' WHEN 'O' THEN 'ambiguous' ELSE 'conflict' END")
+    semantic = F.expr("CASE o_orderstatus WHEN 'F' THEN 'established' WHEN 'O' THEN 'ambiguous' ELSE 'conflicting' END")
     candidate = F.expr("CASE WHEN o_orderpriority LIKE '1%' THEN 'matching' WHEN o_orderpriority LIKE '2%' THEN 'missing' WHEN o_orderpriority LIKE '3%' THEN 'contradicting' ELSE 'not_evaluated' END")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("region_id"), page.alias("page"), semantic.alias("semantic"), candidate.alias("candidate"))
     verdict = F.when((F.col("semantic") == "established") & (F.col("candidate") == "matching"), "conformant_within_scope").when(F.col("candidate").isin("missing", "contradicting"), "contradicted").otherwise("non_verifiable")
@@ -101,7 +101,7 @@ regions AS (
     WHEN candidate IN ('missing', 'contradicting') THEN 'contradicted' ELSE 'non_verifiable' END AS verdict
   FROM (
     SELECT o_orderkey AS region_id, CASE WHEN o_orderkey % 37 <> 0 THEN o_custkey % 50 END AS page,
-      CASE o_orderstatus WHEN 'F' THEN 'established' WHEN 'O' THEN 'ambiguous' ELSE 'conflict' END AS semantic,
+      CASE o_orderstatus WHEN 'F' THEN 'established' WHEN 'O' THEN 'ambiguous' ELSE 'conflicting' END AS semantic,
       CASE WHEN o_orderpriority LIKE '1%' THEN 'matching' WHEN o_orderpriority LIKE '2%' THEN 'missing'
         WHEN o_orderpriority LIKE '3%' THEN 'contradicting' ELSE 'not_evaluated' END AS candidate
     FROM orders)
