@@ -41,6 +41,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Languages, the 4-grams found in the sample, and how often each language has each."""
     rows = docs.where(in_training(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("draw")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    # Of a large language only rows with a low draw, twice as many as needed, go on to be ranked.
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return [], np.zeros(0, np.uint32), np.zeros((0, 0), np.int32)
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * SAMPLE_ROWS + 100) / n))) for lang, n in totals.items()])
+    rows = rows.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share)
     drawn = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("n") <= SAMPLE_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
