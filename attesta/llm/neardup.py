@@ -174,7 +174,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
         found = components(links.union(more))
     ids = nodes.select("node", "doc_id")
     least = found.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    own = ids.join(found.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Written out, so that the join with all rows stands alone and Spark can split the task of a node with very many rows.
+    own = materialise(ids.join(found.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
     with_node = live.select("doc_id", "n", "node").join(own, "node").select("doc_id", "n", "component_id")
     alone = rows.where("node IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return with_node.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
