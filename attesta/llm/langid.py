@@ -27,6 +27,8 @@ SAMPLE_BYTES = 65_536
 #: Contexts that are compiled: the most frequent ones with so many symbols, up to a number for each length.
 MIN_COUNT = 6
 MAX_CONTEXTS = 6_000
+#: Bytes of the compiled table at most; with very many languages fewer contexts are compiled.
+TABLE_BYTES = 96 << 20
 UNDETERMINED = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -71,6 +73,7 @@ class Model:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
         symbols, langs = (grams & 255).astype(np.int64), counts.shape[1]
+        most = max(1, min(MAX_CONTEXTS, TABLE_BYTES // (ORDER * 256 * 4 * langs)))
         self.table = np.zeros((256, 256, 256), np.uint16)  # the last three bytes -> the longest known context
         dists = [self._level(np.zeros(len(grams), np.int64), symbols, counts, np.full((1, 256, langs), 1 / 256))]
         known = 1
@@ -79,7 +82,7 @@ class Model:
             keys, at = np.unique(contexts, return_inverse=True)
             total = np.zeros(len(keys))
             np.add.at(total, at, counts.sum(1))
-            keep = np.argsort(-total, kind="stable")[:MAX_CONTEXTS]
+            keep = np.argsort(-total, kind="stable")[:most]
             keep = keep[total[keep] >= MIN_COUNT]
             number = np.full(len(keys), -1)
             number[keep] = np.arange(len(keep))
