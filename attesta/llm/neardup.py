@@ -162,6 +162,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     nodes = materialise(live.groupBy("node").agg(first.alias("r")).select("node", "r.*"))
     banded = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", F.col("head.node").alias("head"))
+    heads = materialise(heads)
     shared = materialise(banded.join(heads, ["band", "key"]).select("band", "key", "node", "doc_id", "head"))
     sets = materialise(full_sets(base, shared.select("node", "doc_id").distinct()).dropDuplicates(["node"]))
     star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("fa"), F.col("head").alias("fb")).distinct()
