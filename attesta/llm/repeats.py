@@ -160,7 +160,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     anchors = materialise(_anchors(long_texts.select("key", "text"), length, gram))
     place = F.struct("key", "at")
     met = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    met = met.select("anchor", F.ceil(F.col("n") / TASK_REGIONS).cast("int").alias("parts"))
+    # Written out: only then does the join have plain shuffles on both sides, whose large tasks Spark splits.
+    met = materialise(met.select("anchor", F.ceil(F.col("n") / TASK_REGIONS).cast("int").alias("parts")))
     marked = anchors.join(met, "anchor").groupBy("key", "at").agg(F.first(F.struct("anchor", "lo", "hi", "parts")).alias("a"))
     listed = materialise(marked.groupBy("key").agg(F.collect_list("a").alias("anchors")).join(first.select("key", "doc_id"), "key"))
 
@@ -229,7 +230,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept")).alias("kept"),
     )
-    return rows.join(per_key, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept", "sha").alias("kept_sha256"))
+    return rows.join(materialise(per_key), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
