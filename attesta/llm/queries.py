@@ -55,6 +55,51 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def _op2_sql() -> str:
+    templates = [*licenses.BASE, *licenses.TEMPLATES]
+    rows = []
+    for number, (phrase, label) in enumerate(templates):
+        words = phrase.split()
+        rows += [f"('{words[i]}', '{words[i + 1]}', '{words[i + 2]}', {number}, {i}, {len(words) - 2}, '{label}', {number < len(licenses.BASE)})" for i in range(len(words) - 2)]
+    return f"""
+WITH t(t0, t1, t2, template, place, runs, label, base) AS (VALUES {", ".join(rows)}),
+w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses._UPPER}', '{licenses._LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents
+), g AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM w),
+h AS (SELECT rid, p - 1 - place AS diagonal, template, place, runs, label, base FROM g JOIN t ON ws[p] = t0 AND ws[p + 1] = t1 AND ws[p + 2] = t2),
+v AS (SELECT rid, template, diagonal, runs, label, base, list(DISTINCT place) AS places FROM h GROUP BY ALL),
+a AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER d IS NULL OR diagonal - lag(diagonal) OVER d > {licenses.APART} THEN 1 ELSE 0 END AS fresh FROM v WINDOW d AS (PARTITION BY rid, template ORDER BY diagonal)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM a),
+s AS (SELECT rid, template, runs, label, base, min(diagonal) AS start, len(list_distinct(flatten(list(places)))) / CAST(runs AS DOUBLE) AS share FROM n GROUP BY rid, template, runs, label, base, span),
+c AS (SELECT *, CASE WHEN base THEN share = 1 ELSE share >= {licenses.COVERED} END AS counts FROM s),
+o AS (
+  SELECT rid, count(*) FILTER (base AND counts) AS n_base, min(start) FILTER (base AND counts) AS first_word, max(start) FILTER (base AND counts) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND counts) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts) AS labels, max(share) FILTER (counts) AS score
+  FROM c GROUP BY rid
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN o USING (rid)
+"""
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT rid, i, md5(b[i : i + 399]) AS m FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS n FROM h) WHERE n > 1),
+l AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM l),
+s AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY rid, k),
+e AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS x, a - 1 AS y FROM s
+  UNION ALL SELECT d.rid, coalesce(max(z), 1), octet_length(any_value(b)) FROM d LEFT JOIN s ON s.rid = d.rid GROUP BY d.rid
+), k AS (SELECT rid, string_agg(CASE WHEN y >= x THEN hex(b[x : y]) ELSE '' END, '' ORDER BY x) AS kept FROM e JOIN d USING (rid) GROUP BY rid),
+c AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -95,4 +140,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk}
-ORACLES = {"op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
+ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": OP4_SQL, "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
