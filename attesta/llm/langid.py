@@ -26,7 +26,7 @@ SAMPLE_ROWS = 600
 SAMPLE_BYTES = 65_536
 #: Contexts that are compiled: the most frequent ones with so many symbols, up to a number for each length.
 MIN_COUNT = 6
-MAX_CONTEXTS = 6_000
+MAX_CONTEXTS = 4_000
 #: Bytes of the compiled table at most; with very many languages fewer contexts are compiled.
 TABLE_BYTES = 96 << 20
 UNDETERMINED = "und"
@@ -71,53 +71,62 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 class Model:
     """Code lengths in bits, by context and byte, of each language."""
 
+    #: Contexts whose distributions are worked out at once.
+    STEP = 256
+
     def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
         symbols, langs = (grams & 255).astype(np.int64), counts.shape[1]
         most = max(1, min(MAX_CONTEXTS, TABLE_BYTES // (ORDER * 256 * 4 * langs)))
         self.table = np.zeros((256, 256, 256), np.uint16)  # the last three bytes -> the longest known context
-        dists = [self._level(np.zeros(len(grams), np.int64), symbols, counts, np.full((1, 256, langs), 1 / 256))]
+        # Which contexts are known, by length; each is numbered after those of the lengths before.
+        levels = []
         known = 1
         for order in range(1, ORDER + 1):
             contexts = (grams.astype(np.int64) >> 8) & ((1 << 8 * order) - 1)
             keys, at = np.unique(contexts, return_inverse=True)
-            total = np.zeros(len(keys))
-            np.add.at(total, at, counts.sum(1))
-            keep = np.argsort(-total, kind="stable")[:most]
+            total = np.bincount(at, counts.sum(1), len(keys))
+            keep = np.sort(np.argsort(-total, kind="stable")[:most])
             keep = keep[total[keep] >= MIN_COUNT]
             number = np.full(len(keys), -1)
             number[keep] = np.arange(len(keep))
-            use = number[at] >= 0
-            if order == 1:
-                parents = np.zeros(len(keep), np.int64)
-            elif order == 2:
-                parents = self.table[0, 0, keys[keep] & 255]
-            else:
-                parents = self._known2[(keys[keep] >> 8) & 255, keys[keep] & 255]
-            dists.append(self._level(number[at][use], symbols[use], counts[use], np.concatenate(dists)[parents]))
-            ids = known + np.arange(len(keep))
+            levels.append((keys[keep], number[at]))
+            known += len(keep)
+        self.bits = np.zeros((known, 256, langs), np.float32)  # distributions first, turned into bits at the end
+        self._level(0, np.zeros(len(grams), np.int64), symbols, counts, np.full(1, -1))
+        base = 1
+        for order, (keys, number) in enumerate(levels, 1):
+            a, b, c = keys >> 16, (keys >> 8) & 255, keys & 255
+            parents = np.zeros(len(keys), np.int64) if order == 1 else self.table[0, 0, c].astype(np.int64) if order == 2 else known2[b, c].astype(np.int64)
+            self._level(base, number, symbols, counts, parents)
+            ids = base + np.arange(len(keys))
             if order == 1:
-                self.table[:, :, keys[keep]] = ids
+                self.table[:, :, c] = ids
             elif order == 2:
-                self.table[:, keys[keep] >> 8, keys[keep] & 255] = ids
-                self._known2 = self.table[0].copy()
+                self.table[:, b, c] = ids
+                known2 = self.table[0].copy()
             else:
-                self.table[keys[keep] >> 16, (keys[keep] >> 8) & 255, keys[keep] & 255] = ids
-            known += len(keep)
-        self.table = self.table.reshape(-1)
-        self.bits = -np.log2(np.concatenate(dists)).astype(np.float32).reshape(-1, langs)
-
-    @staticmethod
-    def _level(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Distributions of the contexts of one length, from those of their next shorter ones."""
-        seen = np.zeros(shorter.shape)
-        np.add.at(seen, (context, symbol), counts)
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        rest = np.where(seen > 0, 0, shorter)
-        left = rest.sum(1, keepdims=True)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        escape = np.where(left > 0, escape, 0)
-        share = np.where(left > 0, seen / np.maximum(total + kinds, 1), seen / np.maximum(total, 1))
-        return share + escape * rest / np.maximum(left, 1e-300)
+                self.table[a, b, c] = ids
+            base += len(keys)
+        np.log2(self.bits, out=self.bits)
+        np.negative(self.bits, out=self.bits)
+        self.table, self.bits = self.table.reshape(-1), self.bits.reshape(-1, langs)
+
+    def _level(self, base: int, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, parents: np.ndarray) -> None:
+        """Distributions of the contexts of one length, numbered from ``base``, from those of their next shorter ones."""
+        order = np.argsort(context, kind="stable")
+        bounds = np.searchsorted(context[order], np.arange(0, len(parents) + self.STEP, self.STEP))
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            part = parents[i * self.STEP : (i + 1) * self.STEP]
+            rows = order[lo:hi]
+            seen = np.zeros((len(part), 256, counts.shape[1]))
+            np.add.at(seen, (context[rows] - i * self.STEP, symbol[rows]), counts[rows])
+            shorter = np.full(seen.shape, 1 / 256) if base == 0 else self.bits[part].astype(np.float64)
+            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+            rest = np.where(seen > 0, 0, shorter)
+            left = rest.sum(1, keepdims=True)
+            escape = np.where(left > 0, np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0), 0)
+            share = np.where(left > 0, seen / np.maximum(total + kinds, 1), seen / np.maximum(total, 1))
+            self.bits[base + i * self.STEP : base + i * self.STEP + len(part)] = share + escape * rest / np.maximum(left, 1e-300)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """The code length of each text in each language."""
