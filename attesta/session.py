@@ -13,10 +13,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default: texts may be long, and a worker holds a batch whole.
+BATCH_ROWS, _DEFAULT, _KEY = "2048", "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, once for each application: their Python need not find the repository."""
+    if spark.conf.get(_KEY, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_KEY, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root, held = Path(__file__).resolve().parent, io.BytesIO()
