@@ -116,3 +116,49 @@ def test_protocol_steps():
     assert run(event(type="artifact", name="a", sequence=0, bytes=6), event(type="artifact", name="b", sequence=0, bytes=6)) == [None, "artifact_budget_exceeded"]
     assert run(event(type="result"), event()) == [None, "event_after_terminal"]
     assert run(event(type="odd")) == ["event_type_unknown"]
+
+
+def test_loci():
+    from attesta.functions import locus
+
+    latex_ = r"a \frac{x+1}{\mathbf{w}_{i}} b"
+    at = latex_.index("w")
+    assert latex_[slice(*locus.expanded(latex_, at, at + 1))] == r"\mathbf{w}_{i}"
+    at = latex_.index("frac") + 2
+    assert latex_[slice(*locus.expanded(latex_, at, at + 1))] == r"\frac{x+1}{\mathbf{w}_{i}}"
+    assert locus.expanded("see $x$ now", 5, 6) == (4, 7)
+    assert locus.expanded(r"\left( x \right) y", 0, 9)[1] >= len(r"\left( x \right)")
+    text = r"y = x_i^2 + 1"
+    assert text[slice(*locus.locus(text, 4, 6, list("xi2"), ["x", "<sub>", "i", "</sub>", "<sup>", "2", "</sup>"]))].strip() == "x_i^2"
+    assert locus.locus(text, 0, 3, ["q"], ["q"]) is None
+    mark = locus.marker("has ATTESTA0X in it")
+    assert mark == "ATTESTA1X" and locus.with_markers("abcdef", [(0, 1), (3, 5)], mark) == f"{mark}0Zbc{mark}1Zf"
+
+
+def test_mathml():
+    from attesta.functions import mathml
+
+    got = mathml.published("<math><msub><mo>max</mo><mi>x</mi></msub><mo>|</mo><mo>|</mo><mi>&amp;</mi><mtext>if $y$ holds</mtext></math>", r"\max_x")
+    assert "<munder>" in got and 'rspace="0"' in got and "<mi>&amp;</mi>" not in got and "<mi>y</mi>" in got and '<annotation encoding="application/x-tex">\\max_x</annotation>' in got
+    assert mathml.published("<math>", "") is None
+    held, n = mathml.with_sentinels(r"a \& b")
+    assert n == 1 and mathml.restored(held, 1) == "a &amp; b" and mathml.restored(held, 2) is None
+    assert mathml.located("<math><mi>x</mi></math>", {"data-id": "r1"}) == '<math data-id="r1"><mi>x</mi></math>'
+    assert mathml.located("<p>no</p>", {"a": "b"}) is None
+
+
+def test_relations():
+    from attesta.operators import relations
+
+    top, bottom, left = glyph(1, "a", 20, 8.0), glyph(2, "b", 20, 24.0), glyph(0, "y", 0, 16.0)
+    rule = {"x0": 19.5, "x1": 25.5, "y": 11.0, "width": 0.5}
+    want = ["<fraction>", "<numerator>", "a", "</numerator>", "<denominator>", "b", "</denominator>", "</fraction>"]
+    assert relations.expression([left, top, bottom], [rule]) == (["y", *want], None)
+    assert relations.expression([top], [rule]) == (None, "source_fraction_rule_ambiguous")
+    assert relations.expression([top, bottom], [rule | {"x0": 23.0}])[1] == "source_fraction_rule_too_short"
+    root = glyph(0, "√", 0)
+    under = {"x0": 5.0, "x1": 11.5, "y": 0.0, "width": 0.5}
+    assert relations.expression([root, glyph(1, "x", 6), glyph(2, "y", 20)], [under]) == (["√", "<radicand>", "x", "</radicand>", "y"], None)
+    assert relations.expression([root, glyph(1, "x", 6)], [])[1] == "source_radical_rule_missing"
+    total = glyph(0, "∑", 0, name="summationdisplay")
+    assert relations.expression([total, glyph(1, "i", 0, 17.0, 6.0), glyph(2, "n", 0, -1.0, 6.0), glyph(3, "x", 10)], []) == (["∑", "<sub>", "i", "</sub>", "<sup>", "n", "</sup>", "x"], None)
