@@ -91,7 +91,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (columns a, b, fa, fb) that are links. fa, fb: the family of each end, by which nodes are blocked."""
     block = lambda f, x: F.concat_ws("/", f, F.pmod(F.xxhash64(x), F.lit(BLOCKS)).cast("string"))
-    placed = pairs.select("a", "b", F.concat_ws("|", block(F.col("fa"), F.col("a")), block(F.col("fb"), F.col("b"))).alias("at")).distinct()
+    placed = materialise(pairs.select("a", "b", F.concat_ws("|", block(F.col("fa"), F.col("a")), block(F.col("fb"), F.col("b"))).alias("at")).distinct())
     asked = placed.groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     needed = placed.select("at", F.col("a").alias("node")).union(placed.select("at", F.col("b").alias("node"))).distinct()
     held = needed.join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "elements")).alias("sets"))
