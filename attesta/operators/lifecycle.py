@@ -52,7 +52,7 @@ def adopt(records: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """
     stale = records.where((F.col("status") == "staging") & (F.col("updated_at") <= now - F.expr(STALE)))
     keyed = jobs.groupBy("job_key").agg(F.min("job_id").alias("__keyed"))
-    named = jobs.withColumn("__named", F.regexp_extract("arguments", r'/(\d+)"', 1)).where("__named <> ''").groupBy(F.col("__named").cast("long").alias("__named")).agg(F.min("job_id").alias("__first"))
+    named = jobs.withColumn("__named", F.regexp_extract("arguments", r'/(\d+)"', 1)).where("__named <> ''").groupBy(F.col("__named").try_cast("long").alias("__named")).agg(F.min("job_id").alias("__first"))
     met = stale.join(keyed, "job_key", "left").join(named, stale["id"] == named["__named"], "left")
     job = F.coalesce("__keyed", "__first")
     return met.select("id", F.when(job.isNotNull(), "adopt").otherwise("fail").alias("action"), job.alias("job_id"))
@@ -84,3 +84,12 @@ def processing_status(attempt: Column, qualification: Column, verdict: Column) -
         .when(qualification.isNull(), "converted").when(qualification == "queued", "qualification_queued").when(qualification == "running", "qualification_running")
         .when(qualification == "failed", "qualification_failed").when(verdict == "conformant_within_scope", "qualified").otherwise("qualified_with_findings")
     )
+
+
+def reconciled(records: DataFrame, jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """id, action of every record that a pass changes; the passes go in order, and the first one to hold decides."""
+    failed = failed_while_active(records, failures).select("id", F.lit("failed_execution").alias("action"))
+    lost = orphaned(records, jobs, now).select("id", F.lit("orphaned").alias("action"))
+    adopted = adopt(records, jobs, now).select("id", "action")
+    ranked = failed.withColumn("rank", F.lit(1)).unionByName(lost.withColumn("rank", F.lit(2))).unionByName(adopted.withColumn("rank", F.lit(3)))
+    return ranked.groupBy("id").agg(F.min_by("action", "rank").alias("action"))
