@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -25,10 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Remove what was written, when the driver ends: results are read from it until then."""
+    for spark, path in _written:
+        try:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        except Exception:  # the session is gone already; the folder's owner has to clear it
+            return
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it cuts the lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/attesta-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
