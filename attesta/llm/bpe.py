@@ -27,7 +27,7 @@ from .common import RangeHash, mixed, slices, texts_of
 
 #: Encodings that a worker keeps: words, and pieces of words. Either store is emptied when it is full.
 KEPT_WORDS = 600_000
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 #: Tokens of a leaf of the decoding tree.
 LEAF = 4096
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
@@ -186,12 +186,6 @@ class Words:
         self.hashes = RangeHash(points, _point_keys()).of(self.starts, self.ends)
         self.doc_words = np.searchsorted(self.starts, self.doc_starts)
 
-    def distinct(self) -> tuple[list[int], list[str], np.ndarray]:
-        """Hash and text of each different word, and the number of the different word that each word is."""
-        hashes, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
-        text = self.text
-        return hashes.tolist(), [text[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)], which
-
 
 def decode(ids: list[int], tokens: list[bytes]) -> bytes:
     """Concatenate the tokens of leaves, then neighbours, up a tree."""
@@ -210,31 +204,59 @@ def _tokens(path: str) -> list[bytes]:
     return out
 
 
-_words: dict[str, dict[int, tuple[int, ...]]] = {}
+class Kept:
+    """Encodings of words by hash: sorted hashes, and ids laid end to end. A word takes some 30 bytes."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.starts, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, coded: list[tuple[int, ...]]) -> None:
+        """Put in words that aren't there, by rising hash."""
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        both = np.concatenate((self.hashes, hashes))
+        order = np.argsort(both, kind="stable")
+        sizes = np.concatenate((np.diff(self.starts), lengths))
+        firsts = np.cumsum(sizes) - sizes
+        flat = np.concatenate((self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum()))))
+        self.hashes = both[order]
+        self.ids = flat[spread(firsts[order], sizes[order])]
+        self.starts = np.concatenate(([0], np.cumsum(sizes[order])))
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[list[int]]:
+def spread(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places firsts[i], firsts[i] + 1, ... of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - (ends - lengths), lengths)
+
+
+_kept: dict[str, Kept] = {}
+
+
+def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    kept, enc = _words.setdefault(path, {}), encoder(path)
+    kept, enc = _kept.setdefault(path, Kept()), encoder(path)
     for a, b in slices([len(t) for t in texts]):
         words = Words(texts[a:b])
-        hashes, forms, which = words.distinct()
-        if len(kept) + len(hashes) > KEPT_WORDS:
+        hashes, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(kept.hashes) + len(hashes) > KEPT_WORDS:
             kept.clear()
-        coded = []
-        for h, form in zip(hashes, forms, strict=True):
-            ids = kept.get(h)
-            if ids is None:
-                ids = kept[h] = enc.ids(form.encode())
-            coded.append(ids)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum()))
-        firsts = np.cumsum(lengths) - lengths
-        of = lengths[which]
-        ends = np.cumsum(of)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts[which] - (ends - of), of)
-        out = flat[at]
-        bounds = np.concatenate(([0], ends))[words.doc_words]
+        new = np.flatnonzero(~kept.find(hashes)[1])
+        if len(new):
+            text, at = words.text, first[new]
+            kept.add(hashes[new], [enc.ids(text[x:y].encode()) for x, y in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+        at = kept.find(hashes)[0][which]
+        lengths = np.diff(kept.starts)[at]
+        out = kept.ids[spread(kept.starts[at], lengths)]
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[words.doc_words]
         for i in range(b - a):
             yield out[bounds[i] : bounds[i + 1]]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,16 @@ from ..session import ship
 CHUNK = 1_000_000
 
 
+def _return_memory() -> None:
+    """Have the C library give large freed blocks back at once: a Python worker lives on from stage to stage."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of glibc; setting it also stops it from growing
+
+
+_return_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
