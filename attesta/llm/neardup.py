@@ -110,10 +110,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 BLOCKS = 8192
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
+def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a, b, fa, fb) of different components that share a bucket."""
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks"))
-    dealt = members.join(sizes, ["band", "key"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    # Sketches join only the members of buckets that still hold several components.
+    sizes = told.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks"))
+    open_members = told.join(materialise(sizes), ["band", "key"]).join(nodes.select("node", "n", "marks", "bands"), "node")
+    dealt = open_members.withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
     one = F.struct("node", "label", "n", "marks", "bands")
     chunks = dealt.groupBy("band", "key", "chunks", "i").agg(F.collect_list(one).alias("rows"))
     met = chunks.select("band", "key", "rows", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
@@ -168,9 +170,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("fa"), F.col("head").alias("fb")).distinct()
     links = materialise(verify(star, sets, percent))
     found = components(links)
-    told = shared.select("band", "key", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = told.join(nodes.select("node", "n", "marks", "bands"), "node")
-    more = materialise(verify(_across(members, percent), sets, percent))
+    told = materialise(shared.select("band", "key", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    more = materialise(verify(_across(told, nodes, percent), sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
     ids = nodes.select("node", "doc_id")
