@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Characters of text that a worker handles in one vectorised step.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 
 def _return_memory() -> None:
     """Have the C library give large freed blocks back at once: a Python worker lives on from stage to stage."""
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt:
-        mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of glibc; setting it also stops it from growing
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc; setting it also stops it from growing
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 _return_memory()
@@ -112,7 +113,7 @@ class RangeHash:
     @classmethod
     def _grow(cls, n: int) -> None:
         if len(cls._powers) < n:
-            n = max(n, 2 * len(cls._powers))
+            n += n // 8
             for name, base in (("_powers", cls.BASE), ("_inverse", pow(cls.BASE, -1, 1 << 64))):
                 powers = np.full(n, base, np.uint64)
                 powers[0] = 1

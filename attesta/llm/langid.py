@@ -10,7 +10,6 @@ is the sum over all its bytes; the shortest wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +140,6 @@ class Model:
         return out
 
 
-@lru_cache(maxsize=2)
-def _compiled(grams: bytes, counts: bytes, langs: int) -> Model:
-    return Model(np.frombuffer(grams, np.uint32), np.frombuffer(counts, np.int32).reshape(-1, langs))
-
-
 def predict(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Append ``held_out, lang_pred, score`` to the rows of ``docs``; columns of these names are replaced.
 
@@ -156,16 +150,16 @@ def predict(docs: DataFrame, training: DataFrame | None = None, id_col: str = "d
     out; repeated rows stay; an empty table gives no rows.
     """
     langs, grams, counts = train(docs if training is None else training, id_col, text_col, lang_col)
-    packed = (grams.tobytes(), counts.tobytes(), len(langs))
     names = ["held_out", "lang_pred", "score"]
     base = docs.drop("lang_pred", "score").withColumn("held_out", F.coalesce(~in_training(F.col(id_col)), F.lit(False)))
     base = base.select(*[c for c in base.columns if c != "held_out"], "held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(grams, counts) if langs else None  # in each task anew: a worker that lives on keeps nothing
         for batch in batches:
             texts = texts_of(batch[text_col])
             if langs:
-                bits = _compiled(*packed).lengths([t.encode() for t in texts])
+                bits = model.lengths([t.encode() for t in texts])
                 best = bits.argmin(1) if len(bits) else np.zeros(0, int)
                 scores = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) if len(bits) else bits
             told = [bool(langs) and _letter.search(t) is not None for t in texts]
