@@ -6,7 +6,10 @@ of ``docs``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta.llm import langid, neardup, packing, quality, repeats
 from attesta.llm.common import materialise, table
@@ -14,15 +17,27 @@ from attesta.llm.queries import TOKENIZER
 from attesta.session import ship
 
 
+#: Columns that the classifying operators append; columns of the input by these names step aside meanwhile.
+_APPENDED = ("held_out", "lang_pred", "score", "predicted")
+
+
+def _filtered(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` holds for after ``judge``, with their own columns."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c in _APPENDED}
+    told = judge(docs.withColumnsRenamed(aside)).where(keep)
+    return told.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can't be told go."""
     ship(spark)
-    return langid.predict(docs).where(f"lang_pred <> '{langid.UNDETERMINED}'").select(*docs.columns)
+    return _filtered(docs, langid.predict, f"lang_pred <> '{langid.UNDETERMINED}'")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows predicted to be of low quality go."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return _filtered(docs, lambda rows: quality.score(rows, labels), "predicted = 1")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

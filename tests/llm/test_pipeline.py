@@ -42,3 +42,10 @@ def test_odd_and_empty(spark):
         for _, stage in pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema=stage(spark, docs, SF).schema)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_columns_of_the_input_step_aside(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "doc_id % 7 AS score", "'mine' AS lang_pred")
+    for stage in (pipeline.language_id, pipeline.quality_classifier):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.where("score <> doc_id % 7 OR lang_pred <> 'mine'").count() == 0
