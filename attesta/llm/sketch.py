@@ -67,13 +67,13 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The value of each bin for a set that isn't empty."""
     out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     done = 0
-    top = np.uint64(56)
+    top = np.uint64(53)  # 11 bits for the round: 1024 rounds, and what no round filled stays above them all
     while done < 2 * bins:
         # As many rounds at once as fill a few thousand cells.
         rounds = np.arange(done, min(2 * bins, done + max(1, 2 * bins // max(1, len(elements) // 2))), dtype=np.uint64)
         done = int(rounds[-1]) + 1
         hashed = mixed(elements[None, :] ^ mixed(rounds + np.uint64(SEED))[:, None])
-        value = (rounds[:, None] << top) | (hashed >> np.uint64(8))
+        value = (rounds[:, None] << top) | (hashed >> (np.uint64(64) - top))
         free = rounds < bins
         place = np.where(free[:, None], (hashed & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32), (rounds - np.uint64(bins))[:, None])
         np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())

@@ -170,6 +170,28 @@ def test_sketch_is_concentrated():
     assert (sketch.sketch(np.array([7], np.uint64)) < np.iinfo(np.uint64).max).all()  # one element fills every bin
 
 
+def test_sketches_of_neighbouring_sizes_agree():
+    r = np.random.default_rng(6)
+    for n in range(1, 41):
+        pairs = [np.unique(r.integers(0, 2**63, n + 1, np.uint64)) for _ in range(20)]
+        values = [(sketch.sketch(np.delete(x, r.integers(n + 1))), sketch.sketch(x)) for x in pairs]
+        assert abs(np.mean([a == b for a, b in values]) - n / (n + 1)) < 6 * (0.25 / sketch.BINS / 20) ** 0.5, n
+        assert all(neardup.linked(x[:-1], x) == (100 * n >= 85 * (n + 1)) for x in pairs)
+        if 100 * n >= 85 * (n + 1):
+            assert all((sketch.band_keys(a) == sketch.band_keys(b)).any() for a, b in values), n
+
+
+def test_short_near_duplicates(spark):
+    r = random.Random(7)
+    texts = []
+    for n in range(1, 41):
+        for _ in range(8):
+            words = [f"w{r.randrange(10**9)}" for _ in range(n + 5)]
+            texts += [" ".join(words[:-1]), " ".join(words)]
+    rows = list(enumerate(texts))
+    assert table(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_classes(rows)
+
+
 def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("x", "y"), ("z", "z"), ("c", "a"), (None, "q")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)]
     got = dict(components.components(spark.createDataFrame(edges, "a string, b string")).collect())
