@@ -27,8 +27,6 @@ from .components import components
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: The estimate under which a pair can't be a link, but for 5 standard deviations of a sketch of 512 bins.
-RULED_OUT = PERCENT / 100 - 5 * (0.85 * 0.15 / sketch.BINS) ** 0.5
 #: Members of a chunk of a bucket, and nodes of a block of sets.
 CHUNK_NODES = 256
 BLOCK_NODES = 128
@@ -40,24 +38,30 @@ def _digest(elements: np.ndarray) -> str:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).hexdigest()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def ruled_out(percent: int) -> float:
+    """The estimate under which a pair can't be a link, but for 5 standard deviations of a sketch of 512 bins."""
+    share = percent / 100
+    return share - 5 * (share * (1 - share) / sketch.BINS) ** 0.5
+
+
+def sketches(docs: DataFrame, bands: int = sketch.BANDS) -> DataFrame:
     """doc_id, n, node, bands, marks of each row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = [t.encode() for t in texts_of(batch["text"])], batch["doc_id"]
             for a, b in slices([len(t) for t in texts]):
-                sizes, nodes, bands, kept = [], [], [], []
+                sizes, nodes, keys, kept = [], [], [], []
                 for elements in sketch.shingle_sets(texts[a:b]):
                     sizes.append(len(elements))
                     if not len(elements):
-                        nodes.append(None), bands.append(None), kept.append(None)
+                        nodes.append(None), keys.append(None), kept.append(None)
                         continue
                     values = sketch.sketch(elements)
                     nodes.append(_digest(elements))
-                    bands.append(sketch.band_keys(values))
+                    keys.append(sketch.band_keys(values, bands))
                     kept.append(sketch.marks(values))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n", "node", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n", "node", "bands", "marks"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node string, bands array<long>, marks binary")
 
@@ -139,7 +143,7 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     if not len(at):
                         continue
                     same = (marks[at] == marks[i]).mean(1)
-                    at = at[(same - 1 / 256) / (1 - 1 / 256) >= RULED_OUT - (PERCENT - percent) / 100]
+                    at = at[(same - 1 / 256) / (1 - 1 / 256) >= ruled_out(percent)]
                     # A pair that shares several bands is told in the first of them.
                     at = at[(bands[at] == bands[i]).argmax(1) == band]
                     out += [(rows[i][1], rows[k][1], rows[i][0], rows[k][0]) for k in at.tolist()]
@@ -148,7 +152,7 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("band", "x", "y", "sides").mapInArrow(run, "a string, b string, fa string, fb string")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = sketch.BANDS) -> DataFrame:
     """Return doc_id, n_shingles, component_id, kept for each row.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case; a text of fewer than five words is
@@ -157,7 +161,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     id stands alone, kept, its component null; an empty table gives no rows; other columns are left out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(sketches(base))
+    rows = materialise(sketches(base, bands))
     live = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     # The first row of each node stands for it.
     first = F.min(F.struct("doc_id", "n", "bands", "marks"))
@@ -183,9 +187,9 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     return with_node.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = sketch.BANDS) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with its smallest id, of repeated rows one."""
-    told = materialise(classes(docs, percent, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")))
+    told = materialise(classes(docs, percent, id_col, text_col, bands).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")))
     few = told.count() <= BROADCAST_ROWS
     ids = told.select("__kept")
     out = docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")

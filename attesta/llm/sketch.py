@@ -82,11 +82,11 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band."""
     with np.errstate(over="ignore"):
-        folded = (values[: BANDS * BAND].reshape(BANDS, BAND) * _MULTIPLIERS[None, :BAND]).sum(1, dtype=np.uint64)
-    return mixed(folded + np.arange(BANDS, dtype=np.uint64) * np.uint64(SEED)).astype(np.int64)
+        folded = (values[: bands * BAND].reshape(bands, BAND) * _MULTIPLIERS[None, :BAND]).sum(1, dtype=np.uint64)
+    return mixed(folded + np.arange(bands, dtype=np.uint64) * np.uint64(SEED)).astype(np.int64)
 
 
 def marks(values: np.ndarray) -> bytes:

@@ -40,10 +40,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _filtered(docs, lambda rows: quality.score(rows, labels), "predicted = 1")
 
 
+#: A link of the stage, in percent. 24 bands of 4: sets at a similarity of 0.8 share no band with probability 3.2e-6.
+NEAR_PERCENT, NEAR_BANDS = 80, 24
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates stays."""
+    """One row of each class of near duplicates, from a similarity of 0.8, stays."""
     ship(spark)
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
+import random
+
 import corpus_pipeline as pipeline
 from attesta.llm import langid, neardup, quality, repeats
 
@@ -49,3 +51,14 @@ def test_columns_of_the_input_step_aside(spark):
     for stage in (pipeline.language_id, pipeline.quality_classifier):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.where("score <> doc_id % 7 OR lang_pred <> 'mine'").count() == 0
+
+
+def test_near_copies_of_a_similarity_of_080_go(spark):
+    r = random.Random(11)
+    rows = []
+    for i, n in enumerate(range(49, 66)):  # one word in the middle differs: a similarity of 0.80 to 0.85
+        words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    rows += [(100, " ".join(f"x{k}" for k in range(40))), (101, " ".join("other" if k == 20 else f"x{k}" for k in range(40)))]  # 0.76
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x[0] for x in pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()) == [*range(0, 34, 2), 100, 101]
