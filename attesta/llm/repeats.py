@@ -143,11 +143,13 @@ def _sorted_regions(regions: DataFrame, length: int) -> DataFrame:
 
 
 def _of_rows(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the rows that ``wanted`` (doc_id, key, ...) names; its ids go ahead as a filter where they are few."""
-    ids = wanted.select("doc_id", "key")
+    """Texts of the rows that ``wanted`` (doc_id, key, ...) names; null ids too; its ids go ahead as a filter where they are few."""
+    wanted = wanted.withColumnsRenamed({"doc_id": "__id", "key": "__wanted"})
+    ids = wanted.select("__id", "__wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__wanted"))
     few = ids.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(ids), ["doc_id", "key"], "left_semi") if few else base
-    return texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["key"])
+    texts = base.join(F.broadcast(ids), same, "left_semi") if few else base
+    return texts.join(wanted, same).drop("__id", "__wanted").dropDuplicates(["key"])
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:

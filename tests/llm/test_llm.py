@@ -234,6 +234,18 @@ def test_repeats(spark, odd, empty, monkeypatch, regions):
     assert repeats.removals(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_repeats_of_rows_without_an_id(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
+    r = random.Random(4)
+    shared, own = ["".join(r.choice("abcde ") for _ in range(500)) for _ in range(2)]
+    rows = [(None, "one " + shared), (None, "two " + own + " end"), (None, own), (1, shared + " with an id"), (2, "no repeat " * 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(repeats.removals(frame)) == brute_removals(rows, 400)
+    left = repeats.without_repeats(frame).collect()
+    assert sorted(x["text"] for x in left) == sorted(["one ", "two  end", "", " with an id", "no repeat " * 30])
+
+
 def test_texts_without_repeats(odd):
     got = repeats.without_repeats(odd, count_col="n")
     assert got.columns == odd.columns and got.count() == len(ODD)
