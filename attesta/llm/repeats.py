@@ -11,6 +11,9 @@
    the windows, which are counted where they stand before they move.
 
 Copies of a whole text are compared by its SHA-256 and go through all this once.
+
+Given a number of words, windows are so many words instead of bytes, anchors strings of 10 words, and a task compares
+its windows by 128-bit hashes in place of the sort: the suffix order doesn't keep windows of differing lengths together.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .suffixes import repeated_windows
 
 LENGTH = 400
 GRAM = 64
+#: Words of an anchor.
+WORD_GRAM = 10
 #: Bytes that are suffix-sorted at once, and regions of one anchor that go to one task.
 SORTED_BYTES = 400_000
 TASK_REGIONS = 512
@@ -49,6 +54,12 @@ def anchors_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
         return none, none, none, none
     width = length - gram + 1
     hashes = RangeHash(np.frombuffer(data, np.uint8), BYTE_KEYS).rolling(gram)
+    firsts, lasts, places = _least(hashes, width)
+    return hashes[places].astype(np.int64), places, firsts, lasts
+
+
+def _least(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last of the neighbouring ranges of ``width`` hashes that have one least hash, and its place."""
     # Ordered by half of the hash; of equal ones the last place counts, wherever the window stands in its text.
     ordered = (hashes & _HIGH) | np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(hashes), -1, dtype=np.int64).astype(np.uint64)
     span = 1
@@ -59,17 +70,45 @@ def anchors_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
         ordered = np.minimum(ordered[: len(ordered) - (width - span)], ordered[width - span :])
     firsts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     places = 0xFFFFFFFF - (ordered[firsts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return hashes[places].astype(np.int64), places, firsts, np.append(firsts[1:], len(ordered)) - 1
+    return firsts, np.append(firsts[1:], len(ordered)) - 1, places
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a run of bytes other than ASCII white space; each character from U+3000 on is one by itself."""
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    own = data >= 0xE3
+    # A continuation byte belongs to the last lead byte before it.
+    lead = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))
+    inside = own[lead] if len(data) else own
+    first = ~space & (np.concatenate(([True], space[:-1] | inside[:-1]))[: len(data)] | own)
+    first &= ~(inside & ~own)
+    starts = np.flatnonzero(first)
+    after = np.append(space | first, True)
+    nothing = np.flatnonzero(after)
+    return starts, nothing[np.searchsorted(nothing, starts, "right")]
+
+
+def word_anchors_of(data: bytes, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place, and begin and end of the region of each anchor of a text, for windows of words."""
+    values = np.frombuffer(data, np.uint8)
+    starts, ends = words_of(values)
+    if len(starts) < words:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    width = words - gram + 1
+    hashes = RangeHash(values, BYTE_KEYS).of(starts[: len(starts) - gram + 1], ends[gram - 1 :])
+    firsts, lasts, places = _least(hashes, width)
+    return hashes[places].astype(np.int64), starts[places], starts[firsts], ends[lasts + words - 1]
 
 
-def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchors(texts: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
     """anchor, key, at, lo, hi of each anchor of each text (columns key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch["key"].to_pylist(), [t.encode() for t in batch["text"].to_pylist()]
             for a, b in slices([len(t) for t in texts]):
-                parts = [anchors_of(t, length, gram) for t in texts[a:b]]
+                parts = [word_anchors_of(t, words) if words else anchors_of(t, length, gram) for t in texts[a:b]]
                 n = [len(p[0]) for p in parts]
                 columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
                 ids = pa.array(keys[a:b], pa.binary()).take(pa.array(np.repeat(np.arange(b - a), n)))
@@ -114,16 +153,51 @@ def _settle(group: list[tuple[bytes, int, bytes, bool, int]], length: int) -> tu
     return spans, left
 
 
-def _sorted_regions(regions: DataFrame, length: int) -> DataFrame:
-    """Spans (key, begin, end), and open windows (one, two, key or null where it is settled, begin) of split anchors."""
+def _settle_words(group: list[tuple[bytes, int, bytes, bool, int]], words: int) -> tuple[list[tuple], list[tuple]]:
+    """Repeats of windows of words among regions: as ``_settle``, but each open window has its end too."""
+    by: dict[tuple[int, bytes], list[int]] = {}
+    for i, (_, _, region, _, anchor) in enumerate(group):
+        by.setdefault((anchor, region), []).append(i)
+    regions = list(by.values())
+    data = np.frombuffer(b"".join(group[rows[0]][2] + b" " for rows in regions), np.uint8)
+    bounds = np.cumsum([0] + [len(group[rows[0]][2]) + 1 for rows in regions])
+    starts, ends = words_of(data)
+    begin, end = starts[: len(starts) - words + 1], ends[words - 1 :]
+    owner = np.searchsorted(bounds, begin, "right") - 1
+    whole = end < bounds[owner + 1]
+    begin, end, owner = begin[whole], end[whole], owner[whole]
+    one, two = (RangeHash(data, keys).of(begin, end).astype(np.int64) for keys in (BYTE_KEYS, _OTHER_KEYS))
+    _, first, number, n = np.unique(np.stack((one, two), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    repeats = n[number.ravel()] > 1
+    shown = np.zeros(len(begin), bool)  # one window of each class
+    shown[first] = True
+    at = np.searchsorted(owner, np.arange(len(regions) + 1))
+    spans, left = [], []
+    for k, rows in enumerate(regions):
+        a, b = int(at[k]), int(at[k + 1])
+        flags = repeats[a:b] if len(rows) == 1 else np.ones(b - a, bool)
+        x, z = begin[a:b] - bounds[k], end[a:b] - bounds[k]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+        for i, j in zip(x[edge[0::2]].tolist(), z[edge[1::2] - 1].tolist(), strict=True):
+            spans += [(group[row][0], group[row][1] + i, group[row][1] + j) for row in rows]
+        if group[rows[0]][3]:
+            key, lo = group[rows[0]][:2]
+            for i in np.flatnonzero(~repeats[a:b] | shown[a:b]).tolist():
+                left.append((int(one[a + i]), int(two[a + i]), None if flags[i] else key, lo + int(x[i]), lo + int(z[i])))
+    return spans, left
+
+
+def _sorted_regions(regions: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """Spans (key, begin, end), and open windows (one, two, key or null where it is settled, begin, end) of split anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, bytes, bool, int]] = []
         size, last = 0, None
 
         def told() -> pa.RecordBatch:
-            spans, left = _settle(held, length)
-            columns = [[s[0] for s in spans] + [x[2] for x in left], [s[1] for s in spans] + [x[3] for x in left], [s[2] for s in spans] + [None] * len(left), [None] * len(spans) + [x[0] for x in left], [None] * len(spans) + [x[1] for x in left]]
+            spans, left = _settle_words(held, words) if words else _settle(held, length)
+            left = [x if words else (*x, x[3] + length) for x in left]
+            columns = [[s[0] for s in spans] + [x[2] for x in left], [s[1] for s in spans] + [x[3] for x in left], [s[2] for s in spans] + [x[4] for x in left], [None] * len(spans) + [x[0] for x in left], [None] * len(spans) + [x[1] for x in left]]
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "begin", "end", "one", "two"])
 
@@ -152,14 +226,19 @@ def _of_rows(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, same).drop("__id", "__wanted").dropDuplicates(["key"])
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, key, n_bytes, sha), keys of copies (key, doc_id, copies), and spans (key, spans) of distinct texts."""
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_bytes, sha), keys of copies (key, doc_id, copies), and spans (key, spans) of distinct texts.
+
+    With ``words``, windows are so many words; then copies without a window don't count as copies.
+    """
+    over = 0 if words else length
+    length = words or length  # a word has a byte at least
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = materialise(base.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     first = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")))
     long_texts = base.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text")))
-    anchors = materialise(_anchors(long_texts.select("key", "text"), length, gram))
+    anchors = materialise(_anchors(long_texts.select("key", "text"), length, gram, words))
     place = F.struct("key", "at")
     met = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     # Written out: only then does the join have plain shuffles on both sides, whose large tasks Spark splits.
@@ -172,18 +251,21 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
             for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["anchors"].to_pylist(), strict=True):
                 data = text.encode()
                 draw = int.from_bytes(key[:4], "little")
-                columns = [[a["anchor"] for a in found], [(draw + a["lo"]) % a["parts"] for a in found], [a["parts"] for a in found], [key] * len(found), [a["lo"] for a in found], [data[a["lo"] : a["hi"] + length] for a in found]]
+                columns = [[a["anchor"] for a in found], [(draw + a["lo"]) % a["parts"] for a in found], [a["parts"] for a in found], [key] * len(found), [a["lo"] for a in found], [data[a["lo"] : a["hi"] + over] for a in found]]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "part", "parts", "key", "lo", "region"])
 
     keyed = base.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text")))
     regions = _of_rows(keyed, listed).select("key", "text", "anchors").mapInArrow(cut, "anchor long, part int, parts int, key binary, lo long, region binary")
-    settled = materialise(_sorted_regions(regions, length))
-    done = settled.where("end IS NOT NULL").select("key", "begin", "end")
-    left = settled.where("end IS NULL")
+    settled = materialise(_sorted_regions(regions, length, words))
+    done = settled.where("one IS NULL").select("key", "begin", "end")
+    left = settled.where("one IS NOT NULL")
     again = left.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    late = left.where("key IS NOT NULL").join(again, ["one", "two"]).select("key", "begin", (F.col("begin") + length).alias("end"))
+    late = left.where("key IS NOT NULL").join(again, ["one", "two"]).select("key", "begin", "end")
     per_text = done.union(late).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    if words:
+        windowed = anchors.select("key").distinct().withColumn("__has", F.lit(True))
+        first = first.join(windowed, "key", "left").withColumn("copies", F.when(F.col("__has") | (F.col("copies") == 1), F.col("copies")).otherwise(F.lit(0))).drop("__has")
     return rows, first, per_text.join(first.where("copies = 1").select("key", "doc_id"), "key")
 
 
@@ -235,14 +317,24 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     return rows.join(materialise(per_key), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cuts(docs: DataFrame, length: int, words: int | None, id_col: str, text_col: str) -> DataFrame:
+    """__key, __spans of each text that repeats in part or as a whole."""
+    _, first, found = spans(docs, length, id_col=id_col, text_col=text_col, words=words)
+    length = words or length
+    whole = first.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("key").alias("__key"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("__spans"))
+    return found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).union(whole)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of its texts, and a column of their lengths in characters brought up to date.
 
-    A character that is cut in part goes whole. Null texts stay null; all rows stay.
+    A character that is cut in part goes whole. Null texts stay null; all rows stay. With ``words``, each string of so many
+    words (``words_of``) that stands elsewhere too is cut as well, however few bytes it has.
     """
-    _, first, found = spans(docs, length, id_col=id_col, text_col=text_col)
-    whole = first.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("key").alias("__key"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("__spans"))
-    cuts = found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).union(whole)
+    cuts = _cuts(docs, length, None, id_col, text_col)
+    if words:
+        both = cuts.union(_cuts(docs, length, words, id_col, text_col))
+        cuts = both.groupBy("__key").agg(F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"))
     met = docs.withColumn("__key", text_key(F.coalesce(F.col(text_col), F.lit("")))).join(cuts, "__key", "left").select(*docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

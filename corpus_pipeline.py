@@ -50,10 +50,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicated(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
+#: Words of a repeated passage that is cut out: over 50.
+PASSAGE_WORDS = 51
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere too are cut out of the texts; n_chars follows."""
+    """Passages of over 50 words, or of 400 bytes, that stand elsewhere too are cut out of the texts; n_chars follows."""
     ship(spark)
-    return repeats.without_repeats(docs, count_col="n_chars")
+    return repeats.without_repeats(docs, count_col="n_chars", words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

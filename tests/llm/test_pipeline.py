@@ -1,6 +1,10 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
 import random
+import re
+from collections import Counter
+
+import pytest
 
 import corpus_pipeline as pipeline
 from attesta.llm import langid, neardup, quality, repeats
@@ -62,3 +66,34 @@ def test_near_copies_of_a_similarity_of_080_go(spark):
     rows += [(100, " ".join(f"x{k}" for k in range(40))), (101, " ".join("other" if k == 20 else f"x{k}" for k in range(40)))]  # 0.76
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x[0] for x in pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()) == [*range(0, 34, 2), 100, 101]
+
+
+def brute_texts(texts, words):
+    """Texts without each string of so many words, or of 400 bytes, that stands at two places."""
+    units = [[m.span() for m in re.finditer(r"[\u3000-\U0010ffff]|[^ \t-\r\u3000-\U0010ffff]+", t)] for t in texts]
+    windows = [[(u[i][0], u[i + words - 1][1]) for i in range(len(u) - words + 1)] for u in units]
+    windows = [[(len(t[:a].encode()), len(t[:b].encode())) for a, b in w] for t, w in zip(texts, windows, strict=True)]
+    texts = [t.encode() for t in texts]
+    windows = [w + [(i, i + 400) for i in range(len(t) - 399)] for t, w in zip(texts, windows, strict=True)]
+    seen = Counter(x for t, w in zip(texts, windows, strict=True) for x in [t[a:b] for a, b in set(w)])
+    out = []
+    for t, w in zip(texts, windows, strict=True):
+        gone = {i for a, b in w if seen[t[a:b]] > 1 for i in range(a, b)}
+        out.append(bytes(c for i, c in enumerate(t) if i not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("regions", [512, 2])
+def test_passages_of_51_words_go(spark, monkeypatch, regions):
+    monkeypatch.setattr(repeats, "TASK_REGIONS", regions)  # 2: anchors dealt to several tasks
+    r = random.Random(12)
+    some = lambda n, letters: " ".join(r.choice(letters) + r.choice(letters) for _ in range(n))
+    short, fifty, long = some(51, "abcdefgh"), some(50, "abcdefgh"), some(140, "abcdéfgh")
+    asian = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(51))
+    texts = [f"{some(r.randrange(40), 'stuvwxyz')}\n{r.choice([short, fifty, long, asian, long[:200]])} {some(r.randrange(30), 'ijklmnop')}  {r.choice(['', short, fifty, asian])}" for _ in range(40)]
+    texts += [f"one {short} end", f"two {short}x", f"{asian}y", "a " * 200, "short copy", "short copy", *[f"{x} {'0123456789' * 3}{'q' * 500}" for x in "kl"], some(60, "qrst") + " é", ""]
+    rows = [(None if i % 9 == 8 else i, t, len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    assert len(short.encode()) < 400 and brute_texts(texts, 51)[40] == "one  end"
+    got = pipeline.suffix_dedup(spark, docs, SF).collect()
+    assert sorted(x["text"] for x in got) == sorted(brute_texts(texts, 51)) and all(x["n_chars"] == len(x["text"]) for x in got)
