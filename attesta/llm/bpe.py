@@ -14,7 +14,7 @@ import base64
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mixed, slices, texts_of
+from .common import slices, spread, texts_of, word_hashes
 
-#: Encodings that a worker keeps: words, and pieces of words. Either store is emptied when it is full.
+#: Encodings that a worker keeps: words, and pieces of words or pairs of tokens. Each store is emptied when it is full.
 KEPT_WORDS = 600_000
 KEPT_PIECES = 100_000
 #: Tokens of a leaf of the decoding tree.
@@ -54,16 +54,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes the bytes of one word by ranks."""
+    """Encodes the bytes of one word by ranks; sequences of tokens are tuples of their ids."""
 
     DIRECT = 3  # bytes that are encoded directly
-    SHORT = 12  # bytes of the pieces that are kept
+    SHORT = 6  # bytes of the pieces that are kept
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.pieces: dict[bytes, tuple[bytes, ...]] = {}
+        self.tokens = {i: token for token, i in ranks.items()}
+        self.shift = max(ranks.values()).bit_length()
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
 
-    def direct(self, data: bytes) -> tuple[bytes, ...]:
+    def direct(self, data: bytes) -> tuple[int, ...]:
         """By definition: merge the neighbours whose union has the lowest rank, the first ones on a tie."""
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.ranks.get
@@ -76,43 +79,53 @@ class Encoder:
                 ranks[at - 1] = rank(parts[at - 1] + parts[at], ABSENT)
             if at < len(ranks):
                 ranks[at] = rank(parts[at] + parts[at + 1], ABSENT)
-        return tuple(parts)
+        return tuple(map(self.ranks.__getitem__, parts))
 
-    def _window(self, data: bytes) -> tuple[bytes, ...]:
-        """The encoding of the few bytes around a seam."""
-        found = self.pieces.get(data)
-        return self._keep(data, self.direct(data)) if found is None else found
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens; empty where it is the two themselves, so that their border is stable."""
+        found = self.direct(self.tokens[a] + self.tokens[b])
+        if len(self.pairs) >= KEPT_PIECES:
+            self.pairs.clear()
+        found = self.pairs[a << self.shift | b] = () if found == (a, b) else found
+        return found
+
+    def stable(self, a: int, b: int) -> bool:
+        found = self.pairs.get(a << self.shift | b)
+        return not (self.pair(a, b) if found is None else found)
 
-    def join(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the concatenation of two encoded sequences."""
-        width = 1
+        a, b = left[-1], right[0]
+        middle = self.pairs.get(a << self.shift | b)
+        if middle is None:
+            middle = self.pair(a, b)
+        if not middle:
+            return left + right
+        if (len(left) == 1 or middle[0] == a or self.stable(left[-2], middle[0])) and (len(right) == 1 or middle[-1] == b or self.stable(middle[-1], right[1])):
+            return left[:-1] + middle + right[1:]
+        width = 2
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            before, after = left[i:], right[:j]
-            middle = self._window(b"".join(before + after))
-            if (i == 0 or middle[0] == before[0] or self._window(left[i - 1] + middle[0]) == (left[i - 1], middle[0])) and (j == len(right) or middle[-1] == after[-1] or self._window(middle[-1] + right[j]) == (middle[-1], right[j])):
+            middle = self.direct(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
+            if (i == 0 or middle[0] == left[i] or self.stable(left[i - 1], middle[0])) and (j == len(right) or middle[-1] == right[j - 1] or self.stable(middle[-1], right[j])):
                 return left[:i] + middle + right[j:]
             width *= 2
 
-    def _keep(self, data: bytes, parts: tuple[bytes, ...]) -> tuple[bytes, ...]:
-        if len(data) <= self.SHORT:
-            if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            self.pieces[data] = parts
-        return parts
-
-    def encode(self, data: bytes) -> tuple[bytes, ...]:
+    def ids(self, data: bytes) -> tuple[int, ...]:
         """Halves are encoded and joined; short ones are kept."""
-        if (found := self.pieces.get(data)) is not None:
+        found = self.pieces.get(data)
+        if found is not None:
             return found
-        if len(data) <= self.DIRECT:
-            return self._keep(data, self.direct(data))
-        half = len(data) // 2
-        joined = self.join(self.encode(data[:half]), self.encode(data[half:]))
-        return self._keep(data, joined) if len(data) <= 6 else joined
-
-    def ids(self, data: bytes) -> tuple[int, ...]:
-        return tuple(map(self.ranks.__getitem__, self.encode(data)))
+        n = len(data)
+        if n <= self.DIRECT:
+            found = self.direct(data)
+        else:
+            found = self.join(self.ids(data[: n // 2]), self.ids(data[n // 2 :]))
+        if n <= self.SHORT:
+            if len(self.pieces) >= KEPT_PIECES:
+                self.pieces.clear()
+            self.pieces[data] = found
+        return found
 
 
 @functools.cache
@@ -133,11 +146,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _point_keys() -> np.ndarray:
-    return mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
 class Words:
     """The words of some texts, as the pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` has them.
 
@@ -156,7 +164,6 @@ class Words:
         begins[self.doc_starts] = True
         if n == 0:
             self.starts = self.ends = np.zeros(0, np.int64)
-            self.hashes = np.zeros(0, np.uint64)
             self.doc_words = np.zeros(len(texts) + 1, np.int64)
             return
         kind = _classes()[points]
@@ -183,8 +190,16 @@ class Words:
                 start[at + length] = True
         self.starts = np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], n)
-        self.hashes = RangeHash(points, _point_keys()).of(self.starts, self.ends)
         self.doc_words = np.searchsorted(self.starts, self.doc_starts)
+        self._widths = 1 + (points >= 0x80).view(np.int8) + (points >= 0x800).view(np.int8) + (points >= 0x10000).view(np.int8)
+
+    def distinct(self) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The different words as UTF-8, and the number of each word among them. Words are compared byte by byte."""
+        data, at = self.text.encode(), np.append(self.starts, self.ends[-1:])
+        if len(data) > len(self.text):
+            at = np.concatenate(([0], np.cumsum(self._widths, dtype=np.int64)))[at]
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        return words.dictionary, words.indices.to_numpy()
 
 
 def decode(ids: list[int], tokens: list[bytes]) -> bytes:
@@ -205,37 +220,50 @@ def _tokens(path: str) -> list[bytes]:
 
 
 class Kept:
-    """Encodings of words by hash: sorted hashes, and ids laid end to end. A word takes some 30 bytes."""
+    """Encodings of words: sorted hashes to find them by, their bytes to compare, and their ids, each laid end to end. A word takes some 60 bytes."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.starts, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each hash, and whether it is there."""
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.ids = (np.zeros(0, np.uint8), np.zeros(1, np.int64)), (np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def find(self, words: pa.LargeBinaryArray, encode: Callable[[bytes], tuple[int, ...]]) -> np.ndarray:
+        """The number of each of some different words; words that aren't there are put in."""
+        if len(self.hashes) + len(words) > KEPT_WORDS:
+            self.clear()
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        hashes, lengths = word_hashes(data, offsets[:-1], offsets[1:]), np.diff(offsets)
+        out = np.full(len(words), -1)
         at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-
-    def add(self, hashes: np.ndarray, coded: list[tuple[int, ...]]) -> None:
-        """Put in words that aren't there, by rising hash."""
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        both = np.concatenate((self.hashes, hashes))
-        order = np.argsort(both, kind="stable")
-        sizes = np.concatenate((np.diff(self.starts), lengths))
-        firsts = np.cumsum(sizes) - sizes
-        flat = np.concatenate((self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum()))))
-        self.hashes = both[order]
-        self.ids = flat[spread(firsts[order], sizes[order])]
-        self.starts = np.concatenate(([0], np.cumsum(sizes[order])))
-
+        hit = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] == hashes) if len(self.hashes) else at[:0]
+        hit = hit[at[hit] < len(self.hashes)]
+        number = self.numbers[at[hit]]
+        # An equal hash proves nothing: lengths and bytes decide.
+        same = np.diff(self.bytes[1])[number] == lengths[hit]
+        hit, number = hit[same], number[same]
+        if len(hit):
+            sizes = lengths[hit]
+            differ = data[spread(offsets[hit], sizes)] != self.bytes[0][spread(self.bytes[1][number], sizes)]
+            same = np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0
+            out[hit[same]] = number[same]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            coded = [encode(w) for w in words.take(pa.array(new)).to_pylist()]
+            out[new] = np.arange(len(self.hashes), len(self.hashes) + len(new))
+            both = np.concatenate((self.hashes, hashes[new]))
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.numbers = both[order], np.concatenate((self.numbers, out[new]))[order]
+            self.bytes = self._longer(self.bytes, data[spread(offsets[new], lengths[new])], lengths[new])
+            counts = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.ids = self._longer(self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(counts.sum())), counts)
+        return out
 
-def spread(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places firsts[i], firsts[i] + 1, ... of all ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - (ends - lengths), lengths)
+    @staticmethod
+    def _longer(held: tuple[np.ndarray, np.ndarray], values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate((held[0], values)), np.concatenate((held[1], held[1][-1] + np.cumsum(lengths)))
 
 
 _kept: dict[str, Kept] = {}
@@ -246,16 +274,14 @@ def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
     kept, enc = _kept.setdefault(path, Kept()), encoder(path)
     for a, b in slices([len(t) for t in texts]):
         words = Words(texts[a:b])
-        hashes, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(kept.hashes) + len(hashes) > KEPT_WORDS:
-            kept.clear()
-        new = np.flatnonzero(~kept.find(hashes)[1])
-        if len(new):
-            text, at = words.text, first[new]
-            kept.add(hashes[new], [enc.ids(text[x:y].encode()) for x, y in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
-        at = kept.find(hashes)[0][which]
-        lengths = np.diff(kept.starts)[at]
-        out = kept.ids[spread(kept.starts[at], lengths)]
+        if not len(words.starts):
+            yield from (np.zeros(0, np.int32) for _ in range(b - a))
+            continue
+        distinct, which = words.distinct()
+        at = kept.find(distinct, enc.ids)[which]
+        ids, starts = kept.ids
+        lengths = np.diff(starts)[at]
+        out = ids[spread(starts[at], lengths)]
         bounds = np.concatenate(([0], np.cumsum(lengths)))[words.doc_words]
         for i in range(b - a):
             yield out[bounds[i] : bounds[i + 1]]

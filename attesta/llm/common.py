@@ -130,3 +130,30 @@ class RangeHash:
 
 #: One 64-bit key for each byte.
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def spread(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places firsts[i], firsts[i] + 1, ... of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - (ends - lengths), lengths)
+
+
+_places = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that follow each other in some bytes: each place in a word has a multiplier of its own, drawn by mixing.
+
+    Multipliers that are powers of one number would let words of a regular build collide, as those of ``RangeHash`` do.
+    """
+    global _places
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    most = int(sizes.max())
+    if most > len(_places):
+        _places = mixed(np.arange(1, most + most // 8 + 1, dtype=np.uint64)) | np.uint64(1)
+    flat = np.arange(int(sizes.sum()))
+    firsts = np.cumsum(sizes) - sizes
+    terms = BYTE_KEYS[data[flat + np.repeat(starts - firsts, sizes)]] * _places[flat - np.repeat(firsts, sizes)]
+    return mixed(np.add.reduceat(terms, firsts) + sizes.astype(np.uint64))
