@@ -34,32 +34,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a default where it is unset and all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return folder or "/tmp/checkpoints"
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+#: Spark removes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def _sweep() -> None:
     """Remove what was written, when the driver ends: results are read from it until then."""
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # the session is gone already; the folder's owner has to clear it
             return
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts the lineage, and a lost executor loses none of it."""
+    """Write ``df`` to the shared folder and read it back: it cuts the lineage, and a lost executor loses none of it.
+
+    The shuffle files of its query go as soon as the table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/attesta-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_sweep)
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` has written and nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+        _written.pop(t._written_to, None)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column's name that is none of those given."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def in_training(doc_id: Column) -> Column:

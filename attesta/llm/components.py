@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -13,17 +13,22 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Each round takes the least label among neighbours and then the label of that label, so the reach doubles; it is
     written out, and the rounds end when no label changes. Loops, repeated edges and an empty table are fine;
-    edges with a null end are left out.
+    edges with a null end are left out. The result is a written table, which the caller may ``drop``.
     """
     good = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = materialise(good.select("a", "b").union(good.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    table = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(most_rounds):
+        labels = table.select("node", "label")
         near = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["node"] == near["b"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
         step = materialise(lower.join(jump, lower["label"] == jump["at"]).select("node", "was", F.least("label", "beyond").alias("label")))
-        labels = step.select("node", "label")
+        drop(table)
+        table = step
         if step.where("label <> was").isEmpty():
-            return labels
+            drop(both)
+            out = step.select("node", "label")
+            out._written_to = step._written_to
+            return out
     raise RuntimeError("labels still change")

@@ -1,14 +1,16 @@
 """Near duplicates by MinHash: fast similarity sketches, banding, exact verification, connected components.
 
 1. Each text becomes a shingle set; rows with equal sets form one node, so copies never meet each other again.
-2. Nodes that agree in a band share a bucket. Each member of a bucket is verified against the bucket's first: links
-   that hold are contracted into components.
+2. Nodes that agree in a band share a bucket. Of the first nodes of its buckets, each node is verified against the least
+   one that its sketch doesn't rule out: links that hold are contracted into components.
 3. Pairs in a bucket that lie in different components are left. Members are dealt into chunks, each two chunks
    meet once, and a pair goes on if its size ratio allows a link and its sketches don't rule it out (5 standard
    deviations). These pairs are verified too, so a bucket loses no link however many members it has.
 4. Components of all verified links give each row the smallest doc_id that it reaches.
 
-Verification is on the full sets, which are carried once for each pair of node blocks, not once for each pair.
+Buckets hold 64 bits of a node and pairs 64 bytes of its sketch. Only pairs to be verified meet with their texts: a
+text goes to the task of its partner, whose partners are dealt to several tasks where they are many, and words are compared
+there byte by byte.
 """
 
 from __future__ import annotations
@@ -18,38 +20,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import sketch
-from .common import materialise, slices, texts_of
+from .common import drop, fresh, materialise, slices, texts_of
 from .components import components
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members of a chunk of a bucket, and nodes of a block of sets.
-CHUNK_NODES = 256
-BLOCK_NODES = 128
-#: Ids that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Members of a chunk of a bucket, and shingles of the partners of a node that go to one task.
+CHUNK_NODES = 2048
+TASK_SHINGLES = 100_000
+#: Bytes of text whose words are compared at once.
+HELD_BYTES = 500_000
+#: Rows that are broadcast at most, of 16 bytes in an anti-join and of some 60 with the pairs.
+BROADCAST_ROWS = 500_000
+_WORDS = sketch.BINS // 64
 
 
-def _digest(elements: np.ndarray) -> str:
-    return hashlib.blake2b(elements.tobytes(), digest_size=16).hexdigest()
+def _digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def ruled_out(percent: int) -> float:
-    """The estimate under which a pair can't be a link, but for 5 standard deviations of a sketch of 512 bins."""
-    share = percent / 100
-    return share - 5 * (share * (1 - share) / sketch.BINS) ** 0.5
+def most_apart(percent: int) -> int:
+    """The bits in which the marks of a link differ at most, but for 5 standard deviations."""
+    share = (1 - percent / 100) / 2
+    return int(sketch.BINS * share + 5 * (sketch.BINS * share * (1 - share)) ** 0.5)
+
+
+def text_number(text: Column) -> Column:
+    """Tells apart rows that have one id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sketches(docs: DataFrame, bands: int = sketch.BANDS) -> DataFrame:
-    """doc_id, n, node, bands, marks of each row; the last three are null for an empty set."""
+    """doc_id, number, n, node, hi (8 bytes of the node), bands, marks of each row (doc_id, number, text); the last four are null for an empty set."""
+    names = ["doc_id", "number", "n", "node", "hi", "bands", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = [t.encode() for t in texts_of(batch["text"])], batch["doc_id"]
+            texts = [t.encode() for t in texts_of(batch["text"])]
             for a, b in slices([len(t) for t in texts]):
                 sizes, nodes, keys, kept = [], [], [], []
                 for elements in sketch.shingle_sets(texts[a:b]):
@@ -61,25 +73,10 @@ def sketches(docs: DataFrame, bands: int = sketch.BANDS) -> DataFrame:
                     nodes.append(_digest(elements))
                     keys.append(sketch.band_keys(values, bands))
                     kept.append(sketch.marks(values))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n", "node", "bands", "marks"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, node string, bands array<long>, marks binary")
+                his = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["number"].slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(his, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], names)
 
-
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, elements (8 bytes each, rising) of the wanted nodes (columns node, doc_id), from the texts of their rows."""
-    few = wanted.count() <= BROADCAST_ROWS
-    keys = wanted.select("node", F.col("doc_id").alias("__id"))
-    rows = docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col("__id")).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, nodes = [t.encode() for t in texts_of(batch["text"])], batch["node"].to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                found = [(node, s.tobytes()) for node, s in zip(nodes[a:b], sketch.shingle_sets(texts[a:b]), strict=True) if _digest(s) == node]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], ["node", "elements"])
-
-    return rows.mapInArrow(run, "node string, elements binary")
+    return docs.select("doc_id", "number", "text").mapInArrow(run, "doc_id long, number long, n long, node binary, hi long, bands array<long>, marks array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -92,108 +89,169 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (columns a, b, fa, fb) that are links. fa, fb: the family of each end, by which nodes are blocked."""
-    block = lambda f, x: F.concat_ws("/", f, F.pmod(F.xxhash64(x), F.lit(BLOCKS)).cast("string"))
-    placed = materialise(pairs.select("a", "b", F.concat_ws("|", block(F.col("fa"), F.col("a")), block(F.col("fb"), F.col("b"))).alias("at")).distinct())
-    asked = placed.groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    needed = placed.select("at", F.col("a").alias("node")).union(placed.select("at", F.col("b").alias("node"))).distinct()
-    held = needed.join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "elements")).alias("sets"))
+def _plausible(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and marks of two joined nodes allow a link."""
+    apart = sum((F.bit_count(F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])) for i in range(_WORDS)), F.lit(0))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= most_apart(percent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                by = {r["node"]: np.frombuffer(r["elements"], np.uint64) for r in batch["sets"][i].as_py()}
-                found = [(r["a"], r["b"]) for r in batch["pairs"][i].as_py() if linked(by[r["a"]], by[r["b"]], percent)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])
 
-    return asked.join(held, "at").select("pairs", "sets").mapInArrow(run, "a string, b string")
+def verify(pairs: DataFrame, base: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (written; columns a, b: structs of node, doc_id, number, n) that are links, as nodes a and b; a pair may come repeatedly."""
+    # The partners of a node go to its task, or to several where they are many; its own text goes to each of these.
+    parts = materialise(pairs.groupBy(F.col("a.node").alias("hub")).agg(F.ceil(F.sum("b.n") / TASK_SHINGLES).cast("int").alias("parts")))
+    dealt = pairs.join(parts, F.col("a.node") == F.col("hub")).withColumn("part", F.pmod(F.xxhash64("b.node"), F.col("parts")).cast("int"))
+    members = dealt.select("hub", "part", F.lit(True).alias("member"), F.col("b.node").alias("node"), F.col("b.doc_id").alias("__id"), F.col("b.number").alias("__number"))
+    hubs = dealt.select("hub", "part", F.lit(False).alias("member"), F.col("hub").alias("node"), F.col("a.doc_id").alias("__id"), F.col("a.number").alias("__number")).distinct()
+    wanted = materialise(members.union(hubs))
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = base.join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("__id")) & (F.col("number") == F.col("__number")))
+    rows = rows.select("hub", "part", "member", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            found, hub = [], None
+            for (of, part, member, node, _), elements in zip(held, sketch.exact_sets([x[4] for x in held]), strict=True):
+                if not member:
+                    hub = (of, part, elements)
+                elif hub and hub[:2] == (of, part) and linked(hub[2], elements, percent):
+                    found.append((of, node))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-#: Blocks into which the nodes of a family are dealt: a family of a million nodes has blocks of about 128.
-BLOCKS = 8192
+        for batch in batches:
+            for row in zip(*[batch[c].to_pylist() for c in ("hub", "part", "member", "node")], (t.encode() for t in texts_of(batch["text"])), strict=True):
+                if size >= HELD_BYTES:
+                    yield told()
+                    hub = next((x for x in reversed(held) if not x[2]), None)
+                    held = [hub] if hub and hub[:2] == row[:2] else []
+                    size = 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield told()
+
+    out = materialise(rows.mapInArrow(run, "a binary, b binary"))
+    drop(parts, wanted)
+    return out
 
 
 def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b, fa, fb) of different components that share a bucket."""
-    # Sketches join only the members of buckets that still hold several components.
-    sizes = told.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks"))
-    open_members = told.join(materialise(sizes), ["band", "key"]).join(nodes.select("node", "n", "marks", "bands"), "node")
-    dealt = open_members.withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
-    one = F.struct("node", "label", "n", "marks", "bands")
-    chunks = dealt.groupBy("band", "key", "chunks", "i").agg(F.collect_list(one).alias("rows"))
-    met = chunks.select("band", "key", "rows", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    met = met.groupBy("band", "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).agg(F.collect_list(F.struct("i", "rows")).alias("sides"))
+    """Plausible pairs (a, b: 8 bytes of nodes) of different components that share a bucket (told: key, hi, label)."""
+    sizes = materialise(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks")))
+    open_members = told.join(sizes, "key").join(nodes.select("hi", "n", "marks"), "hi")
+    dealt = open_members.withColumn("i", F.pmod(F.xxhash64("hi", F.lit(3)), F.col("chunks")).cast("int"))
+    chunks = dealt.groupBy("key", "chunks", "i").agg(F.collect_list(F.struct("hi", "label", "n", "marks")).alias("rows"))
+    met = chunks.select("key", "rows", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    met = met.groupBy("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).agg(F.collect_list(F.struct("i", "rows")).alias("sides"))
+    most = most_apart(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, x, y, sides in zip(batch["band"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sides"].to_pylist(), strict=True):
-                rows = sorted((r["label"], r["node"], side["i"], r["n"], r["marks"], r["bands"]) for side in sides for r in side["rows"])
-                marks = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-                bands = np.array([r[5] for r in rows], np.int64)
-                labels = np.unique([r[0] for r in rows], return_inverse=True)[1]
-                n, chunk = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
-                out: list[tuple[str, str, str, str]] = []
-                for i in range(len(rows) - 1):
+            for x, y, sides in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sides"], strict=True):
+                chunk = np.concatenate([np.full(len(s["rows"]), s["i"].as_py()) for s in sides.values])
+                rows = pa.concat_arrays([s["rows"].values for s in sides.values])
+                hi, label, n = (rows.field(k).to_numpy() for k in range(3))
+                marks = rows.field(3).flatten().to_numpy().reshape(len(hi), -1).view(np.uint64)
+                for i in range(len(hi) - 1):
                     j = slice(i + 1, None)
-                    ok = (labels[j] != labels[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+                    ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
                     if x != y:
                         ok &= chunk[j] != chunk[i]
                     at = np.flatnonzero(ok) + i + 1
-                    if not len(at):
-                        continue
-                    same = (marks[at] == marks[i]).mean(1)
-                    at = at[(same - 1 / 256) / (1 - 1 / 256) >= ruled_out(percent)]
-                    # A pair that shares several bands is told in the first of them.
-                    at = at[(bands[at] == bands[i]).argmax(1) == band]
-                    out += [(rows[i][1], rows[k][1], rows[i][0], rows[k][0]) for k in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(4)], ["a", "b", "fa", "fb"])
-
-    return met.select("band", "x", "y", "sides").mapInArrow(run, "a string, b string, fa string, fb string")
+                    at = at[np.bitwise_count(marks[at] ^ marks[i]).sum(1) <= most]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hi[at], hi[i])), pa.array(np.maximum(hi[at], hi[i]))], ["a", "b"])
 
+    out = materialise(met.select("x", "y", "sides").mapInArrow(run, "a long, b long").distinct())
+    drop(sizes)
+    return out
 
-def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = sketch.BANDS) -> DataFrame:
-    """Return doc_id, n_shingles, component_id, kept for each row.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case; a text of fewer than five words is
-    one shingle, one without words has none and is linked with nothing. ``component_id`` is the smallest doc_id that
-    links reach, ``kept`` whether that is the row's own. Repeated rows are copies of each other; a row without an
-    id stands alone, kept, its component null; an empty table gives no rows; other columns are left out.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _found(base: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the rows with their nodes, and the first row (first_id, first_number) of the class of each node."""
     rows = materialise(sketches(base, bands))
     live = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     # The first row of each node stands for it.
-    first = F.min(F.struct("doc_id", "n", "bands", "marks"))
+    first = F.min(F.struct("doc_id", "number", "n", "hi", "marks"))
     nodes = materialise(live.groupBy("node").agg(first.alias("r")).select("node", "r.*"))
-    banded = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", F.col("head.node").alias("head"))
-    heads = materialise(heads)
-    shared = materialise(banded.join(heads, ["band", "key"]).select("band", "key", "node", "doc_id", "head"))
-    sets = materialise(full_sets(base, shared.select("node", "doc_id").distinct()).dropDuplicates(["node"]))
-    star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("fa"), F.col("head").alias("fb")).distinct()
-    links = materialise(verify(star, sets, percent))
+    banded = live.select("hi", F.explode("bands").alias("key"))
+    heads = materialise(banded.groupBy("key").agg(F.min("hi").alias("head"), F.max("hi").alias("last")).where("head < last").select("key", "head"))
+    shared = materialise(banded.join(heads, "key").distinct())
+    drop(heads)
+    one = F.struct("node", "doc_id", "number", "n", "marks")
+    ends = [nodes.select(F.col("hi").alias(f"__{side}"), one.alias(f"e{side}")) for side in "ab"]
+
+    def pairs_of(near: DataFrame) -> DataFrame:
+        """Of pairs of 8 bytes, those whose sizes and marks allow a link, with what ``verify`` needs; an end may stand for several nodes."""
+        met = near.join(ends[1], F.col("b") == F.col("__b")).join(ends[0], F.col("a") == F.col("__a")).where(_plausible("ea", "eb", percent))
+        return met.select(*[F.struct(*[F.col(f"e{side}.{c}") for c in ("node", "doc_id", "number", "n")]).alias(side) for side in "ab"])
+
+    star = shared.where("hi <> head").select(F.col("head").alias("a"), F.col("hi").alias("b")).distinct()
+    pairs = materialise(pairs_of(star).groupBy(F.col("b.node").alias("own")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+    links = verify(pairs, base, percent)
+    drop(pairs)
     found = components(links)
-    told = materialise(shared.select("band", "key", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    more = materialise(verify(_across(told, nodes, percent), sets, percent))
+    label = nodes.join(found, "node", "left").select("hi", F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("hi")).alias("label"))
+    told = materialise(shared.select("key", "hi").join(label, "hi"))
+    drop(shared)
+    met = _across(told, nodes, percent)
+    drop(told)
+    pairs = materialise(pairs_of(met))
+    drop(met)
+    more = verify(pairs, base, percent)
+    drop(pairs)
     if not more.isEmpty():
+        drop(found)
         found = components(links.union(more))
-    ids = nodes.select("node", "doc_id")
-    least = found.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    drop(links, more)
+    least = nodes.join(found, "node").groupBy("label").agg(F.min(F.struct("doc_id", "number")).alias("first"))
+    own = found.join(least, "label").select("node", "first")
     # Written out, so that the join with all rows stands alone and Spark can split the task of a node with very many rows.
-    own = materialise(ids.join(found.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
-    with_node = live.select("doc_id", "n", "node").join(own, "node").select("doc_id", "n", "component_id")
+    classes = materialise(nodes.join(own, "node", "left").select("node", F.coalesce("first.doc_id", "doc_id").alias("first_id"), F.coalesce("first.number", "number").alias("first_number")))
+    slim = materialise(rows.select("doc_id", "number", "n", "node"))
+    drop(rows, nodes, found)
+    return slim, classes
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_number(F.col(text_col)).alias("number"), F.col(text_col).alias("text"))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = sketch.BANDS) -> DataFrame:
+    """Return doc_id, n_shingles, component_id, kept for each row.
+
+    Words are runs of bytes other than ASCII white space, A-Z in lower case; a text of fewer than five words is
+    one shingle, one without words has none and is linked with nothing. ``component_id`` is the smallest doc_id that
+    links reach, ``kept`` whether that is the row's own. Repeated rows are copies of each other; a row without an
+    id stands alone, kept, its component null; an empty table gives no rows; other columns are left out.
+    """
+    rows, found = _found(_base(docs, id_col, text_col), percent, bands)
+    with_node = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").join(found, "node").select("doc_id", "n", F.col("first_id").alias("component_id"))
     alone = rows.where("node IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return with_node.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = sketch.BANDS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row with its smallest id, of repeated rows one."""
-    told = materialise(classes(docs, percent, id_col, text_col, bands).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")))
-    few = told.count() <= BROADCAST_ROWS
-    ids = told.select("__kept")
-    out = docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    if not told.where("__rows > 1 AND __kept IS NOT NULL").isEmpty():
-        out = out.withColumn("__key", F.sha2(F.col(text_col).cast("binary"), 256))
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"]).union(out.where(F.col(id_col).isNull())).drop("__key")
-    return out
+    """The rows of ``docs`` that stay: of each class the row with its smallest id, of repeated rows one; rows without an id all stay.
+
+    Where rows of one id and different texts are that smallest id, one of them stays.
+    """
+    rows, found = _found(_base(docs, id_col, text_col), percent, bands)
+    live = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").join(found, "node")
+    first = (F.col("doc_id") == F.col("first_id")) & (F.col("number") == F.col("first_number"))
+    mine, other = fresh("__first_id", docs.columns), fresh("__first_number", docs.columns)
+    keys = [F.col("doc_id").alias(mine), F.col("number").alias(other)]
+    gone = materialise(live.where(~first).select(*keys).distinct())
+    again = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
+    drop(rows, found)
+    same = (F.col(id_col).cast("long") == F.col(mine)) & (text_number(F.col(text_col)) == F.col(other))
+    some = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    out = docs.join(some(gone), same, "left_anti")
+    if again.isEmpty():
+        return out
+    twice = out.join(some(again), same, "left_semi").withColumn(mine, F.col(id_col).cast("long")).withColumn(other, text_number(F.col(text_col)))
+    return out.join(some(again), same, "left_anti").union(twice.dropDuplicates([mine, other]).drop(mine, other))

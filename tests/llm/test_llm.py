@@ -169,6 +169,16 @@ def test_near_duplicates(spark, odd, empty, monkeypatch):
     assert {r["doc_id"] for r in neardup.deduplicated(frame).collect()} == kept
     left = neardup.deduplicated(odd)
     assert left.columns == odd.columns and Counter(r["doc_id"] for r in left.collect())[7] == 0  # 7 repeats 6
+    a, b, c = ("one two three four five six", "ONE two  three four five six", "seven eight nine ten eleven twelve")
+    rows = [(1, a), (5, b), (5, c), (5, c), (8, c), (None, a), (None, a), (9, None), (9, None)]
+    left = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(left) == sorted([(1, a), (5, c), (None, a), (None, a), (9, None)], key=repr)
+
+
+def test_near_duplicates_keep_words_apart(spark):
+    one, two = thue_morse(11), thue_morse(11, "ba")
+    rows = [(1, f"a b c d {one}"), (2, f"a b c d {two}"), (3, f"A b c d {one}")]
+    assert table(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_classes(rows)
 
 
 def test_sketch_is_concentrated():
