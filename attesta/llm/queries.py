@@ -84,22 +84,31 @@ FROM w LEFT JOIN o USING (rid)
 """
 
 
-OP4_SQL = """
+def _op4_sql() -> str:
+    inside = lambda at: f"b[{at} : {at}] BETWEEN '\\x80'::BLOB AND '\\xBF'::BLOB"  # noqa: E731  a byte that continues a character
+    before = "CASE " + " ".join(f"WHEN NOT ({inside(f'a - {k}')}) THEN a - {k}" for k in range(3)) + " ELSE a - 3 END"
+    after = "CASE " + " ".join(f"WHEN NOT ({inside(f'z + {k}')}) THEN z + {k}" for k in range(3)) + " ELSE z + 3 END"
+    return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
 h AS (SELECT rid, i, md5(b[i : i + 399]) AS m FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS n FROM h) WHERE n > 1),
 l AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
 g AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM l),
 s AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY rid, k),
+w AS (SELECT rid, a, z, {before} AS wa, {after} AS wz FROM s JOIN d USING (rid)),
 e AS (
-  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS x, a - 1 AS y FROM s
-  UNION ALL SELECT d.rid, coalesce(max(z), 1), octet_length(any_value(b)) FROM d LEFT JOIN s ON s.rid = d.rid GROUP BY d.rid
-), k AS (SELECT rid, string_agg(CASE WHEN y >= x THEN hex(b[x : y]) ELSE '' END, '' ORDER BY x) AS kept FROM e JOIN d USING (rid) GROUP BY rid),
+  SELECT rid, coalesce(lag(z) OVER o, 1) AS x, a - 1 AS y, coalesce(lag(wz) OVER o, 1) AS wx, wa - 1 AS wy FROM w WINDOW o AS (PARTITION BY rid ORDER BY a)
+  UNION ALL SELECT d.rid, coalesce(max(z), 1), octet_length(any_value(b)), coalesce(max(wz), 1), octet_length(any_value(b)) FROM d LEFT JOIN w ON w.rid = d.rid GROUP BY d.rid
+), k AS (
+  SELECT rid, string_agg(CASE WHEN y >= x THEN hex(b[x : y]) ELSE '' END, '' ORDER BY x) AS kept, string_agg(CASE WHEN wy >= wx THEN decode(b[wx : wy]) ELSE '' END, '' ORDER BY x) AS text
+  FROM e JOIN d USING (rid) GROUP BY rid
+),
 c AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
-SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256, text
 FROM d JOIN k USING (rid) LEFT JOIN c USING (rid)
 """
 
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -140,4 +149,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk}
-ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": OP4_SQL, "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
+ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": _op4_sql(), "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}

@@ -1,19 +1,18 @@
-"""Suffix-array dedup: bytes covered by a string of 400 bytes that also starts elsewhere.
+"""Suffix-array dedup: bytes covered by a string of 400 bytes, or of a number of words, that also starts elsewhere.
 
 1. Anchors. Every window of 400 bytes has one anchor: of the 64-byte strings in it, the last one with the least hash.
    Equal windows have equal anchors at equal places in them, so only windows whose anchor occurs at two places
-   can repeat, and only windows of one anchor must be compared.
+   can repeat, and only windows of one anchor must be compared. In a stretch that repeats itself after at most 64 bytes
+   every window repeats; only the windows of its first period are compared with others.
 2. The regions around such anchors, a few hundred bytes each, are dealt to tasks by anchor; equal regions of an anchor
    are kept once. Regions are joined to texts of about half a megabyte, sorted by suffixes in two stages; windows
-   whose neighbours in that order share 400 bytes repeat.
+   whose neighbours in that order have a common prefix of their length repeat.
 3. An anchor with very many regions is dealt to several tasks. What one task finds to repeat is settled; its
-   other windows, and one window of each of its classes, meet those of the other tasks by 128-bit hashes of
+   other windows, and one window of each of its classes, meet those of the other tasks by BLAKE2 digests of
    the windows, which are counted where they stand before they move.
 
-Copies of a whole text are compared by its SHA-256 and go through all this once.
-
-Given a number of words, windows are so many words instead of bytes, anchors strings of 10 words, and a task compares
-its windows by 128-bit hashes in place of the sort: the suffix order doesn't keep windows of differing lengths together.
+Copies of a whole text are compared by its SHA-256 and go through all this once. Given a number of words, windows are
+so many words instead of bytes, and anchors strings of 10 words.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, RangeHash, materialise, mixed, slices
+from ..session import ship
+from .common import BYTE_KEYS, RangeHash, drop, fresh, materialise, slices
 from .suffixes import repeated_windows
 
 LENGTH = 400
@@ -36,29 +36,19 @@ WORD_GRAM = 10
 #: Bytes that are suffix-sorted at once, and regions of one anchor that go to one task.
 SORTED_BYTES = 400_000
 TASK_REGIONS = 512
-#: Ids that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Bytes of regions that leave a worker at once.
+SENT_BYTES = 4_000_000
+#: Keys of texts, with an id, that are broadcast at most: 24 bytes each.
+BROADCAST_ROWS = 500_000
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-_OTHER_KEYS = mixed(BYTE_KEYS + np.uint64(0x3C6EF372FE94F82B))
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
-def anchors_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place, first and last window start of each anchor of a text."""
-    n = len(data)
-    if n < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    width = length - gram + 1
-    hashes = RangeHash(np.frombuffer(data, np.uint8), BYTE_KEYS).rolling(gram)
-    firsts, lasts, places = _least(hashes, width)
-    return hashes[places].astype(np.int64), places, firsts, lasts
-
-
-def _least(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(hashes: np.ndarray, width: int) -> Places:
     """First and last of the neighbouring ranges of ``width`` hashes that have one least hash, and its place."""
     # Ordered by half of the hash; of equal ones the last place counts, wherever the window stands in its text.
     ordered = (hashes & _HIGH) | np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(hashes), -1, dtype=np.int64).astype(np.uint64)
@@ -73,6 +63,31 @@ def _least(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return firsts, np.append(firsts[1:], len(ordered)) - 1, places
 
 
+def _without_periods(same: np.ndarray, found: Places, width: int, gram: int) -> tuple[Places, list[tuple[int, int]]]:
+    """Take the windows of periodic stretches, but those of their first period, out of the ranges; also their first and last windows.
+
+    ``same[i]``: whether places i and i + 1 hold the same gram, byte by byte. Grams that touch and are the same make a stretch periodic.
+    """
+    firsts, lasts, places = found
+    step = np.diff(places)
+    chained = same & (step > 0) & (step <= gram)
+    edge = np.flatnonzero(np.concatenate(([True], (chained[1:] != chained[:-1]) | (step[1:] != step[:-1]), [True]))) if len(step) else np.zeros(0, np.int64)
+    whole, keep = [], np.ones(len(places), bool)
+    firsts, lasts = firsts.copy(), lasts.copy()
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if not chained[i]:
+            continue
+        d, a, z = int(step[i]), int(places[i]), int(places[j]) - width + 1
+        if z - a < 4 * d:
+            continue
+        whole.append((a, z))
+        inside = slice(np.searchsorted(lasts, a + d), np.searchsorted(firsts, z, "right"))
+        keep[inside] = (firsts[inside] < a + d) | (lasts[inside] > z)
+        lasts[inside] = np.where(firsts[inside] < a + d, a + d - 1, lasts[inside])
+        firsts[inside] = np.where((lasts[inside] > z) & (firsts[inside] >= a + d), z + 1, firsts[inside])
+    return (firsts[keep], lasts[keep], places[keep]), whole
+
+
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word: a run of bytes other than ASCII white space; each character from U+3000 on is one by itself."""
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
@@ -88,118 +103,102 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, nothing[np.searchsorted(nothing, starts, "right")]
 
 
-def word_anchors_of(data: bytes, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place, and begin and end of the region of each anchor of a text, for windows of words."""
+def anchors_of(data: bytes, length: int, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Hash and place of each anchor of a text, begin and end of its region, and spans that repeat within themselves."""
     values = np.frombuffer(data, np.uint8)
-    starts, ends = words_of(values)
-    if len(starts) < words:
+    if words:
+        starts, ends = words_of(values)
+        gram, width = min(WORD_GRAM, words), words - min(WORD_GRAM, words) + 1
+    else:
+        starts, ends = np.arange(len(data)), np.arange(1, len(data) + 1)
+        gram, width = min(GRAM, length), length - min(GRAM, length) + 1
+    if len(starts) < gram + width - 1:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    width = words - gram + 1
-    hashes = RangeHash(values, BYTE_KEYS).of(starts[: len(starts) - gram + 1], ends[gram - 1 :])
+        return none, none, none, none, []
+    sums = RangeHash(values, BYTE_KEYS)
+    hashes = sums.of(starts[: len(starts) - gram + 1], ends[gram - 1 :])
     firsts, lasts, places = _least(hashes, width)
-    return hashes[places].astype(np.int64), starts[places], starts[firsts], ends[lasts + words - 1]
+    same = hashes[places[1:]] == hashes[places[:-1]]
+    for i in np.flatnonzero(same).tolist():
+        p, q = places[i], places[i + 1]
+        same[i] = data[starts[p] : ends[p + gram - 1]] == data[starts[q] : ends[q + gram - 1]]
+    (firsts, lasts, places), whole = _without_periods(same, (firsts, lasts, places), width, gram)
+    last = gram + width - 2
+    return hashes[places].astype(np.int64), starts[places], starts[firsts], ends[lasts + last], [(int(starts[a]), int(ends[z + last])) for a, z in whole]
 
 
-def _anchors(texts: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
-    """anchor, key, at, lo, hi of each anchor of each text (columns key, text)."""
+def _anchors(texts: DataFrame, length: int, words: int | None) -> DataFrame:
+    """anchor, key, at, lo, hi of each anchor of each text (columns key, text); without an anchor: lo and hi of a span that repeats in itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch["key"].to_pylist(), [t.encode() for t in batch["text"].to_pylist()]
             for a, b in slices([len(t) for t in texts]):
-                parts = [word_anchors_of(t, words) if words else anchors_of(t, length, gram) for t in texts[a:b]]
-                n = [len(p[0]) for p in parts]
+                parts = [anchors_of(t, length, words) for t in texts[a:b]]
+                owners = np.concatenate((np.repeat(np.arange(b - a), [len(p[0]) for p in parts]), np.repeat(np.arange(b - a), [len(p[4]) for p in parts])))
                 columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-                ids = pa.array(keys[a:b], pa.binary()).take(pa.array(np.repeat(np.arange(b - a), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), ids, *[pa.array(c.astype(np.int32)) for c in columns[1:]]], ["anchor", "key", "at", "lo", "hi"])
+                own = np.array([s for p in parts for s in p[4]], np.int64).reshape(-1, 2)
+                n = len(own)
+                anchor = pa.array(np.append(columns[0], np.zeros(n, np.int64)), mask=np.arange(len(owners)) >= len(columns[0]))
+                rest = [np.concatenate(x).astype(np.int32) for x in ((columns[1], own[:, 0]), (columns[2], own[:, 0]), (columns[3], own[:, 1]))]
+                yield pa.RecordBatch.from_arrays([anchor, pa.array(keys[a:b], pa.binary()).take(pa.array(owners)), *map(pa.array, rest)], ["anchor", "key", "at", "lo", "hi"])
 
     return texts.mapInArrow(run, "anchor long, key binary, at int, lo int, hi int")
 
 
-def _settle(group: list[tuple[bytes, int, bytes, bool, int]], length: int) -> tuple[list[tuple], list[tuple]]:
-    """Repeats among regions: (key, lo, bytes, whether its anchor is split, the anchor). Returns spans and open windows."""
-    by: dict[tuple[int, bytes], list[int]] = {}
-    for i, (_, _, region, _, anchor) in enumerate(group):
-        by.setdefault((anchor, region), []).append(i)
-    distinct = [rows[0] for rows in by.values()]
-    data = np.frombuffer(b"".join(group[i][2] for i in distinct), np.uint8)
-    sizes = np.array([len(group[i][2]) for i in distinct])
-    starts = np.cumsum(sizes) - sizes
-    valid = np.ones(len(data), bool)
-    for k in range(1, length):
-        valid[starts + sizes - k] = False
-    found, classes = repeated_windows(data, valid, length)
-    repeats = np.zeros(len(data), bool)
-    repeats[found] = True
-    shown = np.zeros(len(data), bool)  # one window of each class
-    shown[found[np.unique(classes, return_index=True)[1]]] = True
-    spans, left = [], []
-    hashes = None
-    for start, size, rows in zip(starts.tolist(), sizes.tolist(), by.values(), strict=True):
-        n = size - length + 1
-        flags = repeats[start : start + n] if len(rows) == 1 else np.ones(n, bool)
-        if flags.any():
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-            for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-                spans += [(group[i][0], group[i][1] + a, group[i][1] + b - 1 + length) for i in rows]
-        if group[rows[0]][3]:
-            hashes = hashes or (RangeHash(data, BYTE_KEYS), RangeHash(data, _OTHER_KEYS))
-            open_at = np.flatnonzero(~repeats[start : start + n] | shown[start : start + n])
-            one, two = (h.of(start + open_at, start + open_at + length).astype(np.int64).tolist() for h in hashes)
-            key, lo, _, _, _ = group[rows[0]]
-            done = flags[open_at].tolist()
-            left += [(x, y, None if d else key, lo + o) for x, y, d, o in zip(one, two, done, open_at.tolist(), strict=True)]
-    return spans, left
+#: A region: the text's key, where it stands there, its bytes, whether its anchor is split, and the anchor.
+Region = tuple[bytes, int, bytes, bool, int]
 
 
-def _settle_words(group: list[tuple[bytes, int, bytes, bool, int]], words: int) -> tuple[list[tuple], list[tuple]]:
-    """Repeats of windows of words among regions: as ``_settle``, but each open window has its end too."""
+def _settle(group: list[Region], length: int, words: int | None) -> tuple[list[tuple], list[tuple]]:
+    """Repeats among regions: spans (key, begin, end), and open windows (digest, key or None where it is settled, begin, end)."""
     by: dict[tuple[int, bytes], list[int]] = {}
     for i, (_, _, region, _, anchor) in enumerate(group):
         by.setdefault((anchor, region), []).append(i)
-    regions = list(by.values())
-    data = np.frombuffer(b"".join(group[rows[0]][2] + b" " for rows in regions), np.uint8)
-    bounds = np.cumsum([0] + [len(group[rows[0]][2]) + 1 for rows in regions])
-    starts, ends = words_of(data)
-    begin, end = starts[: len(starts) - words + 1], ends[words - 1 :]
+    rows_of = list(by.values())
+    # A blank keeps the words of two regions apart.
+    joined = b" ".join(group[rows[0]][2] for rows in rows_of)
+    data = np.frombuffer(joined, np.uint8)
+    bounds = np.cumsum([0] + [len(group[rows[0]][2]) + 1 for rows in rows_of])
+    if words:
+        starts, ends = words_of(data)
+        begin, end = starts[: len(starts) - words + 1], ends[words - 1 :]
+    else:
+        begin = np.arange(max(0, len(data) - length + 1))
+        end = begin + length
     owner = np.searchsorted(bounds, begin, "right") - 1
     whole = end < bounds[owner + 1]
     begin, end, owner = begin[whole], end[whole], owner[whole]
-    one, two = (RangeHash(data, keys).of(begin, end).astype(np.int64) for keys in (BYTE_KEYS, _OTHER_KEYS))
-    _, first, number, n = np.unique(np.stack((one, two), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    repeats = n[number.ravel()] > 1
-    shown = np.zeros(len(begin), bool)  # one window of each class
-    shown[first] = True
-    at = np.searchsorted(owner, np.arange(len(regions) + 1))
+    repeats, shown = repeated_windows(data, begin, end - begin)
+    at = np.searchsorted(owner, np.arange(len(rows_of) + 1))
     spans, left = [], []
-    for k, rows in enumerate(regions):
+    for k, rows in enumerate(rows_of):
         a, b = int(at[k]), int(at[k + 1])
         flags = repeats[a:b] if len(rows) == 1 else np.ones(b - a, bool)
         x, z = begin[a:b] - bounds[k], end[a:b] - bounds[k]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
         for i, j in zip(x[edge[0::2]].tolist(), z[edge[1::2] - 1].tolist(), strict=True):
             spans += [(group[row][0], group[row][1] + i, group[row][1] + j) for row in rows]
-        if group[rows[0]][3]:
-            key, lo = group[rows[0]][:2]
+        key, lo, region, split, _ = group[rows[0]]
+        if split:
             for i in np.flatnonzero(~repeats[a:b] | shown[a:b]).tolist():
-                left.append((int(one[a + i]), int(two[a + i]), None if flags[i] else key, lo + int(x[i]), lo + int(z[i])))
+                digest = hashlib.blake2b(region[x[i] : z[i]], digest_size=16).digest()
+                left.append((digest, None if flags[i] else key, lo + int(x[i]), lo + int(z[i])))
     return spans, left
 
 
-def _sorted_regions(regions: DataFrame, length: int, words: int | None = None) -> DataFrame:
-    """Spans (key, begin, end), and open windows (one, two, key or null where it is settled, begin, end) of split anchors."""
+def _sorted_regions(regions: DataFrame, length: int, words: int | None) -> DataFrame:
+    """Spans (key, begin, end), and open windows (digest; key or null where it is settled, begin, end) of split anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, bytes, bool, int]] = []
+        held: list[Region] = []
         size, last = 0, None
 
         def told() -> pa.RecordBatch:
-            spans, left = _settle_words(held, words) if words else _settle(held, length)
-            left = [x if words else (*x, x[3] + length) for x in left]
-            columns = [[s[0] for s in spans] + [x[2] for x in left], [s[1] for s in spans] + [x[3] for x in left], [s[2] for s in spans] + [x[4] for x in left], [None] * len(spans) + [x[0] for x in left], [None] * len(spans) + [x[1] for x in left]]
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "begin", "end", "one", "two"])
+            spans, left = _settle(held, length, words)
+            rows = [(*s, None) for s in spans] + [(*x[1:], x[0]) for x in left]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["key", "begin", "end", "digest"])
 
         for batch in batches:
             for anchor, part, parts, key, lo, region in zip(*[batch[c].to_pylist() for c in ("anchor", "part", "parts", "key", "lo", "region")], strict=True):
@@ -213,60 +212,69 @@ def _sorted_regions(regions: DataFrame, length: int, words: int | None = None) -
             yield told()
 
     dealt = regions.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.select("anchor", "part", "parts", "key", "lo", "region").mapInArrow(run, "key binary, begin long, end long, one long, two long")
+    return dealt.select("anchor", "part", "parts", "key", "lo", "region").mapInArrow(run, "key binary, begin long, end long, digest binary")
 
 
-def _of_rows(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the rows that ``wanted`` (doc_id, key, ...) names; null ids too; its ids go ahead as a filter where they are few."""
-    wanted = wanted.withColumnsRenamed({"doc_id": "__id", "key": "__wanted"})
-    ids = wanted.select("__id", "__wanted")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__wanted"))
-    few = ids.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(ids), same, "left_semi") if few else base
-    return texts.join(wanted, same).drop("__id", "__wanted").dropDuplicates(["key"])
+def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, text and the columns of ``wanted`` (key, doc_id, ...): one text for each key, that of the row it names; null ids too."""
+    ids = wanted.select(F.col("doc_id").alias("__id"), F.col("key").alias("__wanted"))
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = base.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__wanted")), "left_semi")
+    return texts.select("key", "text").join(wanted.drop("doc_id"), "key").dropDuplicates(["key"])
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, key, n_bytes, sha), keys of copies (key, doc_id, copies), and spans (key, spans) of distinct texts.
+def spans(docs: DataFrame, length: int = LENGTH, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table: key (``text_key``) and spans (begin, end) of what repeats in each text; of a text with copies, all of it.
 
-    With ``words``, windows are so many words; then copies without a window don't count as copies.
+    With ``words``, windows are so many words; then copies without a window don't count as copies. A null text counts as empty.
     """
-    over = 0 if words else length
-    length = words or length  # a word has a byte at least
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = materialise(base.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    first = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")))
-    long_texts = base.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text")))
-    anchors = materialise(_anchors(long_texts.select("key", "text"), length, gram, words))
-    place = F.struct("key", "at")
-    met = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    ship(docs.sparkSession)
+    least = words or length  # a word has a byte at least
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least).withColumn("key", text_key(F.col("text")))
+    first = materialise(base.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")))
+    anchors = materialise(_anchors(base.select("key", "text"), length, words))
+    place = F.xxhash64("key", "at")
+    met = anchors.where("anchor IS NOT NULL").groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     # Written out: only then does the join have plain shuffles on both sides, whose large tasks Spark splits.
     met = materialise(met.select("anchor", F.ceil(F.col("n") / TASK_REGIONS).cast("int").alias("parts")))
-    marked = anchors.join(met, "anchor").groupBy("key", "at").agg(F.first(F.struct("anchor", "lo", "hi", "parts")).alias("a"))
-    listed = materialise(marked.groupBy("key").agg(F.collect_list("a").alias("anchors")).join(first.select("key", "doc_id"), "key"))
+    marked = anchors.join(met, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi", "parts")).alias("anchors"))
+    listed = materialise(marked.join(first.select("key", "doc_id"), "key"))
+    drop(met)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "part", "parts", "key", "lo", "region"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+        rows: list[tuple] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names)
+
         for batch in batches:
-            for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["anchors"].to_pylist(), strict=True):
-                data = text.encode()
-                draw = int.from_bytes(key[:4], "little")
-                columns = [[a["anchor"] for a in found], [(draw + a["lo"]) % a["parts"] for a in found], [a["parts"] for a in found], [key] * len(found), [a["lo"] for a in found], [data[a["lo"] : a["hi"] + over] for a in found]]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "part", "parts", "key", "lo", "region"])
-
-    keyed = base.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text")))
-    regions = _of_rows(keyed, listed).select("key", "text", "anchors").mapInArrow(cut, "anchor long, part int, parts int, key binary, lo long, region binary")
+            for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["anchors"], strict=True):
+                data, draw = text.encode(), int.from_bytes(key[:4], "little")
+                for anchor, lo, hi, parts in zip(*[found.values.field(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
+                    rows.append((anchor, (draw + lo) % parts, parts, key, lo, data[lo:hi]))
+                    size += hi - lo
+                    if size >= SENT_BYTES:
+                        yield told()
+                        rows, size = [], 0
+        yield told()
+
+    regions = _texts_of(base, listed).select("key", "text", "anchors").mapInArrow(cut, "anchor long, part int, parts int, key binary, lo long, region binary")
     settled = materialise(_sorted_regions(regions, length, words))
-    done = settled.where("one IS NULL").select("key", "begin", "end")
-    left = settled.where("one IS NOT NULL")
-    again = left.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    late = left.where("key IS NOT NULL").join(again, ["one", "two"]).select("key", "begin", "end")
-    per_text = done.union(late).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    drop(listed)
+    done = settled.where("digest IS NULL").select("key", "begin", "end")
+    left = settled.where("digest IS NOT NULL")
+    again = left.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    late = left.where("key IS NOT NULL").join(again, "digest").select("key", "begin", "end")
+    within = anchors.where("anchor IS NULL").select("key", F.col("lo").cast("long").alias("begin"), F.col("hi").cast("long").alias("end"))
+    copied = first.where("copies > 1").select("key", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))
     if words:
-        windowed = anchors.select("key").distinct().withColumn("__has", F.lit(True))
-        first = first.join(windowed, "key", "left").withColumn("copies", F.when(F.col("__has") | (F.col("copies") == 1), F.col("copies")).otherwise(F.lit(0))).drop("__has")
-    return rows, first, per_text.join(first.where("copies = 1").select("key", "doc_id"), "key")
+        copied = copied.join(anchors.select("key").distinct(), "key", "left_semi")
+    out = materialise(done.union(late).union(within).union(copied).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")))
+    drop(settled, anchors, first)
+    return out
 
 
 def _merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -287,65 +295,79 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def _whole_characters(data: bytes, removed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, widened to whole characters."""
+    out: list[tuple[int, int]] = []
+    for a, b in removed:
+        while a and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1][1]:
+            a, b = out.pop()[0], b
+        out.append((a, b))
+    return out
+
+
+def _apart(docs: DataFrame, cuts: DataFrame, text_col: str, spans_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``docs`` with their spans, and those that have none, which don't move where the cut texts are few."""
+    key = fresh("__key", docs.columns)
+    cuts = cuts.withColumnsRenamed({"key": key, "spans": spans_col})
+    own = text_key(F.coalesce(F.col(text_col), F.lit(""))) == F.col(key)
+    if cuts.count() > BROADCAST_ROWS:
+        return docs.join(cuts, own, "left").drop(key), None
+    keys = F.broadcast(cuts.select(key))
+    return docs.join(keys, own, "left_semi").join(cuts, own).drop(key), docs.join(keys, own, "left_anti")
+
+
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row.
+    """Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text for each row.
 
-    A null text counts as empty. Repeated rows are copies: each one's windows start elsewhere too. Texts shorter
-    than ``length`` keep all. Ids may be null or repeat; an empty table gives no rows; other columns are left out.
+    ``text`` is what stays, without the characters that are cut in part. A null text counts as empty. Repeated rows are
+    copies: each one's windows start elsewhere too. Texts shorter than ``length`` keep all. Ids may be null or repeat; an
+    empty table gives no rows; other columns are left out.
     """
-    rows, first, found = spans(docs, length, id_col=id_col, text_col=text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text")))
-    found = materialise(found)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    touched, others = _apart(base, spans(docs, length, id_col=id_col, text_col=text_col), "text", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, listed in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                removed = _merged(listed)
-                out.append((key, sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept_bytes(text.encode(), removed)).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["key", "removed", "runs", "kept"])
-
-    told = _of_rows(base, found).select("key", "text", "spans").mapInArrow(run, "key binary, removed long, runs long, kept string")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    per_key = first.select("key", "copies", "n_bytes").join(told, "key", "left").select(
-        "key",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept")).alias("kept"),
-    )
-    return rows.join(materialise(per_key), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept", "sha").alias("kept_sha256"))
-
-
-def _cuts(docs: DataFrame, length: int, words: int | None, id_col: str, text_col: str) -> DataFrame:
-    """__key, __spans of each text that repeats in part or as a whole."""
-    _, first, found = spans(docs, length, id_col=id_col, text_col=text_col, words=words)
-    length = words or length
-    whole = first.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("key").alias("__key"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("__spans"))
-    return found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).union(whole)
+            for text, listed in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                data, removed = text.encode(), _merged(listed or [])
+                kept = kept_bytes(data, _whole_characters(data, removed)).decode()
+                out.append((len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest(), kept))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)]], names)
+
+    cut = touched.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    if others is None:
+        return cut
+    none = F.lit(0).cast("long")
+    return cut.union(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of its texts, and a column of their lengths in characters brought up to date.
 
-    A character that is cut in part goes whole. Null texts stay null; all rows stay. With ``words``, each string of so many
-    words (``words_of``) that stands elsewhere too is cut as well, however few bytes it has.
+    With ``words``, what is cut are strings of so many words (``words_of``) that stand elsewhere too, however many bytes they
+    have, in place of those of ``length`` bytes. A character that is cut in part goes whole. Null texts stay null; all rows stay.
     """
-    cuts = _cuts(docs, length, None, id_col, text_col)
-    if words:
-        both = cuts.union(_cuts(docs, length, words, id_col, text_col))
-        cuts = both.groupBy("__key").agg(F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"))
-    met = docs.withColumn("__key", text_key(F.coalesce(F.col(text_col), F.lit("")))).join(cuts, "__key", "left").select(*docs.columns, "__spans")
+    spans_col = fresh("__spans", docs.columns)
+    touched, others = _apart(docs, spans(docs, length, words, id_col, text_col), text_col, spans_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = []
-            for text, listed in zip(batch[text_col].to_pylist(), batch["__spans"].to_pylist(), strict=True):
-                texts.append(kept_bytes(text.encode(), _merged(listed)).decode("utf-8", "ignore") if text and listed else text)
+            at, texts = batch.schema.get_field_index(text_col), []
+            for text, listed in zip(batch[text_col].to_pylist(), batch[spans_col].to_pylist(), strict=True):
+                data = text.encode() if text and listed else b""
+                texts.append(kept_bytes(data, _whole_characters(data, _merged(listed))).decode() if data else text)
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = met.mapInArrow(run, docs.schema)
+    out = touched.mapInArrow(run, docs.schema)
+    if others is not None:
+        out = out.union(others)
     return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col else out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BYTE_KEYS, RangeHash
+from .common import BYTE_KEYS, RangeHash, spread
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -95,22 +95,49 @@ def _by_windows(padded: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
     return np.array(listed)
 
 
-def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (out of those marked valid) whose next ``length`` bytes stand at another valid start too, and the class of each.
+def repeated_windows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some windows of ``data`` stand as another window too, and one of each class of equal windows.
 
-    A class is the run of neighbours in suffix order with common prefixes of that length; classes count from 0.
+    The windows are taken in suffix order; of those of one length, equal ones are neighbours there, whose common prefix
+    reaches that length.
     """
-    order = suffix_order(data, length)
-    order = order[valid[order]]
-    if len(order) < 2:
-        return order[:0], order[:0]
-    hashes = RangeHash(data, BYTE_KEYS)
-    same = common_prefix_reaches(hashes, order[:-1], order[1:], length)
-    inside = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    number = np.cumsum(np.concatenate(([True], ~same)))
-    return order[inside], number[inside]
+    place = np.full(len(data), -1)
+    place[starts] = np.arange(len(starts))
+    order = place[suffix_order(data, int(lengths.max()) if len(lengths) else 0)]
+    order = order[order >= 0]
+    order = order[np.argsort(lengths[order], kind="stable")]
+    a, b = order[:-1], order[1:]
+    same = lengths[a] == lengths[b]
+    same[same] = common_prefix_reaches(data, starts[a[same]], starts[b[same]], lengths[a[same]])
+    repeats, shown = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    repeats[a[same]] = repeats[b[same]] = True
+    shown[order[repeats[order] & np.concatenate(([True], ~same))[: len(order)]]] = True
+    return repeats, shown
+
 
+def common_prefix_reaches(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the common prefix of a[i] and b[i] reaches length[i].
 
-def common_prefix_reaches(hashes: RangeHash, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the common prefix of a[i] and b[i] reaches ``length``."""
-    return hashes.of(a, a + length) == hashes.of(b, b + length)
+    Pairs whose hashes differ are out. The bytes of the others are compared: pairs at one distance whose ranges overlap, together.
+    """
+    hashes = RangeHash(data, BYTE_KEYS)
+    out = hashes.of(a, a + length) == hashes.of(b, b + length)
+    at = np.flatnonzero(out)
+    if not len(at):
+        return out
+    low, apart = np.minimum(a[at], b[at]), np.abs(b[at] - a[at])
+    order = np.lexsort((low, apart))
+    at, low, apart = at[order], low[order], apart[order]
+    # Ends, running on within a distance: those of smaller distances lie below any start of the next by this shift.
+    shift = len(data) + 1
+    number = np.cumsum(np.concatenate(([0], apart[1:] != apart[:-1])))
+    end = np.maximum.accumulate(low + length[at] + number * shift) - number * shift
+    new = np.concatenate(([True], (apart[1:] != apart[:-1]) | (low[1:] > end[:-1])))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    sizes = end[last] - low[first]
+    x = spread(low[first], sizes)
+    differ = np.concatenate(([0], np.cumsum(data[x] != data[x + np.repeat(apart[first], sizes)])))
+    base = (np.cumsum(sizes) - sizes)[np.cumsum(new) - 1] - low[first][np.cumsum(new) - 1]
+    out[at] = differ[low + length[at] + base] == differ[low + base]
+    return out

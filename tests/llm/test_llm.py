@@ -239,7 +239,13 @@ def brute_removals(rows, length):
             if seen[b[i : i + length]] > 1:
                 cover[i : i + length] = 1
         runs = int((np.diff(np.concatenate(([0], cover))) == 1).sum())
-        out.append((d, len(b), int(cover.sum()), runs, hashlib.sha256(bytes(c for c, hit in zip(b, cover, strict=False) if not hit)).hexdigest()))
+        kept = bytes(c for c, hit in zip(b, cover, strict=False) if not hit)
+        at, text = 0, []
+        for c in t or "":
+            size = len(c.encode())
+            text += [] if cover[at : at + size].any() else [c]
+            at += size
+        out.append((d, len(b), int(cover.sum()), runs, hashlib.sha256(kept).hexdigest(), "".join(text)))
     return sorted(out, key=repr)
 
 
@@ -250,11 +256,29 @@ def test_repeats(spark, odd, empty, monkeypatch, regions):
     r = random.Random(3)
     passages = ["".join(r.choice("abcde é") for _ in range(n)) for n in (390, 401, 700, 1200)]
     rows = [(i, "".join(r.choice("fghij ") for _ in range(r.randrange(600))) + r.choice(passages) + "".join(r.choice("klmno ") for _ in range(r.randrange(300))) + r.choice(["", r.choice(passages)])) for i in range(40)]
-    rows += [(40, "z" * 2000), (41, "ab" * 500), (42, "z" * 399)]
+    rows += [(40, "z" * 2000), (41, "ab" * 500), (42, "z" * 399), (43, thue_morse(11)), (44, thue_morse(11, "ba")), (45, "é" * 450)]
     assert table(repeats.removals(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_removals(rows, 400)
     assert repeats.removals(empty).count() == 0
 
 
+def test_repeats_in_periodic_texts(spark):
+    r = random.Random(8)
+    letters = "".join(r.choice("abcdefgh") for _ in range(200))
+    some = lambda n: "".join(r.choice("ijklmnop") for _ in range(n))
+    rows = []
+    for period in (1, 2, 7, 63, 64, 65, 130):
+        for n in (380, 400, 401, 399 + period, 400 + period, 401 + period, 650, 1500):
+            rows.append((len(rows), some(r.randrange(300)) + (letters[:period] * 1500)[r.randrange(period) :][:n] + some(r.randrange(500))))
+    for _ in range(6):
+        rows.append((len(rows), "q" * r.randrange(390, 600) + some(5) + "q" * r.randrange(300, 900) + letters[:9] * r.randrange(40, 90)))
+    assert table(repeats.removals(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_removals(rows, 400)
+    for long in (b" " * 10_000_000, b"ab" * 2_000_000):
+        hashes, _, lo, hi, whole = repeats.anchors_of(long, 400, None)
+        assert int((hi - lo).sum()) < 200_000 and len(hashes) < 500 and whole
+    blanks = repeats.anchors_of(b"one two " * 100_000, 400, 51)
+    assert int((blanks[3] - blanks[2]).sum()) < 200_000
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_repeats_of_rows_without_an_id(spark, monkeypatch, broadcast):
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
