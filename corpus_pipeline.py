@@ -40,14 +40,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _filtered(docs, lambda rows: quality.score(rows, labels), "predicted = 1")
 
 
-#: A link of the stage, in percent. 24 bands of 4: sets at a similarity of 0.8 share no band with probability 3.2e-6.
-NEAR_PERCENT, NEAR_BANDS = 80, 24
+#: A link of the stage, in percent. By the operator's 24 bands of 4, sets at a similarity of 0.8 share no band with probability 3.2e-6.
+NEAR_PERCENT = 80
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, from a similarity of 0.8, stays."""
     ship(spark)
-    return neardup.deduplicated(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
+    return neardup.deduplicated(docs, percent=NEAR_PERCENT)
 
 
 #: Words of a repeated passage that is cut out: over 50.
@@ -55,7 +55,7 @@ PASSAGE_WORDS = 51
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes, that stand elsewhere too are cut out of the texts; n_chars follows."""
+    """Passages of over 50 words that stand elsewhere too are cut out of the texts; n_chars follows."""
     ship(spark)
     return repeats.without_repeats(docs, count_col="n_chars", words=PASSAGE_WORDS)
 
