@@ -1,14 +1,15 @@
 """Near duplicates by MinHash: fast similarity sketches, banding, exact verification, connected components.
 
 1. Each text becomes a shingle set; rows with equal sets form one node, so copies never meet each other again.
-2. Nodes that agree in a band share a bucket. Of the first nodes of its buckets, each node is verified against the least
-   one that its sketch doesn't rule out: links that hold are contracted into components.
+2. Nodes that agree in a band share a bucket. Of the first nodes of its buckets, each node is verified against the one that it
+   shares most bands with: links that hold are contracted into components.
 3. Pairs in a bucket that lie in different components are left. Members are dealt into chunks, each two chunks
    meet once, and a pair goes on if its size ratio allows a link and its sketches don't rule it out (5 standard
-   deviations). These pairs are verified too, so a bucket loses no link however many members it has.
+   deviations). In a few rounds each node tries the likeliest of these partners; what is still in different components
+   then is verified pair by pair, so a bucket loses no link however many members it has.
 4. Components of all verified links give each row the smallest doc_id that it reaches.
 
-Buckets hold 64 bits of a node and pairs 64 bytes of its sketch. Only pairs to be verified meet with their texts: a
+Buckets hold 64 bits of a node and pairs 256 bytes of its sketch. Only pairs to be verified meet with their texts: a
 text goes to the task of its partner, whose partners are dealt to several tasks where they are many, and words are compared
 there byte by byte.
 """
@@ -33,6 +34,8 @@ PERCENT = 85
 #: Members of a chunk of a bucket, and shingles of the partners of a node that go to one task.
 CHUNK_NODES = 2048
 TASK_SHINGLES = 100_000
+#: Rounds, at most, in which each node tries the likeliest of its partners alone.
+ROUNDS = 5
 #: Bytes of text whose words are compared at once.
 HELD_BYTES = 500_000
 #: Rows that are broadcast at most, of 16 bytes in an anti-join and of some 60 with the pairs.
@@ -45,8 +48,8 @@ def _digest(elements: np.ndarray) -> bytes:
 
 
 def most_apart(percent: int) -> int:
-    """The bits in which the marks of a link differ at most, but for 5 standard deviations."""
-    share = (1 - percent / 100) / 2
+    """The bins in which the marks of a link differ at most, but for 5 standard deviations."""
+    share = (1 - percent / 100) * 3 / 4
     return int(sketch.BINS * share + 5 * (sketch.BINS * share * (1 - share)) ** 0.5)
 
 
@@ -91,7 +94,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _plausible(a: str, b: str, percent: int) -> Column:
     """Whether sizes and marks of two joined nodes allow a link."""
-    apart = sum((F.bit_count(F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])) for i in range(_WORDS)), F.lit(0))
+    differs = lambda i: F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])
+    apart = sum((F.bit_count(differs(i).bitwiseOR(differs(i + _WORDS))) for i in range(_WORDS)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= most_apart(percent))
 
@@ -138,8 +142,11 @@ def verify(pairs: DataFrame, base: DataFrame, percent: int = PERCENT) -> DataFra
     return out
 
 
-def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b: 8 bytes of nodes) of different components that share a bucket (told: key, hi, label)."""
+def _across(told: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Plausible pairs (a, b: 8 bytes of nodes) of different components that share a bucket (told: key, hi, label).
+
+    All of them, or for each node b the one whose marks agree best.
+    """
     sizes = materialise(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks")))
     open_members = told.join(sizes, "key").join(nodes.select("hi", "n", "marks"), "hi")
     dealt = open_members.withColumn("i", F.pmod(F.xxhash64("hi", F.lit(3)), F.col("chunks")).cast("int"))
@@ -155,17 +162,30 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 rows = pa.concat_arrays([s["rows"].values for s in sides.values])
                 hi, label, n = (rows.field(k).to_numpy() for k in range(3))
                 marks = rows.field(3).flatten().to_numpy().reshape(len(hi), -1).view(np.uint64)
-                for i in range(len(hi) - 1):
-                    j = slice(i + 1, None)
+                out: list[tuple[np.ndarray, ...]] = []
+                for i in range(len(hi) if best else len(hi) - 1):
+                    j = slice(0 if best else i + 1, None)
                     ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
                     if x != y:
                         ok &= chunk[j] != chunk[i]
-                    at = np.flatnonzero(ok) + i + 1
-                    at = at[np.bitwise_count(marks[at] ^ marks[i]).sum(1) <= most]
+                    at = np.flatnonzero(ok) + j.start
+                    differs = marks[at] ^ marks[i]
+                    apart = np.bitwise_count(differs[:, :_WORDS] | differs[:, _WORDS:]).sum(1)
+                    at, apart = at[apart <= most], apart[apart <= most]
+                    if best and len(at):
+                        near = np.lexsort((hi[at], apart))[:1]
+                        at, apart = at[near], apart[near]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hi[at], hi[i])), pa.array(np.maximum(hi[at], hi[i]))], ["a", "b"])
-
-    out = materialise(met.select("x", "y", "sides").mapInArrow(run, "a long, b long").distinct())
+                        out.append((hi[at], np.full(len(at), hi[i]), apart))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["a", "b", "apart"])
+
+    pairs = met.select("x", "y", "sides").mapInArrow(run, "a long, b long, apart long")
+    if best:
+        pairs = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select("near.a", "b")
+    else:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = materialise(pairs)
     drop(sizes)
     return out
 
@@ -189,24 +209,32 @@ def _found(base: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFr
         met = near.join(ends[1], F.col("b") == F.col("__b")).join(ends[0], F.col("a") == F.col("__a")).where(_plausible("ea", "eb", percent))
         return met.select(*[F.struct(*[F.col(f"e{side}.{c}") for c in ("node", "doc_id", "number", "n")]).alias(side) for side in "ab"])
 
-    star = shared.where("hi <> head").select(F.col("head").alias("a"), F.col("hi").alias("b")).distinct()
-    pairs = materialise(pairs_of(star).groupBy(F.col("b.node").alias("own")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+    # Of its buckets' heads, the one that a node shares most bands with is likely the most similar: only that one is tried.
+    star = shared.where("hi <> head").groupBy("hi", "head").agg(F.count(F.lit(1)).alias("n"))
+    star = star.groupBy("hi").agg(F.max(F.struct("n", "head")).alias("most")).select(F.col("most.head").alias("a"), F.col("hi").alias("b"))
+    pairs = materialise(pairs_of(star))
     links = verify(pairs, base, percent)
     drop(pairs)
     found = components(links)
-    label = nodes.join(found, "node", "left").select("hi", F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("hi")).alias("label"))
-    told = materialise(shared.select("key", "hi").join(label, "hi"))
-    drop(shared)
-    met = _across(told, nodes, percent)
-    drop(told)
-    pairs = materialise(pairs_of(met))
-    drop(met)
-    more = verify(pairs, base, percent)
-    drop(pairs)
-    if not more.isEmpty():
-        drop(found)
-        found = components(links.union(more))
-    drop(links, more)
+    # Families whose members are linked in part contract in a few rounds, before all pairs that are left are tried.
+    left = ROUNDS
+    while left >= 0:
+        label = nodes.join(found, "node", "left").select("hi", F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("hi")).alias("label"))
+        told = materialise(shared.select("key", "hi").join(label, "hi"))
+        met = _across(told, nodes, percent, left > 0)
+        pairs = materialise(pairs_of(met))
+        more = verify(pairs, base, percent)
+        drop(told, met, pairs)
+        if more.isEmpty():
+            drop(more)
+            left = 0 if left > 0 else -1
+            continue
+        both = materialise(links.union(more))
+        drop(links, more, found)
+        links = both
+        found = components(links)
+        left -= 1
+    drop(links, shared)
     least = nodes.join(found, "node").groupBy("label").agg(F.min(F.struct("doc_id", "number")).alias("first"))
     own = found.join(least, "label").select("node", "first")
     # Written out, so that the join with all rows stands alone and Spark can split the task of a node with very many rows.
