@@ -52,7 +52,7 @@ def delimiters(text: str) -> list[int]:
     kept = []
     for i, place in enumerate(at):
         beside = (i > 0 and formulas[i - 1]) or (i < len(formulas) and formulas[i])
-        amount = _AMOUNT_BEFORE.search(text[max(0, place - 64) : place]) or _AMOUNT_AFTER.match(text, place + 1)
+        amount = _AMOUNT_BEFORE.search(text[text.rfind("\n", 0, place) + 1 : place]) or _AMOUNT_AFTER.match(text, place + 1)
         if beside or not amount:
             kept.append(place)
     return kept

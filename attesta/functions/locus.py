@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .latex import analyse
 
-# Commands that wrap one group.
-WRAPPERS = {"bar", "boldsymbol", "hat", "mathbb", "mathbf", "mathcal", "mathit", "mathrm", "mathsf", "mathtt", "overline", "underline", "vec"}
+# Commands that wrap one group; how far boundaries lie from a place, and how many spans are tried.
+WRAPPERS = {"bar", "boldsymbol", "hat", "mathbb", "mathbf", "mathcal", "mathit", "mathrm", "mathsf", "mathtt", "overline", "text", "underline", "vec"}
 RADIUS, MOST = 128, 512
 _LEXEME = re.compile(r"\\(?:[A-Za-z]+|.)|.", re.DOTALL)
 
@@ -95,7 +95,7 @@ def intervals(latex: str, start: int, end: int) -> list[tuple[int, int]]:
     """Candidate spans between syntax boundaries near a place, the nearest and shortest first."""
     marks = sorted({0, len(latex), *[x for pair in units(latex) for x in pair], *[x for pair in groups(latex) for x in (pair[0], pair[0] + 1, pair[1] - 1, pair[1])], *[a for a, _, _ in lexemes(latex)]})
     near = [m for m in marks if start - RADIUS <= m <= end + RADIUS]
-    found = [(abs(a - start) + abs(b - end), b - a, a, b) for a in near for b in near if a < b]
+    found = [(abs(a - start) + abs(b - end), b - a, a, b) for a in near for b in near if a < b and a < end and b > start]
     return [(a, b) for _, _, a, b in sorted(found)[:MOST]]
 
 

@@ -113,7 +113,14 @@ def assertions_covered(relations: Column, expected: Column, observed: Column) ->
 
 def escaped_places(text: Column, character: str) -> Column:
     """Places, from 0, of a character with an even number of backslashes before it."""
-    n = F.length(text)
-    ahead = lambda i: F.regexp_extract(F.substring(text, F.lit(1), i), r"(\\*)$", 1)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: (F.substring(text, i + 1, F.lit(1)) == character) & (F.length(ahead(i)) % 2 == 0))
+    # Cut in front of each of them: the backslashes before one end the piece before it.
+    pieces = F.split(text, f"(?=\\Q{character}\\E)")
+    held = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+
+    def put(so: Column, piece: Column) -> Column:
+        at = so["at"] + F.length(piece)
+        even = F.length(F.regexp_extract(piece, r"(\\*)$", 1)) % 2 == 0
+        return F.struct(at.alias("at"), F.when(even & (at < F.length(text)), F.array_append(so["places"], at)).otherwise(so["places"]).alias("places"))
+
+    first = F.when(F.startswith(text, F.lit(character)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.concat(first, F.aggregate(pieces, held, put)["places"])

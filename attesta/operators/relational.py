@@ -15,8 +15,9 @@ def unique_match(rows: DataFrame, key: list[str], exact: DataFrame, exact_on: li
     met = rows.join(one(exact, exact_on, 1), exact_on, "left").join(one(positional, positional_on, 2), positional_on, "left")
     chosen = F.when(F.col("__n1") == 1, F.col("__v1")).when(F.col("__n1").isNull() & (F.col("__n2") == 1), F.col("__v2"))
     met = met.select(*key, chosen.alias(value), F.when(F.col("__n1") == 1, "exact").when(F.col("__n1") > 1, "ambiguous").when(F.col("__n2") == 1, "positional").when(F.col("__n2") > 1, "ambiguous").otherwise("missing").alias("state"))
-    again = F.count(value).over(Window.partitionBy(value)) > 1
-    return met.withColumn("state", F.when(F.col(value).isNotNull() & again, "reused").otherwise(F.col("state")))
+    again = met.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__uses")).where("__uses > 1")
+    met = met.join(again, F.col(value) == F.col("__value"), "left")
+    return met.select(*key, value, F.when(F.col("__uses").isNotNull(), "reused").otherwise(F.col("state")).alias("state"))
 
 
 def link_status(nodes: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -37,17 +38,18 @@ def kth_occurrences(left: DataFrame, right: DataFrame, text: str, left_order: st
 def mapped_spans(spans: DataFrame, edits: DataFrame, ref: str) -> DataFrame:
     """Spans moved by the edits that end before them; null where an edit overlaps.
 
-    spans: ref, id, start, end. edits: ref, e_start, e_end, delta. Result: ref, id, new_start, new_end. Edits are summed once
-    per reference, so a span meets only those that lie before its end.
+    spans: ref, id, start, end, not empty. edits: ref, e_start, e_end, delta. Result: ref, id, new_start, new_end. Spans and edits of a
+    reference are swept together, once by where edits end and once by where they begin.
     """
-    moves = edits.select(F.col(ref).alias("__ref"), "e_start", "e_end", "delta")
-    met = spans.join(moves, (F.col(ref) == F.col("__ref")) & (F.col("e_start") < F.col("end")), "left")
-    met = met.groupBy(ref, "id", "start", "end").agg(
-        F.coalesce(F.sum(F.when(F.col("e_end") <= F.col("start"), F.col("delta"))), F.lit(0)).alias("__by"),
-        F.coalesce(F.bool_or((F.col("e_end") > F.col("start")) & (F.col("e_start") < F.col("end"))), F.lit(False)).alias("__hit"),
+    none = F.lit(None).cast("long")
+    swept = spans.select(ref, "id", "start", "end", none.alias("__delta"), F.lit(0).alias("__edit"), F.col("start").alias("__low"), F.lit(1).alias("__after"), F.col("end").alias("__high"), F.lit(0).alias("__later")).union(
+        edits.select(ref, none.alias("id"), none.alias("start"), none.alias("end"), F.col("delta").cast("long"), F.lit(1), F.col("e_end"), F.lit(0), F.col("e_start"), F.lit(1))
     )
-    moved = lambda c: F.when(~F.col("__hit"), (F.col(c) + F.col("__by")).cast("long"))
-    return met.select(ref, "id", moved("start").alias("new_start"), moved("end").alias("new_end"))
+    so_far = lambda *order: Window.partitionBy(ref).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended, begun = so_far("__low", "__after"), so_far("__high", "__later")
+    swept = swept.withColumn("__by", F.coalesce(F.sum("__delta").over(ended), F.lit(0))).withColumn("__ended", F.sum("__edit").over(ended)).withColumn("__begun", F.sum("__edit").over(begun))
+    moved = lambda c: F.when(F.col("__begun") == F.col("__ended"), (F.col(c) + F.col("__by")).cast("long"))
+    return swept.where("__edit = 0").select(ref, "id", moved("start").alias("new_start"), moved("end").alias("new_end"))
 
 
 def set_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -73,9 +75,13 @@ def pattern_places(values: Column, pattern: Column) -> Column:
 
 def substring_places(text: Column, part: Column) -> Column:
     """All places, from 0, at which a text holds a part, overlapping ones included."""
-    n = F.length(text) - F.length(part)
-    starts = F.when((n >= 0) & (F.length(part) > 0), F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.substring(text, i + 1, F.length(part)) == part)
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    # Cut in front of each place: the places are where the pieces but the first begin, and 0 if the text begins with the part.
+    pieces = F.split(text, quoted)
+    held = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    rest = F.aggregate(pieces, held, lambda so, piece: F.struct((so["at"] + F.length(piece)).alias("at"), F.array_append(so["places"], so["at"] + F.length(piece)).alias("places")))["places"]
+    found = F.concat(F.when(F.startswith(text, part), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.slice(rest, 1, F.size(pieces) - 1))
+    return F.when(F.length(part) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def is_subsequence(values: Column, of: Column) -> Column:

@@ -70,12 +70,12 @@ def b22_b23_page_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", E.page_has_content(text, F.when(n % 8 == 0, 1).otherwise(0), F.when(n % 9 == 0, 2).otherwise(0)).alias("has_content"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'queued' WHEN 'O' THEN 'running' ELSE 'staging' END AS status, o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 5 MINUTE AS stale FROM orders WHERE o_orderkey < 4000),
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'queued' WHEN 'O' THEN 'running' ELSE 'staging' END AS status, o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 5 MINUTE AS stale FROM orders),
 j AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey % 2 = 0), f AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R')
 SELECT id, CASE WHEN status IN ('queued', 'running') AND id IN (SELECT id FROM f) THEN 'failed_execution' WHEN status = 'queued' AND stale AND id NOT IN (SELECT id FROM j) THEN 'orphaned' WHEN status = 'staging' AND stale THEN CASE WHEN id IN (SELECT id FROM j) THEN 'adopt' ELSE 'fail' END END AS action
 FROM r WHERE action IS NOT NULL""")
 def j12_reconciliation(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 4000")
+    o = table(spark, sf_dir, "orders")
     records = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("job_id"), F.concat(F.lit("k"), "o_orderkey").alias("job_key"), F.expr("CASE o_orderstatus WHEN 'P' THEN 'queued' WHEN 'O' THEN 'running' ELSE 'staging' END").alias("status"), F.col("o_orderdate").alias("updated_at"))
     items = table(spark, sf_dir, "lineitem")
     jobs = items.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("job_id")).distinct().withColumns({"job_key": F.concat(F.lit("k"), "job_id"), "arguments": F.lit("")})

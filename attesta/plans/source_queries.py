@@ -58,13 +58,13 @@ def b33_b34_valid_documents(spark, sf_dir):
     return d.select("conv_id", candidate.pages_valid(F.col("document.pages")).alias("pages_valid"), candidate.items_valid(F.col("document.texts"), F.col("document.pages")).alias("items_valid"))
 
 
-_LINE = "regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g')"
+_LINE = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_LINE} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, length(t))) AS i FROM d WHERE length(t) > 0)
 SELECT doc_id, CAST(i AS INTEGER) AS sequence, substr(t, CAST(i + 1 AS BIGINT), 1) AS u, CAST(100 AS DOUBLE) AS y FROM c""")
 def a02_a05_content_streams(spark, sf_dir):
-    t = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
+    t = F.regexp_replace("text", "[^A-Za-z ]", "")
     content = F.concat(F.lit("q 1 0 0 1 0 0 cm BT /F1 10 Tf 1 0 0 1 50 700 Tm ("), t, F.lit(") Tj ET Q")).cast("binary")
     fonts = {"/F1": {"width": 1, "map": {c: chr(c) for c in range(32, 127)}}}
     pages = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
@@ -86,10 +86,10 @@ def a07_horizontal_rules(spark, sf_dir):
     return pdf_streams.horizontal_rules(strokes).select("id", "left", "right", F.col("y").cast("double").alias("y"))
 
 
-@query("""WITH c AS (SELECT event_id AS id, user_id % 5 AS page, event_type AS font, event_id % 7 AS k, CASE WHEN event_id % 4 = 0 THEN -1 ELSE 5 END AS gid FROM events WHERE event_id < 2000),
+@query("""WITH c AS (SELECT event_id AS id, user_id % 5 AS page, event_type AS font, event_id % 7 AS k, CASE WHEN event_id % 4 = 0 THEN -1 ELSE 5 END AS gid FROM events),
 t AS (SELECT a.id FROM c a JOIN c b ON a.gid = -1 AND b.gid <> -1 AND a.page = b.page AND a.font = b.font AND a.k = b.k AND a.id // 40 = b.id // 40 GROUP BY a.id HAVING count(*) = 1) SELECT id FROM c WHERE id NOT IN (SELECT id FROM t)""")
 def a06_synthetic_twins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     box = F.floor(F.col("event_id") / 40).cast("double")
     chars = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("page"), F.col("event_type").alias("font"), (F.col("event_id") % 7).alias("seqno"), F.lit("x").alias("u"), F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"), F.lit(1.0).alias("size"), F.when(F.col("event_id") % 4 == 0, -1).otherwise(5).alias("gid"), *[box.alias(c) for c in ("x0", "y0", "x1", "y1")])
     return pdf_streams.without_synthetic_twins(chars).select("id")
@@ -176,15 +176,15 @@ def b36_k25_boxes_checked(spark, sf_dir):
     return b.select("id", G.valid_box(given).alias("valid"), F.element_at(candidate.top_left(raw, F.lit(500.0)), 2).cast("long").alias("top"))
 
 
-@query(r"""SELECT doc_id, len(regexp_replace(substr(text, 1, 300), '[^|]', '', 'g')) % 2 = 0 AS bars_even, regexp_replace(replace(substr(text, 1, 60), '−', '-'), '\s+', ' ', 'g') AS normal FROM documents""")
+@query(r"""SELECT doc_id, len(regexp_replace(text, '[^|]', '', 'g')) % 2 = 0 AS bars_even, regexp_replace(replace(text, '−', '-'), '\s+', ' ', 'g') AS normal FROM documents""")
 def b06_h50_normalised(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", (F.length(F.regexp_replace(F.substring("text", 1, 300), "[^|]", "")) % 2 == 0).alias("bars_even"), F.regexp_replace(F.replace(F.substring("text", 1, 60), F.lit("−"), F.lit("-")), r"\s+", " ").alias("normal"))
+    return d.select("doc_id", (F.length(F.regexp_replace("text", "[^|]", "")) % 2 == 0).alias("bars_even"), F.regexp_replace(F.replace(F.col("text"), F.lit("−"), F.lit("-")), r"\s+", " ").alias("normal"))
 
 
-@query("""WITH b AS (SELECT doc_id, replace(replace(replace(regexp_replace(substr(text, 1, 500), '[a-z]', '', 'g'), 'A', '('), 'E', ')'), 'T', '[') AS t FROM documents) SELECT doc_id, length(t) AS n, length(replace(t, '(', '')) = length(t) AND length(replace(t, '[', '')) = length(t) AND length(replace(t, ')', '')) = length(t) AND length(replace(t, ']', '')) = length(t) AS plain FROM b""")
+@query("""WITH b AS (SELECT doc_id, replace(replace(replace(regexp_replace(text, '[a-z]', '', 'g'), 'A', '('), 'E', ')'), 'T', '[') AS t FROM documents) SELECT doc_id, length(t) AS n, length(replace(t, '(', '')) = length(t) AND length(replace(t, '[', '')) = length(t) AND length(replace(t, ')', '')) = length(t) AND length(replace(t, ']', '')) = length(t) AS plain FROM b""")
 def b07_balance_inputs(spark, sf_dir):
-    t = F.regexp_replace(F.substring("text", 1, 500), "[a-z]", "")
+    t = F.regexp_replace("text", "[a-z]", "")
     for a, b in (("A", "("), ("E", ")"), ("T", "[")):
         t = F.replace(t, F.lit(a), F.lit(b))
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))

@@ -12,7 +12,7 @@ from .registry import query
 
 
 def _page_glyphs(spark, sf_dir):
-    """Glyphs with a layout: digits small and low, the first 400 characters on five lines of a page."""
+    """Glyphs with a layout: digits small and low, 80 characters on each line of a page."""
     g = T.glyphs(spark, sf_dir)
     small = F.col("u").rlike("^[0-9]$")
     return g.select(
@@ -47,9 +47,9 @@ def b18_k16_compared(spark, sf_dir):
     return rows.withColumn("status", F.when(F.col("status") == "missing", "contradicting").otherwise(F.col("status")))
 
 
-@query(f"""WITH {GLYPHS_SQL} SELECT doc_id, u, count(DISTINCT col % 3) > 1 AS conflict FROM glyphs WHERE seq < 100 GROUP BY doc_id, u""")
+@query(f"""WITH {GLYPHS_SQL} SELECT doc_id, u, count(DISTINCT col % 3) > 1 AS conflict FROM glyphs GROUP BY doc_id, u""")
 def k17_c19_signal_conflicts(spark, sf_dir):
-    g = T.glyphs(spark, sf_dir).where("seq < 100").groupBy("doc_id", "u").agg(*[F.max(F.when(F.col("col") % 3 == k, F.lit(str(k)))).alias(f"s{k}") for k in range(3)])
+    g = T.glyphs(spark, sf_dir).groupBy("doc_id", "u").agg(*[F.max(F.when(F.col("col") % 3 == k, F.lit(str(k)))).alias(f"s{k}") for k in range(3)])
     return g.select("doc_id", "u", evaluate.signals_conflict(F.col("s0"), F.col("s1"), F.col("s2")).alias("conflict"))
 
 
@@ -62,7 +62,7 @@ def h03_h14_latex_round_trip(spark, sf_dir):
     return read.select("doc_id", "latex", "a.tokens", "a.signature", "a.reason", latex.proven_udf("a.tokens", "a.signature").alias("written"))
 
 
-@query(f"""WITH {SPANS_SQL}, r AS (SELECT doc_id, start AS region_id, start, "end", start % 5 = 0 AS bad, start % 31 = 0 AS gone, doc_id % 9 = 0 AS formula FROM spans WHERE start < 2000 AND (start % 5 = 0 OR start % 31 = 0)),
+@query(f"""WITH {SPANS_SQL}, r AS (SELECT doc_id, start AS region_id, start, "end", start % 5 = 0 AS bad, start % 31 = 0 AS gone, doc_id % 9 = 0 AS formula FROM spans WHERE start % 5 = 0 OR start % 31 = 0),
 o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE bad AND NOT formula),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM o), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM i),
 t AS (SELECT 'formula:' || doc_id AS target, 'formula_replacement' AS kind, region_id FROM r WHERE bad AND formula
@@ -70,7 +70,7 @@ t AS (SELECT 'formula:' || doc_id AS target, 'formula_replacement' AS kind, regi
   UNION ALL SELECT 'single:' || doc_id || '-' || region_id, 'x', region_id FROM n WHERE k = 1 UNION ALL SELECT 'single:' || doc_id || '-' || region_id, 'x', region_id FROM r WHERE NOT bad)
 SELECT target, count(*) AS n, min(region_id) AS first FROM t GROUP BY target""")
 def k19_f01_correction_targets(spark, sf_dir):
-    s = T.spans(spark, sf_dir).where("start < 2000 AND (start % 5 = 0 OR start % 31 = 0)")
+    s = T.spans(spark, sf_dir).where("start % 5 = 0 OR start % 31 = 0")
     ref = F.col("doc_id").cast("string")
     regions = s.select(
         F.concat(ref, F.lit("-"), F.col("start").cast("string")).alias("region_id"), ref.alias("ref"), F.when(F.col("doc_id") % 9 == 0, "formula").otherwise("text").alias("label"),
@@ -79,9 +79,9 @@ def k19_f01_correction_targets(spark, sf_dir):
     return corrections.targets(regions).select("target", F.size("region_ids").cast("long").alias("n"), F.col("first_glyph").alias("first"))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE length(text) >= 60) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(t, 1, 10) || '<A>' || substr(t, 16, 15) || '<B>' || substr(t, 31) END AS text FROM d""")
+@query("""WITH d AS (SELECT doc_id, text AS t FROM documents WHERE length(text) >= 60) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(t, 1, 10) || '<A>' || substr(t, 16, 15) || '<B>' || substr(t, 31) END AS text FROM d""")
 def h47_i24_patched_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select("doc_id", F.substring("text", 1, 200).alias("text"))
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select("doc_id", "text")
     edit = lambda a, b, x: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(x).alias("after"))
     second = F.when(F.col("doc_id") % 5 == 0, edit(12, 30, "<B>")).otherwise(edit(30, 30, "<B>"))
     edits = d.select("doc_id", F.inline(F.array(edit(10, 15, "<A>"), second)))
@@ -101,10 +101,10 @@ def b11_b14_ineligibility(spark, sf_dir):
 
 @query()
 def c05_h30_linked_spans(spark, sf_dir):
-    """Every benchmark passage that a document holds, found again in it by alignment of the document's first characters."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 80).select("doc_id", F.substring("text", 1, 300).alias("t"))
+    """A span of each line of 300 characters, found again in the line by alignment with a damaged copy."""
+    d = T.lines(spark, sf_dir, 300).where(F.length("t") >= 80)
     damaged = F.concat(F.expr("substring(t, 1, 30)"), F.lit("#"), F.expr("substring(t, 32)"))
-    return d.select("doc_id", linking.locate_udf(damaged, "t", F.lit(20), F.lit(30)).alias("l")).select("doc_id", "l.*")
+    return d.select("doc_id", "line", linking.locate_udf(damaged, "t", F.lit(20), F.lit(30)).alias("l")).select("doc_id", "line", "l.*")
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")

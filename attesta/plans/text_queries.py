@@ -20,13 +20,13 @@ def _docs(spark, sf_dir):
 
 @query(r"""SELECT doc_id, regexp_matches(text, '\p{Sm}') AS math_symbol, regexp_matches(text, '[\p{Cc}]') AS control,
   regexp_matches(replace(regexp_extract(text, '[^ ]+', 0), ',', ''), '^\p{L}{1,2}$') AS short_variable, lang NOT IN ('de') AND source <> 'src0' AS inline_math,
-  regexp_matches(replace(substr(text, 1, 200), 'd e f', ''), '(^|\s)\p{L}(\s\p{L}){3,}(\s|$)') AS spaced, substr(text, 1, 20) LIKE '%the%' AS has_the FROM documents""")
+  regexp_matches(replace(text, 'd e f', ''), '(^|\s)\p{L}(\s\p{L}){3,}(\s|$)') AS spaced, text LIKE '%the%' AS has_the FROM documents""")
 def b02_b04_b16_b21_predicates(spark, sf_dir):
     first = F.regexp_extract("text", "[^ ]+", 0)
     label, layer = F.when(F.col("lang") == "de", "code").otherwise("text"), F.when(F.col("source") == "src0", "furniture")
     return _docs(spark, sf_dir).select(
         "doc_id", X.has_math_symbol(F.col("text")).alias("math_symbol"), X.has_control(F.col("text")).alias("control"), X.short_variable(first).alias("short_variable"),
-        X.carries_inline_math(label, layer).alias("inline_math"), X.spaced_letters(F.substring("text", 1, 200)).alias("spaced"), F.substring("text", 1, 20).contains("the").alias("has_the"),
+        X.carries_inline_math(label, layer).alias("inline_math"), X.spaced_letters(F.col("text")).alias("spaced"), F.col("text").contains("the").alias("has_the"),
     )
 
 
@@ -39,17 +39,17 @@ def b05_unambiguous_math(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.unambiguous_math(made).alias("unambiguous"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, '/ABCDEF+' || source || lang AS f, sha256(text) AS s, regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9_.-]', '_', 'g') AS safe, text FROM documents)
+@query(r"""WITH p AS (SELECT doc_id, '/ABCDEF+' || source || lang AS f, sha256(text) AS s, regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g') AS safe, text FROM documents)
 SELECT doc_id, source || lang AS family, safe, sha256(concat_ws(':', lang, source, s)) AS fingerprint, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE s END AS sha,
-  list_transform(string_split(substr(text, 1, 5), ''), lambda c: 'U+' || CASE WHEN unicode(c) < 4096 THEN lpad(upper(to_hex(unicode(c))), 4, '0') ELSE upper(to_hex(unicode(c))) END) AS points,
-  regexp_replace(substr(text, 1, 80), '\s', '', 'g') AS collapsed FROM (SELECT p.*, d.source, d.lang FROM p JOIN documents d USING (doc_id))""")
+  list_transform(regexp_extract_all(text, '(?s:.)'), lambda c: 'U+' || CASE WHEN unicode(c) < 4096 THEN lpad(upper(to_hex(unicode(c))), 4, '0') ELSE upper(to_hex(unicode(c))) END) AS points,
+  regexp_replace(text, '\s', '', 'g') AS collapsed FROM (SELECT p.*, d.source, d.lang FROM p JOIN documents d USING (doc_id))""")
 def h41_h44_h53_h58_h62_identity(spark, sf_dir):
     font = F.concat(F.lit("/ABCDEF+"), "source", "lang")
     sha = F.sha2("text", 256)
     given = F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.upper(sha))
     return _docs(spark, sf_dir).select(
-        "doc_id", X.font_family(font).alias("family"), X.safe_id(F.substring("text", 1, 60)).alias("safe"), X.digest(F.col("lang"), F.col("source"), sha).alias("fingerprint"), X.valid_sha256(given).alias("sha"),
-        X.code_points(F.substring("text", 1, 5)).alias("points"), X.collapsed(F.substring("text", 1, 80)).alias("collapsed"),
+        "doc_id", X.font_family(font).alias("family"), X.safe_id(F.col("text")).alias("safe"), X.digest(F.col("lang"), F.col("source"), sha).alias("fingerprint"), X.valid_sha256(given).alias("sha"),
+        X.code_points(F.col("text")).alias("points"), X.collapsed(F.col("text")).alias("collapsed"),
     )
 
 
@@ -64,32 +64,32 @@ def a21_h27_paired_spans(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.col("text").contains("$")).select("doc_id", F.explode(dollars.paired_spans_udf("text")).alias("s")).select("doc_id", "s.*")
 
 
-@query(r"""SELECT doc_id, len(string_split(regexp_replace(substr(text, 1, 400), '\\\$', '', 'g'), '$')) - 1 AS dollars FROM documents""")
+@query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '\\\$', '', 'g'), '$')) - 1 AS dollars FROM documents""")
 def h32_h55_unescaped_dollars(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(X.escaped_places(F.substring("text", 1, 400), "$")).cast("long").alias("dollars"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(X.escaped_places(F.col("text"), "$")).cast("long").alias("dollars"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, substr(text, 1, 200) AS t, unnest(range(1, least(length(text), 200) + 1)) AS p FROM documents)
-SELECT doc_id, p - 1 AS "at", translate(substr(t, CAST(p AS BIGINT), 1), '-*''', '−∗′') AS u FROM c WHERE NOT regexp_matches(substr(t, CAST(p AS BIGINT), 1), '^\s$') AND strpos('$_^{}', substr(t, CAST(p AS BIGINT), 1)) = 0""")
+@query(r"""WITH c AS (SELECT doc_id, unnest(c) AS u, unnest(range(0, len(c))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '(?s:.)') AS c FROM documents))
+SELECT doc_id, p AS "at", translate(u, '-*''', '−∗′') AS u FROM c WHERE NOT regexp_matches(u, '^\s$') AND strpos('$_^{}', u) = 0""")
 def b28_h28_h29_literal_characters(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(X.literal_characters(F.substring("text", 1, 200))).alias("c")).select("doc_id", F.col("c.at").cast("long").alias("at"), "c.u")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(X.literal_characters(F.col("text"))).alias("c")).select("doc_id", F.col("c.at").cast("long").alias("at"), "c.u")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:60] AS a FROM documents) SELECT doc_id, list_filter(range(0, len(a)), lambda i: a[i + 1] = a[1] AND a[i + 2] IS NOT DISTINCT FROM a[2] AND i + 2 <= len(a)) AS places FROM w WHERE len(a) >= 2""")
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents) SELECT doc_id, list_filter(range(0, len(a)), lambda i: a[i + 1] = a[1] AND a[i + 2] IS NOT DISTINCT FROM a[2] AND i + 2 <= len(a)) AS places FROM w WHERE len(a) >= 2""")
 def c15_pattern_places(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", F.slice(F.split("text", " "), 1, 60).alias("a")).where("size(a) >= 2")
+    words = _docs(spark, sf_dir).select("doc_id", F.split("text", " ").alias("a")).where("size(a) >= 2")
     return words.select("doc_id", F.transform(relational.pattern_places(F.col("a"), F.slice("a", 1, 2)), lambda i: i.cast("long")).alias("places"))
 
 
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 120) AS t FROM documents) SELECT doc_id, list_filter(range(0, greatest(length(t) - 1, 0)), lambda i: substr(t, CAST(i + 1 AS BIGINT), 2) = 'th') AS places FROM t""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s:.)') AS c FROM documents) SELECT doc_id, list_filter(range(0, greatest(len(c) - 1, 0)), lambda i: c[i + 1] = 't' AND c[i + 2] = 'h') AS places FROM t""")
 def i21_substring_places(spark, sf_dir):
-    t = F.substring("text", 1, 120)
+    t = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", F.transform(relational.substring_places(t, F.lit("th")), lambda i: i.cast("long")).alias("places"))
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 300), '[^aeiou]', '', 'g') AS v FROM documents) SELECT doc_id, regexp_matches(v, 'a.*e.*i.*o.*u') AS subsequence FROM d""")
+@query("""WITH d AS (SELECT doc_id, regexp_replace(text, '[^aeiou]', '', 'g') AS v FROM documents) SELECT doc_id, regexp_matches(v, 'a.*e.*i.*o.*u') AS subsequence FROM d""")
 def i20_subsequence(spark, sf_dir):
-    vowels = F.split(F.regexp_replace(F.substring("text", 1, 300), "[^aeiou]", ""), "")
+    vowels = F.split(F.regexp_replace(F.col("text"), "[^aeiou]", ""), "")
     return _docs(spark, sf_dir).select("doc_id", relational.is_subsequence(F.split(F.lit("aeiou"), ""), vowels).alias("subsequence"))
 
 

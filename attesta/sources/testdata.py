@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a document that the glyph projection lays out on lines of 80.
-GLYPHS = 400
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,21 +30,28 @@ boxes AS (
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, seq, u, line, col: the first characters of each document as glyphs of 5 x 10 on a grid of 6 x 12."""
-    chars = F.split(F.substring("text", 1, GLYPHS), "")
+    """doc_id, seq, u, line, col: the characters of each document as glyphs of 5 x 10 on a grid of 6 x 12, on lines of 80."""
+    chars = F.split("text", "")
     return (
         table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chars).alias("seq", "u")).where("u <> ''")
         .select("doc_id", F.col("seq").cast("long").alias("seq"), "u", F.floor(F.col("seq") / 80).alias("line"), (F.col("seq") % 80).cast("long").alias("col"))
     )
 
 
-GLYPHS_SQL = f"""
+GLYPHS_SQL = """
 glyphs AS (
-  SELECT doc_id, p - 1 AS seq, substr(text, CAST(p AS BIGINT), 1) AS u, (p - 1) // 80 AS line, (p - 1) % 80 AS col
-  FROM (SELECT doc_id, text, unnest(range(1, least(length(text), {GLYPHS}) + 1)) AS p FROM documents)
+  SELECT doc_id, p - 1 AS seq, u, (p - 1) // 80 AS line, (p - 1) % 80 AS col
+  FROM (SELECT doc_id, unnest(c) AS u, unnest(range(1, len(c) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(text, '(?s:.)') AS c FROM documents))
 )"""
 
 
+def lines(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """doc_id, line, t: each whole text on lines of so many characters; an empty one has none."""
+    n = F.ceil(F.length("text") / size).cast("int")
+    rows = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("line"))
+    return rows.select("doc_id", "line", F.col("text").substr(F.col("line") * size + 1, F.lit(size)).alias("t"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, end: words of six characters or more (split at blanks), stretched so that some overlap."""
     words = F.split("text", " ")
