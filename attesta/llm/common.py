@@ -60,16 +60,21 @@ def _sweep() -> None:
             return
 
 
+def keep_until_the_end(spark: SparkSession, path: str) -> str:
+    """Have a path removed when the driver ends."""
+    if not _written:
+        atexit.register(_sweep)
+    _written[path] = spark
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it cuts the lineage, and a lost executor loses none of it.
 
     The shuffle files of its query go as soon as the table is written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/attesta-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)
-    _written[path] = spark
+    path = keep_until_the_end(spark, f"{shared_folder(spark).rstrip('/')}/attesta-{uuid.uuid4().hex}")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

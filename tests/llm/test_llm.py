@@ -409,8 +409,9 @@ def test_quality(spark, odd, empty):
 
 
 def test_shards(odd, empty, docs, spark, tmp_path):
-    for frame, bucket in ((docs, 2), (odd, 20_000)):
+    for frame, bucket in ((odd, 20_000), (docs, 2)):
         rows = shards.assign_shards(frame, bucket_rows=bucket).collect()
+        table_of_docs = sorted(map(tuple, rows), key=repr)
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in frame.select("doc_id", "text").collect())
         by = {}
         for r in rows:
@@ -421,9 +422,17 @@ def test_shards(odd, empty, docs, spark, tmp_path):
     assert shards.assign_shards(empty).count() == 0
     grown = {(r["doc_id"], r["grown_shard"]) for r in shards.assign_shards(docs).collect()}
     assert grown == {(r["doc_id"], r["shard"]) for r in shards.assign_shards(docs, shards=41).collect()}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert table(shards.assign_shards(docs.repartition(3), bucket_rows=2)) == table_of_docs  # whatever the session's partitions
+    spark.conf.set("spark.sql.shuffle.partitions", was)
     shards.write_shards(docs, str(tmp_path / "out"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and {(r["doc_id"], r["slot"]) for r in back.collect()} == {(r["doc_id"], r["slot"]) for r in shards.assign_shards(docs, shards=4).collect()}
+    back = shards.read_shards(spark, str(tmp_path / "out"), docs.schema.simpleString())
+    assert Counter(r["record"] for r in back.collect()) == Counter(docs.collect())
+    assert {(r["record"]["doc_id"], r["slot"]) for r in back.collect()} == {(r["doc_id"], r["slot"]) for r in shards.assign_shards(docs, shards=4).collect()}
+    same = spark.createDataFrame([(1, "again")] * 300 + [(2, "other")] * 20, "doc_id long, text string").repartition(4)
+    rows = shards.assign_shards(same, shards=3, bucket_rows=10).collect()
+    assert len(rows) == 320 and len({(r["shard"], r["slot"]) for r in rows}) == 320 and max(r["slot"] for r in rows) >= 299
 
 
 # 10. Top-k
