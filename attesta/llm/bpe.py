@@ -14,7 +14,7 @@ import base64
 import functools
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -229,7 +229,7 @@ class Kept:
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bytes, self.ids = (np.zeros(0, np.uint8), np.zeros(1, np.int64)), (np.zeros(0, np.int32), np.zeros(1, np.int64))
 
-    def find(self, words: pa.LargeBinaryArray, encode: Callable[[bytes], tuple[int, ...]]) -> np.ndarray:
+    def find(self, words: pa.LargeBinaryArray, encode: Callable[[bytes], Sequence[int]]) -> np.ndarray:
         """The number of each of some different words; words that aren't there are put in."""
         if len(self.hashes) + len(words) > KEPT_WORDS:
             self.clear()
@@ -269,16 +269,16 @@ class Kept:
 _kept: dict[str, Kept] = {}
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """The ids of each text."""
-    kept, enc = _kept.setdefault(path, Kept()), encoder(path)
+def encode_texts(texts: list[str], path: str, encode: Callable[[bytes], Sequence[int]] | None = None) -> Iterator[np.ndarray]:
+    """The ids of each text; its words are encoded by ``encode``, or by the tree reduction."""
+    kept, encode = _kept.setdefault(path, Kept()), encode or encoder(path).ids
     for a, b in slices([len(t) for t in texts]):
         words = Words(texts[a:b])
         if not len(words.starts):
             yield from (np.zeros(0, np.int32) for _ in range(b - a))
             continue
         distinct, which = words.distinct()
-        at = kept.find(distinct, enc.ids)[which]
+        at = kept.find(distinct, encode)[which]
         ids, starts = kept.ids
         lengths = np.diff(starts)[at]
         out = ids[spread(starts[at], lengths)]

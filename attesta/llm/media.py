@@ -47,6 +47,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     width, height, most = fields[0], fields[1], 1 if bitmap else fields[2]
     dtype = np.dtype(np.uint8) if most < 256 else np.dtype(">u2")
     n = width * height * channels
+    # A sample of text takes a byte at least, one of a bitmap an eighth: what the header promises can't be more than there is.
+    if n > 8 * len(data):
+        raise ValueError("image cut short")
     if kind == b"P4":
         bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at + 1, count=height * -(-width // 8)).reshape(height, -1), axis=1)[:, :width]
         return (1 - bits)[:, :, None]
@@ -68,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing != 0 or bits not in (8, 24, 32):
         raise ValueError("BMP of a kind that isn't read")
     stride = -(-width * bits // 32) * 4
+    if width <= 0 or stride * abs(height) > len(data):
+        raise ValueError("image cut short")
     rows = np.frombuffer(data, np.uint8, offset=offset, count=stride * abs(height)).reshape(abs(height), stride)
     if height > 0:
         rows = rows[::-1]
@@ -143,7 +148,7 @@ def media_columns(images: DataFrame, media_col: str = "media", side: int = TILE)
                         raise ValueError("no pixels")
                     whole = integral_image(pixels)
                     rows.append((pixels.shape[0], pixels.shape[1], difference_hash(whole), npy_tile(whole, side), None))
-                except (ValueError, IndexError) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError) as e:
                     rows.append((None, None, None, None, str(e)))
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
             new = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]

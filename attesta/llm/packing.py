@@ -1,10 +1,11 @@
 """Packing by lexical retrieval: documents that share rare tokens meet in a sequence.
 
-Documents are taken in shards of bounded size, as they stand in their input partition, so nothing is shuffled. What a
-document has beyond whole windows is indexed: an inverted index of the shard, weighted by BM25. Each seed fills
-its window with the best unused neighbours; where the last one is too long, its rest becomes the next seed. What a
-shard leaves is the first seed of the next; the rest at a partition's end goes to sequences whose lengths
-are powers of two, so that nothing is padded.
+Documents are routed by the least hash of their words, which two of them share as likely as their sets of words agree,
+and taken in shards of bounded size in the order of that hash, so what is lexically close meets in a shard. Each shard
+has an inverted index of the tokens that its documents share, weighted by BM25; all that a seed shares counts. Each seed fills its window with the
+best unused neighbours; where the last one is too long, its rest becomes the next seed. What a document has in whole
+windows stands alone, but is indexed and searched by. What a shard leaves is the first seed of the next; the rest at a partition's
+end goes to sequences whose lengths are powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +28,11 @@ from .common import slices, texts_of
 
 WINDOW = 2048
 END = 1
-#: Bounds of a shard.
-SHARD_DOCS = 2048
-SHARD_TOKENS = 1_000_000
-#: Terms of a query: the rarest of the seed that another document of the shard has.
-QUERY_TERMS = 16
+#: Bounds of a shard: documents, and characters (a larger document stands alone).
+SHARD_DOCS = 512
+SHARD_CHARS = 1_000_000
+#: Terms whose postings are scored at once.
+TERM_BLOCK = 2048
 K1, B = 1.2, 0.75
 
 
@@ -39,14 +42,21 @@ def _special(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
 
 
+@functools.cache
+def _library(path: str) -> Callable[[bytes], list[int]]:
+    """The tokenizer's encoding of a word."""
+    encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    return lambda word: encoding.encode_ordinary(word.decode())
+
+
 def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """The ids of each text by the tokenizer of a JSON file; its special tokens count where a text has them."""
     special = _special(path)
     if not any(s in t for t in texts for s in special):
-        yield from bpe.encode_texts(texts, path)
+        yield from bpe.encode_texts(texts, path, _library(path))
         return
     parts = [bpe.regex.split("(" + "|".join(map(bpe.regex.escape, special)) + ")", t) for t in texts]
-    coded = bpe.encode_texts([x for p in parts for x in p[0::2]], path)
+    coded = bpe.encode_texts([x for p in parts for x in p[0::2]], path, _library(path))
     for p in parts:
         out = []
         for i, x in enumerate(p):
@@ -55,42 +65,35 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
 
 
 class Index:
-    """An inverted index of some token arrays, weighted by BM25."""
+    """An inverted index of some token arrays: the BM25 scores of each one's terms in each other."""
 
     def __init__(self, items: list[np.ndarray]) -> None:
-        self.n = len(items)
+        n = len(items)
+        self.scores = np.zeros((n, n), np.float32)
+        if n < 2:
+            return
         sizes = np.array([len(x) for x in items], np.float64)
-        owner = np.repeat(np.arange(self.n), [len(x) for x in items])  # narrow types below: a shard has a million tokens
-        tokens = np.concatenate(items).astype(np.int64) if items else np.zeros(0, np.int64)
-        pairs, tf = np.unique(tokens * max(1, self.n) + owner, return_counts=True)
-        del tokens, owner
-        self.docs = (pairs % max(1, self.n)).astype(np.int32)
-        terms = (pairs // max(1, self.n)).astype(np.int32)
-        del pairs
-        self.terms, self.starts = np.unique(terms, return_index=True)
-        self.ends = np.append(self.starts[1:], len(terms))
-        self.df = self.ends - self.starts
-        self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        mean = sizes.mean() if self.n else 1.0
-        number = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)
-        self.weights = (self.idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / mean))).astype(np.float32)
-        order = np.argsort(self.docs, kind="stable")
-        self.by_doc = number[order]
-        self.doc_starts = np.searchsorted(self.docs[order], np.arange(self.n + 1))
+        owner = np.repeat(np.arange(n), [len(x) for x in items])
+        pairs, tf = np.unique(np.concatenate(items).astype(np.int64) * n + owner, return_counts=True)
+        docs, (terms, number, df) = pairs % n, np.unique(pairs // n, return_inverse=True, return_counts=True)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        weights = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / sizes.mean()))
+        shared = df > 1  # a term of one document alone finds nothing
+        rank = np.cumsum(shared) - 1
+        live = shared[number]
+        docs, number, weights = docs[live], rank[number[live]], weights[live]
+        bounds = np.searchsorted(number, np.arange(0, int(shared.sum()) + TERM_BLOCK, TERM_BLOCK))
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            has, weighs = np.zeros((n, TERM_BLOCK), np.float32), np.zeros((n, TERM_BLOCK), np.float32)
+            has[docs[a:b], number[a:b] - k * TERM_BLOCK] = 1
+            weighs[docs[a:b], number[a:b] - k * TERM_BLOCK] = weights[a:b]
+            self.scores += has @ weighs.T
+        np.fill_diagonal(self.scores, 0)
 
     def neighbours(self, i: int) -> np.ndarray:
-        """The other items that share a term of the query of item i, by falling score, ties by number."""
-        mine = self.by_doc[self.doc_starts[i] : self.doc_starts[i + 1]]
-        mine = mine[self.df[mine] > 1]
-        if len(mine) > QUERY_TERMS:
-            mine = mine[np.argsort(self.df[mine], kind="stable")[:QUERY_TERMS]]
-        if not len(mine):
-            return mine
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.starts[mine].tolist(), self.ends[mine].tolist(), strict=True)])
-        scores = np.bincount(self.docs[at], self.weights[at], self.n)
-        scores[i] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        """The other items that share a term with item i, by falling score, ties by number."""
+        found = np.flatnonzero(self.scores[i])
+        return found[np.argsort(-self.scores[i][found], kind="stable")]
 
 
 #: A piece: the number of its row, where it starts there, and its ids.
@@ -119,13 +122,15 @@ class Packer:
 
     def shard(self, docs: list[tuple[int, np.ndarray]]) -> Iterator[list[Piece]]:
         tails: list[Piece] = []
+        indexed: list[np.ndarray] = []
         for row, ids in docs:
             whole = len(ids) // self.window * self.window
             for at in range(0, whole, self.window):
                 yield [(row, at, ids[at : at + self.window])]
             if whole < len(ids):
                 tails.append((row, whole, ids[whole:]))
-        index = Index([t[2] for t in tails])
+                indexed.append(ids)
+        index = Index(indexed)
         unused = np.ones(len(tails), bool)
         sizes = np.array([len(t[2]) for t in tails])
         following = 0
@@ -204,7 +209,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
         for batch in batches:
             texts, doc_ids = texts_of(batch["text"]), batch["doc_id"].to_pylist()
             # A character gives four tokens at most, so this bounds them too.
-            for a, b in slices([len(t) for t in texts], SHARD_TOKENS):
+            for a, b in slices([len(t) for t in texts], SHARD_CHARS):
                 for c in range(a, b, SHARD_DOCS):
                     d = min(b, c + SHARD_DOCS)
                     shard = []
@@ -219,4 +224,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
         yield told(packer.rest())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # A route may hold very many rows: adaptive execution splits the partitions of a rebalance.
+    route = F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("route", route).hint("rebalance", "route").sortWithinPartitions("route", "doc_id").select("doc_id", "text")
     return rows.mapInArrow(run, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

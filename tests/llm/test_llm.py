@@ -326,6 +326,16 @@ def test_packing(spark, odd, empty, docs):
 
 
 def test_neighbours_share_terms():
+    r = np.random.default_rng(9)
+    many = [r.integers(0, 5000, r.integers(1, 400)) for _ in range(60)]
+    index, size = packing.Index(many), np.mean([len(x) for x in many])
+    for i in range(0, 60, 7):
+        for j in range(60):
+            want = 0.0
+            for t in set(many[i].tolist()) & set(many[j].tolist()) if i != j else ():
+                df, tf = sum(t in x for x in many), int((many[j] == t).sum())
+                want += np.log1p((60 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(many[j]) / size))
+            assert abs(index.scores[i, j] - want) < 1e-2
     items = [np.array(x) for x in ([5, 6, 7, 8], [9, 10, 11], [5, 6, 12], [9, 13])]
     index = packing.Index(items)
     assert index.neighbours(0).tolist() == [2] and index.neighbours(1).tolist() == [3]
@@ -387,6 +397,9 @@ def test_media_rows(spark, odd, empty):
     rows = {r["id"]: r for r in media.media_columns(images).collect()}
     assert (rows[1]["height"], rows[1]["width"], rows[1]["error"]) == (1, 64, None) and rows[2]["error"] and rows[3]["tile"] is None
     assert media.media_columns(images.limit(0)).count() == 0
+    hostile = [b"P5 99999999999999 99999999999999 255\n", b"P4 4000000000 4000000000\n", b"P6 0 0 255\n", b"BM" + struct.pack("<IHHI", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0), b"P5 5", b"P2 2 1 255\n1 x"]
+    rows = media.media_columns(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(hostile)], "id long, media binary")).collect()
+    assert len(rows) == len(hostile) and all(r["error"] and r["tile"] is None for r in rows)
 
 
 # 8. Quality
