@@ -5,7 +5,7 @@
    shares most bands with: links that hold are contracted into components.
 3. Pairs in a bucket that lie in different components are left. Members are dealt into chunks, each two chunks
    meet once, and a pair goes on if its size ratio allows a link and its sketches don't rule it out (5 standard
-   deviations). In a few rounds each node tries the likeliest of these partners; what is still in different components
+   deviations). In a few rounds, over some of the buckets each, each node tries the likeliest of these partners; what is still in different components
    then is verified pair by pair, so a bucket loses no link however many members it has.
 4. Components of all verified links give each row the smallest doc_id that it reaches.
 
@@ -35,7 +35,9 @@ PERCENT = 85
 CHUNK_NODES = 2048
 TASK_SHINGLES = 100_000
 #: Rounds, at most, in which each node tries the likeliest of its partners alone.
-ROUNDS = 5
+ROUNDS = 4
+#: One of so many buckets is looked at in each of these rounds: a node stands in several.
+SOME = 4
 #: Bytes of text whose words are compared at once.
 HELD_BYTES = 500_000
 #: Rows that are broadcast at most, of 16 bytes in an anti-join and of some 60 with the pairs.
@@ -142,26 +144,29 @@ def verify(pairs: DataFrame, base: DataFrame, percent: int = PERCENT) -> DataFra
     return out
 
 
-def _across(told: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
+def _across(told: DataFrame, nodes: DataFrame, percent: int, round_: int) -> DataFrame:
     """Plausible pairs (a, b: 8 bytes of nodes) of different components that share a bucket (told: key, hi, label).
 
-    All of them, or for each node b the one whose marks agree best.
+    In round 0 all of them; in others, for each node b the one whose marks agree best in some of the buckets, which differ by round.
     """
-    sizes = materialise(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks")))
-    open_members = told.join(sizes, "key").join(nodes.select("hi", "n", "marks"), "hi")
+    best = round_ > 0
+    sizes = materialise(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").where(F.lit(not best) | (F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(SOME)) == 0)).select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks")))
+    own = ["n", "marks"] if best else ["n", "marks", "bands"]
+    open_members = told.join(sizes, "key").join(nodes.select("hi", *own), "hi")
     dealt = open_members.withColumn("i", F.pmod(F.xxhash64("hi", F.lit(3)), F.col("chunks")).cast("int"))
-    chunks = dealt.groupBy("key", "chunks", "i").agg(F.collect_list(F.struct("hi", "label", "n", "marks")).alias("rows"))
+    chunks = dealt.groupBy("key", "chunks", "i").agg(F.collect_list(F.struct("hi", "label", *own)).alias("rows"))
     met = chunks.select("key", "rows", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
     met = met.groupBy("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).agg(F.collect_list(F.struct("i", "rows")).alias("sides"))
     most = most_apart(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, sides in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sides"], strict=True):
+            for key, x, y, sides in zip(batch["key"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sides"], strict=True):
                 chunk = np.concatenate([np.full(len(s["rows"]), s["i"].as_py()) for s in sides.values])
                 rows = pa.concat_arrays([s["rows"].values for s in sides.values])
                 hi, label, n = (rows.field(k).to_numpy() for k in range(3))
                 marks = rows.field(3).flatten().to_numpy().reshape(len(hi), -1).view(np.uint64)
+                bands = None if best else rows.field(4).flatten().to_numpy().reshape(len(hi), -1)
                 out: list[tuple[np.ndarray, ...]] = []
                 for i in range(len(hi) if best else len(hi) - 1):
                     j = slice(0 if best else i + 1, None)
@@ -172,7 +177,11 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int, best: bool) -> Data
                     differs = marks[at] ^ marks[i]
                     apart = np.bitwise_count(differs[:, :_WORDS] | differs[:, _WORDS:]).sum(1)
                     at, apart = at[apart <= most], apart[apart <= most]
-                    if best and len(at):
+                    if not best and len(at):
+                        # A pair that shares several bands is told in the first of them.
+                        first = bands[i][(bands[at] == bands[i]).argmax(1)] == key
+                        at, apart = at[first], apart[first]
+                    elif len(at):
                         near = np.lexsort((hi[at], apart))[:1]
                         at, apart = at[near], apart[near]
                     if len(at):
@@ -180,7 +189,7 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int, best: bool) -> Data
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["a", "b", "apart"])
 
-    pairs = met.select("x", "y", "sides").mapInArrow(run, "a long, b long, apart long")
+    pairs = met.select("key", "x", "y", "sides").mapInArrow(run, "a long, b long, apart long")
     if best:
         pairs = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select("near.a", "b")
     else:
@@ -195,7 +204,7 @@ def _found(base: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFr
     rows = materialise(sketches(base, bands))
     live = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     # The first row of each node stands for it.
-    first = F.min(F.struct("doc_id", "number", "n", "hi", "marks"))
+    first = F.min(F.struct("doc_id", "number", "n", "hi", "marks", "bands"))
     nodes = materialise(live.groupBy("node").agg(first.alias("r")).select("node", "r.*"))
     banded = live.select("hi", F.explode("bands").alias("key"))
     heads = materialise(banded.groupBy("key").agg(F.min("hi").alias("head"), F.max("hi").alias("last")).where("head < last").select("key", "head"))
@@ -221,7 +230,7 @@ def _found(base: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFr
     while left >= 0:
         label = nodes.join(found, "node", "left").select("hi", F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("hi")).alias("label"))
         told = materialise(shared.select("key", "hi").join(label, "hi"))
-        met = _across(told, nodes, percent, left > 0)
+        met = _across(told, nodes, percent, left)
         pairs = materialise(pairs_of(met))
         more = verify(pairs, base, percent)
         drop(told, met, pairs)

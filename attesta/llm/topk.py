@@ -46,10 +46,14 @@ def _unpacked(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, by floating point where no partial sum can leave 53 bits."""
-    if len(q) and len(c) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**52:
+    """Integer inner products, by floating point where no partial sum can leave 53 bits; beyond 63 bits the nearest that a long holds."""
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(c.astype(np.float64)).max()) * q.shape[1] if q.size and c.size else 0.0
+    if most < 2**52:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if most < 2**62:
+        return q @ c.T
+    whole = q.astype(object) @ c.astype(object).T
+    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -105,7 +109,8 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, block:
     Queries are the rows whose id is divisible by ``query_every``; every row with another id is a candidate.
     Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Shorter
     vectors count as padded by zeros. Repeated rows count as often as they stand there. A query with fewer
-    than k candidates gets them all; an empty table gives no rows; other columns are left out.
+    than k candidates gets them all; an empty table gives no rows; other columns are left out. Components and scores
+    beyond 63 bits count as the nearest value that a long holds.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")

@@ -467,5 +467,13 @@ def test_top_k(spark, block):
     assert topk.top_k(frame.where("vec_id IN (0, 1, 2)"), block=block).count() == 2
 
 
+def test_top_k_of_huge_components(spark):
+    vectors = [(0, [1e18, 1.0]), (1, [1e18, 1.0]), (2, [1e12, 2.0]), (3, [-1e18, 5.0]), (4, [0.5, 0.5])]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    whole = {i: [min(int(np.floor(256 * x)), 2**63 - 1) if x > 0 else max(int(np.floor(256 * x)), -(2**63)) for x in v] for i, v in vectors}
+    want = sorted((-min(max(sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), -(2**63)), 2**63 - 1), i) for i in (1, 2, 3, 4))
+    assert [(r["vec_id"], -r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, s) for s, i in want]
+
+
 def test_queries_are_registered():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
