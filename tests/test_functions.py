@@ -162,3 +162,49 @@ def test_relations():
     assert relations.expression([root, glyph(1, "x", 6)], [])[1] == "source_radical_rule_missing"
     total = glyph(0, "∑", 0, name="summationdisplay")
     assert relations.expression([total, glyph(1, "i", 0, 17.0, 6.0), glyph(2, "n", 0, -1.0, 6.0), glyph(3, "x", 10)], []) == (["∑", "<sub>", "i", "</sub>", "<sup>", "n", "</sup>", "x"], None)
+
+
+def test_long_numbers_are_no_amounts_of_their_own():
+    from attesta.functions import dollars
+
+    assert dollars.delimiters("x" + "7" * 70 + "$ y") == [71]  # letters before the digits: no amount, however long
+    assert dollars.delimiters("7" * 70 + "$ y") == []
+
+
+def test_loci_touch_their_place():
+    from attesta.functions import locus
+
+    assert all(a < 3 and b > 2 for a, b in locus.intervals("x+x", 2, 3))
+    assert locus.locus("x+x", 2, 3, ["+"], ["+"]) is None
+
+
+def test_places_in_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.functions import text as X
+    from attesta.operators import relational
+
+    texts = ["", "$", "a$b", r"\$", r"\\$x\$", "$$", r"a\\\$b$", "ththth", "thx th", "x" * 50 + "th"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.escaped_places(F.col("t"), "$").alias("d"), relational.substring_places(F.col("t"), F.lit("th")).alias("p")).collect()
+    for r in rows:
+        t = r["t"]
+        assert r["d"] == [i for i, c in enumerate(t) if c == "$" and (len(t[:i]) - len(t[:i].rstrip("\\"))) % 2 == 0], t
+        assert r["p"] == [i for i in range(len(t)) if t.startswith("th", i)], t
+
+
+def test_spans_are_mapped_by_sweeping(spark):
+    import random
+
+    from attesta.operators import relational
+
+    r = random.Random(3)
+    spans = [(1, i, a, a + r.randrange(1, 9)) for i, a in enumerate(r.sample(range(200), 40))] + [(2, 99, 5, 6)]
+    edits = [(1, a, a + r.randrange(0, 5), r.randrange(-3, 4)) for a in r.sample(range(200), 15)]
+    got = {tuple(x) for x in relational.mapped_spans(spark.createDataFrame(spans, "ref long, id long, start long, end long"), spark.createDataFrame(edits, "ref long, e_start long, e_end long, delta long"), "ref").collect()}
+    want = set()
+    for ref, i, a, b in spans:
+        own = [e for e in edits if e[0] == ref]
+        by = sum(d for _, _, z, d in own if z <= a)
+        hit = any(z > a and y < b for _, y, z, _ in own)
+        want.add((ref, i, None if hit else a + by, None if hit else b + by))
+    assert got == want
