@@ -8,8 +8,10 @@
    are kept once. Regions are joined to texts of about half a megabyte, sorted by suffixes in two stages; windows
    whose neighbours in that order have a common prefix of their length repeat.
 3. An anchor with very many regions is dealt to several tasks. What one task finds to repeat is settled; its
-   other windows, and one window of each of its classes, meet those of the other tasks by BLAKE2 digests of
-   the windows, which are counted where they stand before they move.
+   other windows, and one window of each of its classes, are open. Open windows of a region go in blocks of places that
+   neighbour each other, with a BLAKE2 digest of the core that all windows of the block hold. Equal windows stand at equal places
+   about their anchor, thus in blocks of one core: a block whose core no other block has is done, and only the
+   windows of the others are taken apart and meet by digests of their own.
 
 Copies of a whole text are compared by its SHA-256 and go through all this once. Given a number of words, windows are
 so many words instead of bytes, and anchors strings of 10 words.
@@ -36,6 +38,8 @@ WORD_GRAM = 10
 #: Bytes that are suffix-sorted at once, and regions of one anchor that go to one task.
 SORTED_BYTES = 400_000
 TASK_REGIONS = 512
+#: Open windows that share a core.
+BLOCK = 16
 #: Bytes of regions that leave a worker at once.
 SENT_BYTES = 4_000_000
 #: Keys of texts, with an id, that are broadcast at most: 24 bytes each.
@@ -146,49 +150,63 @@ def _anchors(texts: DataFrame, length: int, words: int | None) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, key binary, at int, lo int, hi int")
 
 
-#: A region: the text's key, where it stands there, its bytes, whether its anchor is split, and the anchor.
-Region = tuple[bytes, int, bytes, bool, int]
+#: A region: the text's key, where it stands there, its bytes, whether its anchor is split, the anchor, and where that stands in the region.
+Region = tuple[bytes, int, bytes, bool, int, int]
+#: A block of open windows: the core's digest, the text's key, and of each window its digest, whether it is settled, its begin and end.
+Block = tuple[bytes, bytes, list[bytes], list[bool], list[int], list[int]]
 
 
-def _settle(group: list[Region], length: int, words: int | None) -> tuple[list[tuple], list[tuple]]:
-    """Repeats among regions: spans (key, begin, end), and open windows (digest, key or None where it is settled, begin, end)."""
-    by: dict[tuple[int, bytes], list[int]] = {}
-    for i, (_, _, region, _, anchor) in enumerate(group):
-        by.setdefault((anchor, region), []).append(i)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _settle(group: list[Region], length: int, words: int | None) -> tuple[list[tuple], list[Block]]:
+    """Repeats among regions: spans (key, begin, end), and blocks of open windows."""
+    by: dict[tuple[int, int, bytes], list[int]] = {}
+    for i, (_, _, region, _, anchor, at) in enumerate(group):
+        by.setdefault((anchor, at, region), []).append(i)
     rows_of = list(by.values())
     # A blank keeps the words of two regions apart.
     joined = b" ".join(group[rows[0]][2] for rows in rows_of)
     data = np.frombuffer(joined, np.uint8)
     bounds = np.cumsum([0] + [len(group[rows[0]][2]) + 1 for rows in rows_of])
-    if words:
-        starts, ends = words_of(data)
-        begin, end = starts[: len(starts) - words + 1], ends[words - 1 :]
-    else:
-        begin = np.arange(max(0, len(data) - length + 1))
-        end = begin + length
+    size = words or length
+    block = min(BLOCK, size - min(WORD_GRAM if words else GRAM, size) + 1)
+    starts, ends = words_of(data) if words else (np.arange(len(data)), np.arange(1, len(data) + 1))
+    begin, end = starts[: max(0, len(starts) - size + 1)], ends[size - 1 :]
     owner = np.searchsorted(bounds, begin, "right") - 1
-    whole = end < bounds[owner + 1]
-    begin, end, owner = begin[whole], end[whole], owner[whole]
+    unit = np.flatnonzero(end < bounds[owner + 1])
+    begin, end, owner = begin[unit], end[unit], owner[unit]
     repeats, shown = repeated_windows(data, begin, end - begin)
-    at = np.searchsorted(owner, np.arange(len(rows_of) + 1))
+    edges = np.searchsorted(owner, np.arange(len(rows_of) + 1))
     spans, left = [], []
     for k, rows in enumerate(rows_of):
-        a, b = int(at[k]), int(at[k + 1])
+        a, b = int(edges[k]), int(edges[k + 1])
         flags = repeats[a:b] if len(rows) == 1 else np.ones(b - a, bool)
         x, z = begin[a:b] - bounds[k], end[a:b] - bounds[k]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
         for i, j in zip(x[edge[0::2]].tolist(), z[edge[1::2] - 1].tolist(), strict=True):
             spans += [(group[row][0], group[row][1] + i, group[row][1] + j) for row in rows]
-        key, lo, region, split, _ = group[rows[0]]
-        if split:
-            for i in np.flatnonzero(~repeats[a:b] | shown[a:b]).tolist():
-                digest = hashlib.blake2b(region[x[i] : z[i]], digest_size=16).digest()
-                left.append((digest, None if flags[i] else key, lo + int(x[i]), lo + int(z[i])))
+        key, lo, region, split, _, at = group[rows[0]]
+        still = np.flatnonzero(~repeats[a:b] | shown[a:b]) if split else np.zeros(0, np.int64)
+        if not len(still):
+            continue
+        middle = int(np.searchsorted(starts, bounds[k] + at))
+        number = (middle - unit[a:b][still]) // block
+        cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first = middle - block * int(number[i])
+            core = joined[starts[first] : ends[first - block + size]]
+            xs, zs = x[still[i:j]].tolist(), z[still[i:j]].tolist()
+            digests = [_digest(region[f:t]) for f, t in zip(xs, zs, strict=True)]
+            left.append((_digest(core), key, digests, flags[still[i:j]].tolist(), [lo + f for f in xs], [lo + t for t in zs]))
     return spans, left
 
 
 def _sorted_regions(regions: DataFrame, length: int, words: int | None) -> DataFrame:
-    """Spans (key, begin, end), and open windows (digest; key or null where it is settled, begin, end) of split anchors."""
+    """Spans (key, begin, end; core is null), and blocks (core, key, and arrays of what is told of each open window) of split anchors."""
+    names = ["key", "begin", "end", "core", "digests", "settled", "begins", "ends"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Region] = []
@@ -196,23 +214,23 @@ def _sorted_regions(regions: DataFrame, length: int, words: int | None) -> DataF
 
         def told() -> pa.RecordBatch:
             spans, left = _settle(held, length, words)
-            rows = [(*s, None) for s in spans] + [(*x[1:], x[0]) for x in left]
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["key", "begin", "end", "digest"])
+            rows = [(*s, None, None, None, None, None) for s in spans] + [(key, None, None, core, *windows) for core, key, *windows in left]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names)
 
         for batch in batches:
-            for anchor, part, parts, key, lo, region in zip(*[batch[c].to_pylist() for c in ("anchor", "part", "parts", "key", "lo", "region")], strict=True):
+            for anchor, part, parts, key, lo, at, region in zip(*[batch[c].to_pylist() for c in ("anchor", "part", "parts", "key", "lo", "at", "region")], strict=True):
                 if (anchor, part) != last and size >= SORTED_BYTES:
                     yield told()
                     held, size = [], 0
                 last = (anchor, part)
-                held.append((key, lo, region, parts > 1, anchor))
+                held.append((key, lo, region, parts > 1, anchor, at))
                 size += len(region)
         if held:
             yield told()
 
     dealt = regions.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.select("anchor", "part", "parts", "key", "lo", "region").mapInArrow(run, "key binary, begin long, end long, digest binary")
+    schema = "key binary, begin long, end long, core binary, digests array<binary>, settled array<boolean>, begins array<long>, ends array<long>"
+    return dealt.select("anchor", "part", "parts", "key", "lo", "at", "region").mapInArrow(run, schema)
 
 
 def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,38 +260,42 @@ def spans(docs: DataFrame, length: int = LENGTH, words: int | None = None, id_co
     drop(met)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "part", "parts", "key", "lo", "region"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["anchor", "part", "parts", "key", "lo", "at", "region"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
         size = 0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names)
 
         for batch in batches:
             for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["anchors"], strict=True):
                 data, draw = text.encode(), int.from_bytes(key[:4], "little")
-                for anchor, lo, hi, parts in zip(*[found.values.field(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
-                    rows.append((anchor, (draw + lo) % parts, parts, key, lo, data[lo:hi]))
+                for anchor, at, lo, hi, parts in zip(*[found.values.field(k).to_pylist() for k in range(5)], strict=True):
+                    rows.append((anchor, (draw + lo) % parts, parts, key, lo, at - lo, data[lo:hi]))
                     size += hi - lo
                     if size >= SENT_BYTES:
                         yield told()
                         rows, size = [], 0
         yield told()
 
-    regions = _texts_of(base, listed).select("key", "text", "anchors").mapInArrow(cut, "anchor long, part int, parts int, key binary, lo long, region binary")
+    regions = _texts_of(base, listed).select("key", "text", "anchors").mapInArrow(cut, "anchor long, part int, parts int, key binary, lo long, at long, region binary")
     settled = materialise(_sorted_regions(regions, length, words))
     drop(listed)
-    done = settled.where("digest IS NULL").select("key", "begin", "end")
-    left = settled.where("digest IS NOT NULL")
-    again = left.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    late = left.where("key IS NOT NULL").join(again, "digest").select("key", "begin", "end")
+    done = settled.where("core IS NULL").select("key", "begin", "end")
+    blocks = settled.where("core IS NOT NULL")
+    # Written out, as ``met``: a core may be that of many blocks.
+    cores = materialise(blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    left = materialise(blocks.join(cores, "core").select("key", F.inline(F.arrays_zip("digests", "settled", "begins", "ends"))))
+    drop(cores)
+    again = left.groupBy("digests").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digests")
+    late = left.where("NOT settled").join(again, "digests").select("key", F.col("begins").alias("begin"), F.col("ends").alias("end"))
     within = anchors.where("anchor IS NULL").select("key", F.col("lo").cast("long").alias("begin"), F.col("hi").cast("long").alias("end"))
     copied = first.where("copies > 1").select("key", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))
     if words:
         copied = copied.join(anchors.select("key").distinct(), "key", "left_semi")
     out = materialise(done.union(late).union(within).union(copied).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")))
-    drop(settled, anchors, first)
+    drop(settled, left, anchors, first)
     return out
 
 

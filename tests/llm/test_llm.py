@@ -261,7 +261,9 @@ def test_repeats(spark, odd, empty, monkeypatch, regions):
     assert repeats.removals(empty).count() == 0
 
 
-def test_repeats_in_periodic_texts(spark):
+@pytest.mark.parametrize("regions", [512, 2])
+def test_repeats_in_periodic_texts(spark, monkeypatch, regions):
+    monkeypatch.setattr(repeats, "TASK_REGIONS", regions)
     r = random.Random(8)
     letters = "".join(r.choice("abcdefgh") for _ in range(200))
     some = lambda n: "".join(r.choice("ijklmnop") for _ in range(n))
@@ -279,6 +281,38 @@ def test_repeats_in_periodic_texts(spark):
     assert int((blanks[3] - blanks[2]).sum()) < 200_000
 
 
+def brute_without_repeated_words(texts, n):
+    words = [[(m.start(), m.end()) for m in re.finditer("[^\\t-\\r ]+", t)] for t in texts]
+    windows = [[(w[i][0], w[i + n - 1][1]) for i in range(len(w) - n + 1)] for w in words]
+    seen = Counter(t[a:b] for t, found in zip(texts, windows, strict=True) for a, b in found)
+    out = []
+    for t, found in zip(texts, windows, strict=True):
+        cut = {i for a, b in found if seen[t[a:b]] > 1 for i in range(a, b)}
+        out.append("".join(c for i, c in enumerate(t) if i not in cut))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("words", "block"), [(None, 16), (51, 16), (12, 1000)])
+def test_repeats_of_a_frequent_passage(spark, monkeypatch, words, block):
+    """Anchors with many regions: those of one passage, whole and cut short, in many texts; few and many windows of a core."""
+    monkeypatch.setattr(repeats, "TASK_REGIONS", 4)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    r = random.Random(6)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(n))
+    passage = some(130)
+    texts = []
+    for _ in range(70):
+        a, z = (0, len(passage)) if r.random() < 0.5 else sorted(r.choices(range(len(passage)), k=2))
+        texts.append(f"{some(r.randrange(60))} {passage[a:z]} {some(r.randrange(60))}")
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    if words:
+        got = sorted(x["text"] for x in repeats.without_repeats(frame, words=words).collect())
+        assert got == brute_without_repeated_words(texts, words) and got != sorted(texts)
+    else:
+        assert table(repeats.removals(frame)) == brute_removals(rows, 400)
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_repeats_of_rows_without_an_id(spark, monkeypatch, broadcast):
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
