@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,30 @@ def recovered(lines: DataFrame, column: str, schema: str) -> DataFrame:
 def write_per_key(rows: DataFrame, path: str, key: str) -> None:
     """A folder for each key, written once."""
     rows.write.mode("errorifexists").partitionBy(key).parquet(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines by a schema; files that end in .gz are unpacked."""
+    return spark.read.schema(schema).json(path)
+
+
+def captured(rows: DataFrame, path: str, **provenance: str) -> bool:
+    """Write ``rows`` with their provenance as columns, unless the folder is there: then nothing is written, and False returned."""
+    try:
+        rows.withColumns({k: F.lit(v) for k, v in provenance.items()}).write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        return False
+    return True
+
+
+def lookup_files(lookups: DataFrame, key: str) -> DataFrame:
+    """key, name, content of what is kept of each lookup (key, image, request, response, raw: binary, null if there is none).
+
+    A lookup with a ``response`` succeeded: image, request and response. One that failed keeps image, request and the raw bytes, if any came.
+    """
+    file = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("content"))
+    last = F.when(F.col("response").isNotNull(), file("response.json", F.col("response"))).when(F.col("raw").isNotNull(), file("response.bin", F.col("raw")))
+    files = F.array_compact(F.array(file("crop.png", F.col("image")), file("request.json", F.col("request")), last))
+    return lookups.select(key, F.inline(files))
