@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks, job
-from ..sources import sinks
+from ..sources import cmaps, sinks
 from ..sources import testdata as T
 from ..sources.testdata import BOXES_SQL, table
 from .geometry_queries import _INTER, _TOUCH
@@ -191,3 +191,17 @@ def a26_a27_lookup_files(spark, sf_dir):
         F.when(k == 0, F.lit("{}").cast("binary")).alias("response"), F.when(k == 1, F.concat(F.lit("raw"), i).cast("binary")).alias("raw"),
     )
     return sinks.lookup_files(lookups, "event_id").select("event_id", "name", F.col("content").cast("string").alias("content"))
+
+
+@query("""SELECT event_id, CASE event_id % 12 WHEN 1 THEN 'to_unicode_cmap_invalid' WHEN 2 THEN 'to_unicode_cmap_unsupported' WHEN 3 THEN 'to_unicode_cmap_invalid' WHEN 4 THEN 'to_unicode_cmap_invalid' WHEN 5 THEN 'to_unicode_cmap_unsupported'
+  WHEN 6 THEN 'to_unicode_cmap_invalid' WHEN 7 THEN 'to_unicode_cmap_invalid' WHEN 8 THEN 'to_unicode_cmap_unsupported' END AS code, event_id % 12 = 9 AS wide_codespace,
+  CASE WHEN event_id % 12 IN (0, 9, 10, 11) THEN 2 + CASE WHEN event_id % 12 = 10 THEN 0 ELSE user_id % 4 END END AS n_codes FROM events""")
+def a17_a18_checked_maps(spark, sf_dir):
+    k = F.col("event_id") % 12
+    high = F.lpad(F.hex(F.col("user_id") % 4 + 0x50), 2, "0")
+    pick = lambda default, **cases: F.coalesce(*[F.when(k == int(i[1:]), v if not isinstance(v, str) else F.lit(v)) for i, v in cases.items()], F.lit(default))
+    space = pick("1 begincodespacerange <00> <ff> endcodespacerange ", k7="1 begincodespacerange <00> <10> endcodespacerange ", k9="1 begincodespacerange <0000> <00ff> endcodespacerange ", k11="")
+    chars = pick("1 beginbfchar <41> <03B1> endbfchar ", k1="2 beginbfchar <41> <03B1> endbfchar ", k3="2 beginbfchar <41> <03B1> <41> <03B2> endbfchar ", k4="1 beginbfchar <41> <> endbfchar ", k5="1 beginbfchar <0041> <03B1> endbfchar ", k6="1 beginbfchar <41> <D800> endbfchar ", k10="2 beginbfchar <41> <D835DC00> <42> <03B1> endbfchar ")
+    span = F.when(k == 2, F.concat(F.lit("1 beginbfrange <50> <"), high, F.lit("> [<0061>] endbfrange"))).when(k == 8, "/Base usecmap").when(k == 10, "").otherwise(F.concat(F.lit("1 beginbfrange <50> <"), high, F.lit("> <0061> endbfrange")))
+    maps = table(spark, sf_dir, "events").select("event_id", F.concat(space, chars, span).alias("map"))
+    return cmaps.checked(maps, "event_id", "map", 1, simple=True)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cmaps import INVALID, UNSUPPORTED
+
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s<>\[\](){}/%]*|\(|[^\s<>\[\](){}/%]+")
 # Escapes in literal strings, and rendering modes that show nothing.
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -174,7 +176,11 @@ def glyph_rows(pages: DataFrame, keys: list[str], fonts: dict[str, dict[str, Any
 
 
 def to_unicode(cmap: bytes, code_bytes: int) -> tuple[dict[int, str] | None, str | None]:
-    """A ToUnicode map by code, or a reason: sections of wrong counts, codes outside the declared space, mapped twice or to nothing."""
+    """A ToUnicode map by code, or a reason.
+
+    Invalid: sections of wrong counts, codes outside of the spaces, where any are declared, mapped twice or to nothing. Unsupported:
+    sources of another width, targets as arrays. ``cmaps.checked`` tells the same of many maps at once.
+    """
     out: dict[int, str] = {}
     spaces: list[tuple[int, int]] = []
 
@@ -182,38 +188,42 @@ def to_unicode(cmap: bytes, code_bytes: int) -> tuple[dict[int, str] | None, str
         for m in re.finditer(rb"(\d+)\s+begin" + name + rb"\b(.*?)\bend" + name + rb"\b", cmap, re.DOTALL):
             found, each = list(tokens(m[2])), 2 if name != b"bfrange" else 3
             if len(found) != each * int(m[1]):
-                raise ValueError("cmap_count_mismatch")
+                raise ValueError(INVALID)
             yield [found[i : i + each] for i in range(0, len(found), each)]
 
     def put(code: int, text: bytes) -> None:
         if code in out:
-            raise ValueError("cmap_code_duplicated")
+            raise ValueError(INVALID)
         u = text.decode("utf-16-be")
         if not u:
-            raise ValueError("cmap_mapping_empty")
-        if not any(a <= code <= b for a, b in spaces):
-            raise ValueError("cmap_code_undeclared")
+            raise ValueError(INVALID)
+        if spaces and not any(a <= code <= b for a, b in spaces):
+            raise ValueError(INVALID)
         out[code] = u
 
     try:
         for section in sections(b"codespacerange"):
             for low, high in section:
                 if len(low) != code_bytes or len(high) != code_bytes:
-                    raise ValueError("cmap_code_width_mismatch")
+                    raise ValueError(UNSUPPORTED)
                 spaces.append((int.from_bytes(low, "big"), int.from_bytes(high, "big")))
         for section in sections(b"bfchar"):
             for code, text in section:
+                if len(code) != code_bytes:
+                    raise ValueError(UNSUPPORTED)
                 put(int.from_bytes(code, "big"), text)
         for section in sections(b"bfrange"):
             for low, high, target in section:
                 a, b = int.from_bytes(low, "big"), int.from_bytes(high, "big")
-                if b < a or (isinstance(target, list) and len(target) != b - a + 1):
-                    raise ValueError("cmap_range_invalid")
+                if isinstance(target, list) or not len(low) == len(high) == code_bytes:
+                    raise ValueError(UNSUPPORTED)
+                if b < a:
+                    raise ValueError(INVALID)
                 for k in range(b - a + 1):
-                    put(a + k, target[k] if isinstance(target, list) else target[:-2] + (int.from_bytes(target[-2:], "big") + k).to_bytes(2, "big"))
+                    put(a + k, target[:-2] + (int.from_bytes(target[-2:], "big") + k).to_bytes(2, "big"))
     except (ValueError, OverflowError, TypeError) as e:
-        return None, str(e) if str(e).startswith("cmap_") else "cmap_invalid"
-    return (out, None) if spaces else (None, "cmap_codespace_missing")
+        return None, UNSUPPORTED if str(e) == UNSUPPORTED else INVALID
+    return out, None
 
 
 def encoding(base: dict[int, str], differences: list[Any]) -> dict[int, str]:

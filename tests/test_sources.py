@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.sources import candidate, pdf_streams, sinks
+from attesta.sources import candidate, cmaps, pdf_streams, sinks
 
 FONTS = {"/F1": {"width": 1, "map": {c: chr(c) for c in range(32, 127)}}, "/F2": {"width": 2, "map": {1: "α", 2: "β"}}}
 
@@ -28,11 +28,13 @@ def test_content_streams():
 def test_to_unicode():
     head = b"1 begincodespacerange <00> <ff> endcodespacerange "
     assert pdf_streams.to_unicode(head + b"1 beginbfchar <41> <03B1> endbfchar 1 beginbfrange <50> <52> <0061> endbfrange", 1) == ({0x41: "α", 0x50: "a", 0x51: "b", 0x52: "c"}, None)
-    assert pdf_streams.to_unicode(head + b"2 beginbfchar <41> <03B1> endbfchar", 1)[1] == "cmap_count_mismatch"
-    assert pdf_streams.to_unicode(head + b"2 beginbfchar <41> <03B1> <41> <03B2> endbfchar", 1)[1] == "cmap_code_duplicated"
-    assert pdf_streams.to_unicode(b"1 begincodespacerange <00> <10> endcodespacerange 1 beginbfchar <41> <03B1> endbfchar", 1)[1] == "cmap_code_undeclared"
-    assert pdf_streams.to_unicode(head + b"1 beginbfchar <41> <> endbfchar", 1)[1] == "cmap_mapping_empty"
-    assert pdf_streams.to_unicode(head, 2)[1] == "cmap_code_width_mismatch"
+    assert pdf_streams.to_unicode(head + b"2 beginbfchar <41> <03B1> endbfchar", 1)[1] == "to_unicode_cmap_invalid"
+    assert pdf_streams.to_unicode(head + b"2 beginbfchar <41> <03B1> <41> <03B2> endbfchar", 1)[1] == "to_unicode_cmap_invalid"
+    assert pdf_streams.to_unicode(b"1 begincodespacerange <00> <10> endcodespacerange 1 beginbfchar <41> <03B1> endbfchar", 1)[1] == "to_unicode_cmap_invalid"
+    assert pdf_streams.to_unicode(head + b"1 beginbfchar <41> <> endbfchar", 1)[1] == "to_unicode_cmap_invalid"
+    assert pdf_streams.to_unicode(head, 2)[1] == "to_unicode_cmap_unsupported"
+    assert pdf_streams.to_unicode(head + b"1 beginbfrange <50> <51> [<0061> <0062>] endbfrange", 1)[1] == "to_unicode_cmap_unsupported"
+    assert pdf_streams.to_unicode(b"1 beginbfchar <41> <03B1> endbfchar", 1) == ({0x41: "α"}, None)
     assert pdf_streams.encoding({1: "/a"}, [5, "/x", "/y", 1, "/z"]) == {1: "/z", 5: "/x", 6: "/y"}
 
 
@@ -65,3 +67,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "evidence")).count() == 2
     with pytest.raises(Exception, match="exists"):
         sinks.write_evidence(rows, str(tmp_path / "evidence"))
+
+
+def test_checked_maps(spark):
+    head = "1 begincodespacerange <0000> <00ff> endcodespacerange "
+    cases = [
+        (head + "1 beginbfchar <0041> <03B1> endbfchar", None, 1), ("", None, 0), (None, "invalid", None), (head + "1 beginbfchar <0041> <03B1>", "invalid", None),
+        (head + "1 beginbfchar <0041> 03B1 endbfchar", "invalid", None), (head + "1 beginbfrange <0050> <0052> [<0061>] endbfrange", "unsupported", None),
+        (head + "1 beginbfrange <0052> <0050> <0061> endbfrange", "invalid", None), (head + "1 beginbfrange <0050> <0052> <D7FE> endbfrange", "invalid", None),
+        (head + "1 beginbfrange <0050> <0052> <D835DC00> endbfrange", None, 3), (head + "1 beginbfrange <0050> <0052> <FFFE> endbfrange", "invalid", None),
+        ("2 begincodespacerange <0000> <0040> <0041> <0050> endcodespacerange 1 beginbfrange <0030> <0050> <0061> endbfrange", None, 33),
+        ("2 begincodespacerange <0000> <0040> <0042> <0050> endcodespacerange 1 beginbfrange <0030> <0050> <0061> endbfrange", "invalid", None),
+        (head + "1 beginbfchar <0123456789abcdef0123456789> <0061> endbfchar", "unsupported", None), (head + "1 beginnotdefrange <00> <01> <02> endnotdefrange", "unsupported", None),
+        (head + "2 beginbfrange <0010> <0020> <0061> <0020> <0030> <0061> endbfrange", "invalid", None), (head + "1 beginbfchar <00zz> <0061> endbfchar", "unsupported", None),
+        ("1 begincodespacerange <00> <ff> endcodespacerange", "unsupported", None),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, map string")
+    got = {r["i"]: (r["code"], r["n_codes"]) for r in cmaps.checked(rows, "i", "map", 2).collect()}
+    assert [got[i] for i in range(len(cases))] == [(c and f"to_unicode_cmap_{c}", n) for _, c, n in cases]
