@@ -77,3 +77,9 @@ def envelopes(boxes: DataFrame, keys: list[str]) -> DataFrame:
 def contingency(rows: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
     """Counts of two predicates against each other: both, only_a, only_b, neither."""
     return rows.groupBy(*keys).agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
+
+
+def usage(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """by, kind, value, n: how often each value of each column stands, e.g. the fonts and operators of a page; nulls aren't counted."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(by, F.inline(pairs)).where("value IS NOT NULL").groupBy(by, "kind", "value").agg(F.count(F.lit(1)).alias("n"))

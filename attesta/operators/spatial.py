@@ -128,3 +128,17 @@ def in_exactly_one_group(rows: DataFrame, keys: list[str], group: str) -> DataFr
     """``rows`` with ``shared``: whether the key stands in several groups."""
     w = Window.partitionBy(*keys)
     return rows.withColumn("shared", F.size(F.collect_set(group).over(w)) > 1)
+
+
+def detected(regions: DataFrame, predictions: DataFrame, pages: DataFrame, exact: Column) -> DataFrame:
+    """page, id, n, detected, exact of regions once they are turned with their page (page, angle, width, height).
+
+    A prediction counts if it holds the middle of the turned region; ``exact`` is a condition on columns l_ of the prediction and r_ of
+    the region. A page without a row or with an unknown angle detects nothing.
+    """
+    box = G.rotated(G.Box.of(""), F.col("angle"), F.col("width"), F.col("height"))
+    turned = regions.join(pages.select("page", "angle", "width", "height"), "page").withColumns({"x0": box.x0, "y0": box.y0, "x1": box.x1, "y1": box.y1}).drop("angle", "width", "height")
+    pairs = meet(predictions, turned, G.contains_center(left_box(), right_box()) & (G.intersection(left_box(), right_box()) >= 0))
+    found = pairs.groupBy(F.col("r_page").alias("page"), F.col("r_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(exact, F.lit(False))).alias("exact"))
+    out = regions.select("page", "id").join(found, ["page", "id"], "left").fillna(0, ["n"]).fillna(False, ["exact"])
+    return out.select("page", "id", "n", (F.col("n") > 0).alias("detected"), "exact")

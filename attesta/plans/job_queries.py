@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, job
+from ..functions import text as X
+from ..operators import checks, corrections, job, metrics, spatial
 from ..sources import cmaps, sinks
 from ..sources import testdata as T
 from ..sources.testdata import BOXES_SQL, table
@@ -205,3 +206,49 @@ def a17_a18_checked_maps(spark, sf_dir):
     span = F.when(k == 2, F.concat(F.lit("1 beginbfrange <50> <"), high, F.lit("> [<0061>] endbfrange"))).when(k == 8, "/Base usecmap").when(k == 10, "").otherwise(F.concat(F.lit("1 beginbfrange <50> <"), high, F.lit("> <0061> endbfrange")))
     maps = table(spark, sf_dir, "events").select("event_id", F.concat(space, chars, span).alias("map"))
     return cmaps.checked(maps, "event_id", "map", 1, simple=True)
+
+
+@query(f"""WITH {BOXES_SQL}, t AS (
+  SELECT page, id, CASE page % 4 WHEN 0 THEN x0 WHEN 1 THEN 800 - y1 WHEN 2 THEN 500 - x1 ELSE y0 END AS x0, CASE page % 4 WHEN 0 THEN y0 WHEN 1 THEN x0 WHEN 2 THEN 800 - y1 ELSE 500 - x1 END AS y0,
+    CASE page % 4 WHEN 0 THEN x1 WHEN 1 THEN 800 - y0 WHEN 2 THEN 500 - x0 ELSE y1 END AS x1, CASE page % 4 WHEN 0 THEN y1 WHEN 1 THEN x1 WHEN 2 THEN 800 - y0 ELSE 500 - x0 END AS y1
+  FROM boxes WHERE role = 'oracle'
+), m AS (
+  SELECT b.page, b.id, count(*) AS n, bool_or(a.id % 3 = b.id % 3) AS exact FROM boxes a JOIN t b ON a.page = b.page AND a.role = 'candidate'
+    AND (b.x0 + b.x1) / 2.0 BETWEEN a.x0 AND a.x1 AND (b.y0 + b.y1) / 2.0 BETWEEN a.y0 AND a.y1 GROUP BY 1, 2
+) SELECT t.page, t.id, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AS detected, coalesce(exact, false) AS exact FROM t LEFT JOIN m USING (page, id)""")
+def c38_rotated_containment(spark, sf_dir):
+    boxes = T.boxes(spark, sf_dir)
+    pages = boxes.select("page").distinct().select("page", (F.col("page") % 4 * 90).alias("angle"), F.lit(500).alias("width"), F.lit(800).alias("height"))
+    return spatial.detected(boxes.where("role = 'oracle'"), boxes.where("role = 'candidate'"), pages, F.col("l_id") % 3 == F.col("r_id") % 3)
+
+
+@query("""SELECT user_id, 'event_type' AS kind, event_type AS value, count(*) AS n FROM events GROUP BY 1, 3
+UNION ALL SELECT user_id, 'k', CAST(event_id % 7 AS VARCHAR), count(*) FROM events WHERE event_id % 7 <> 3 GROUP BY 1, 3""")
+def d07_font_and_operator_usage(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("event_id") % 7 != 3, F.col("event_id") % 7).alias("k"))
+    return metrics.usage(rows, "user_id", "event_type", "k")
+
+
+def _lookup(request: str) -> str:
+    """A stand-in for a model: an answer to most requests, an error to some."""
+    if request.endswith("7"):
+        raise TimeoutError(request)
+    return request[::-1]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS r, o_orderkey % 5 = 0 AS proven, o_orderkey % 11 = 0 AS ineligible FROM orders)
+SELECT id, CASE WHEN NOT proven AND r LIKE '%7' THEN 'TimeoutError' END AS failure,
+  CASE WHEN ineligible THEN 'rejected' WHEN NOT proven AND r LIKE '%7' THEN 'failed' WHEN proven OR reverse(r) = r THEN 'accepted' ELSE 'rejected' END AS outcome FROM o""")
+def k20_k21_l01_correction_outcomes(spark, sf_dir):
+    i = F.col("o_orderkey")
+    targets = table(spark, sf_dir, "orders").select(i.alias("id"), i.cast("string").alias("request"), F.when(i % 5 == 0, i.cast("string")).alias("proven"), F.when(i % 11 == 0, "source_not_established").alias("ineligible"))
+    tried = corrections.proposals(targets, _lookup)
+    return tried.select("id", "failure", corrections.outcome(F.col("ineligible"), F.col("proposal"), F.col("failure"), F.col("proposal") == F.col("request")).alias("outcome"))
+
+
+@query("""SELECT p_partkey, substr(p_brand || p_name, 1, 24) AS family, CASE WHEN p_partkey % 3 <> 0 THEN sha256(p_name) END AS sha FROM part""")
+def h43_h59_font_names_and_digests(spark, sf_dir):
+    p = F.col("p_partkey")
+    name = F.concat(F.when(p % 2 == 0, "/").otherwise(""), F.when(p % 3 == 0, "ABCDEF+").otherwise(""), "p_brand", "p_name")
+    digest = F.upper(F.sha2("p_name", 256))
+    return table(spark, sf_dir, "part").select("p_partkey", X.font_family(name).alias("family"), X.valid_sha256(F.when(p % 3 == 0, F.substring(digest, 1, 63)).otherwise(digest)).alias("sha"))
