@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, media, neardup, packing, quality, repeats, shards, topk
+from . import bestfit, bpe, codes, langid, licenses, media, neardup, packing, quality, repeats, shards, topk, turns
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(table(spark, sf_dir, "conversations"))[0]
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def _op2_sql() -> str:
     templates = [*licenses.BASE, *licenses.TEMPLATES]
     rows = []
@@ -148,5 +160,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk, "op11_turns": op11_turns, "op12_codes": op12_codes, "op13_bestfit": op13_bestfit}
 ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": _op4_sql(), "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
