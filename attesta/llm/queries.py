@@ -160,5 +160,85 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS UBIGINT))), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) % 20 AS kind
+  FROM k, tab
+), g AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [1, 2] WHEN 0 THEN [] ELSE [1] END) AS copy
+  FROM d
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM g),
+c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+f AS (
+  SELECT c, i, turn, role, text, left(role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY o.conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY o.conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM o JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+), ways AS (
+  SELECT [{'q': '', 'r': 's', 'ins': ''}, {'q': '', 'r': 'u', 'ins': ''}, {'q': '', 'r': 'a', 'ins': 'user'}, {'q': 's', 'r': 'u', 'ins': ''}, {'q': 's', 'r': 'a', 'ins': 'user'},
+    {'q': 'u', 'r': 'a', 'ins': ''}, {'q': 'u', 'r': 'u', 'ins': 'assistant'}, {'q': 'a', 'r': 'u', 'ins': ''}, {'q': 'a', 'r': 'a', 'ins': 'user'}] AS ways
+), dp AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, [{'r': '', 'k': CAST(0 AS BIGINT), 'a': '', 't': ''}] AS best FROM c
+  UNION ALL
+  SELECT dp.c, f.i, list_transform(['', 's', 'u', 'a'], lambda r: list_min(list_filter(list_concat(
+      list_transform(best, lambda b: {'r': b.r, 'k': b.k + 3, 'a': b.a || 'D', 't': b.t}),
+      flatten(list_transform(list_filter(best, lambda b: b IS NOT NULL AND f.fault NOT IN ('blank', 'duplicate')), lambda b: list_transform(
+        list_filter(ways, lambda w: w.q = b.r AND (w.r <> 's' OR f.initial = 's')),
+        lambda w: {'r': w.r,
+          'k': CAST(b.k + (CASE WHEN w.ins = '' THEN 0 ELSE 2 END) + (CASE WHEN w.r = f.initial THEN 0 ELSE 2 END) + (CASE WHEN f.fault = 'truncated' THEN 1 ELSE 0 END) AS BIGINT),
+          'a': b.a || (CASE WHEN w.ins = '' THEN '' ELSE 'I' END) || (CASE WHEN w.r = f.initial THEN 'K' ELSE 'R' END),
+          't': b.t || (CASE WHEN w.ins = '' THEN '' ELSE chr(10) || w.ins || ':' END) || chr(10)
+            || (CASE WHEN w.r = f.initial THEN f.role WHEN w.r = 'u' THEN 'user' ELSE 'assistant' END) || ':' || f.text})))
+    ), lambda x: x.r = r)))
+  FROM dp JOIN f ON f.c = dp.c AND f.i = dp.i + 1, ways
+), e AS (
+  SELECT c, list_min(list_transform(list_filter(best, lambda b: b.r IS NOT NULL), lambda b: {
+    'k': b.k + (CASE b.r WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END), 'a': b.a || (CASE b.r WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END),
+    't': b.t || (CASE b.r WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END)})) AS x
+  FROM dp QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1
+), n AS (
+  SELECT c, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  x.k AS cost, x.a AS audit, sha256(x.t[2:]) AS repaired_sha256
+FROM c JOIN e USING (c) LEFT JOIN n USING (c)
+"""
+
+
+def _op12_sql() -> str:
+    parts, entries = codes.PARTS, codes.ENTRIES
+    near = lambda r: f"""a{r} AS MATERIALIZED (
+  SELECT rid, p, min(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) * {entries} + entry) AS m FROM x JOIN b{r} b USING (p) GROUP BY rid, p
+)"""
+    rounds = "".join(f""", {near(r)}, b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.entry, coalesce(u.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT p, m % {entries} AS entry, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n FROM (SELECT p, m, v, unnest(range(1, len(v) + 1)) AS i FROM a{r} JOIN x USING (rid, p)) GROUP BY ALL) GROUP BY p, entry
+  ) u ON u.p = b.p AND u.entry = b.entry
+)""" for r in range(codes.ROUNDS))
+    last = codes.ROUNDS
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), x AS MATERIALIZED (SELECT rid, p, e[p * (len(e) // {parts}) + 1 : (p + 1) * (len(e) // {parts})] AS v FROM e, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS entry, v FROM x WHERE rid <= {entries}){rounds}, {near(last)},
+s AS (SELECT rid, string_agg(printf('%02x', CAST(m % {entries} AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{last} GROUP BY rid),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, entry, i)) AS sha FROM (SELECT p, entry, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM b{last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM e JOIN s USING (rid), h
+"""
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_neardup": op3_neardup, "op4_repeats": op4_repeats, "op5_packing": op5_packing, "op6_langid": op6_langid, "op7_media": op7_media, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_topk": op10_topk, "op11_turns": op11_turns, "op12_codes": op12_codes, "op13_bestfit": op13_bestfit}
-ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": _op4_sql(), "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL}
+ORACLES = {"op2_licenses": _op2_sql(), "op4_repeats": _op4_sql(), "op3_neardup": OP3_SQL, "op10_topk": OP10_SQL, "op11_turns": OP11_SQL, "op12_codes": _op12_sql()}
