@@ -175,14 +175,15 @@ def glyph_rows(pages: DataFrame, keys: list[str], fonts: dict[str, dict[str, Any
     return pages.select(*keys, "content").mapInPandas(run, schema)
 
 
-def to_unicode(cmap: bytes, code_bytes: int) -> tuple[dict[int, str] | None, str | None]:
-    """A ToUnicode map by code, or a reason.
+def to_unicode(cmap: bytes, code_bytes: int, simple: bool = False) -> tuple[dict[int, str] | None, str | None]:
+    """A ToUnicode map by code, or a reason. A ``simple`` font of one byte may declare spaces of two.
 
     Invalid: sections of wrong counts, codes outside of the spaces, where any are declared, mapped twice or to nothing. Unsupported:
     sources of another width, targets as arrays. ``cmaps.checked`` tells the same of many maps at once.
     """
     out: dict[int, str] = {}
     spaces: list[tuple[int, int]] = []
+    wide: set[int] = set()
 
     def sections(name: bytes) -> Iterator[list[Any]]:
         for m in re.finditer(rb"(\d+)\s+begin" + name + rb"\b(.*?)\bend" + name + rb"\b", cmap, re.DOTALL):
@@ -204,9 +205,10 @@ def to_unicode(cmap: bytes, code_bytes: int) -> tuple[dict[int, str] | None, str
     try:
         for section in sections(b"codespacerange"):
             for low, high in section:
-                if len(low) != code_bytes or len(high) != code_bytes:
-                    raise ValueError(UNSUPPORTED)
+                wide.add(len(low) if len(low) == len(high) else 0)
                 spaces.append((int.from_bytes(low, "big"), int.from_bytes(high, "big")))
+        if wide and wide != {code_bytes} and not (simple and code_bytes == 1 and wide == {2}):
+            raise ValueError(UNSUPPORTED)
         for section in sections(b"bfchar"):
             for code, text in section:
                 if len(code) != code_bytes:
