@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import evaluate, spatial
+from . import evaluate, semantics, spatial
 from .checks import first_limitation, require_supported, require_unambiguous
 
 _SIDES = ("x0", "y0", "x1", "y1")
@@ -16,9 +16,11 @@ def page_reports(pages: DataFrame) -> DataFrame:
     """page, status, code, scale of pages (page, box of the source, width and height of the candidate, rotation, n_layers).
 
     A rotated page is unsupported and one with several layers of text ambiguous: a row with a code, not an error. ``scale`` is
-    null where the two frames aren't one another's multiple.
+    null where the two frames aren't one another's multiple. A page that is given twice counts once, and is ambiguous where its rows differ.
     """
-    limit = first_limitation(require_supported(F.col("rotation") == 0, "page_rotation_unsupported"), require_unambiguous(F.col("n_layers") <= 1, "page_text_layers_ambiguous"))
+    own = [c for c in pages.columns if c != "page"]
+    pages = pages.groupBy("page").agg(F.min(F.struct(*own)).alias("__row"), F.count_distinct(F.struct(*own)).alias("__rows")).select("page", "__row.*", "__rows")
+    limit = first_limitation(require_supported(F.col("rotation") == 0, "page_rotation_unsupported"), require_unambiguous(F.col("__rows") == 1, "page_rows_ambiguous"), require_unambiguous(F.col("n_layers") <= 1, "page_text_layers_ambiguous"))
     scale = G.uniform_scale(G.Box.of(""), F.col("width"), F.col("height"))
     return pages.select("page", F.coalesce(limit["status"], F.lit("traced")).alias("status"), limit["code"].alias("code"), scale.alias("scale"))
 
@@ -72,6 +74,20 @@ def report(pages: DataFrame, regions: DataFrame, glyphs: DataFrame) -> DataFrame
     return evaluate.evaluated(rows).select("page", "id", "status", "n_glyphs", "source_tokens", "semantic", "candidate_status", "verdict")
 
 
+def semantic_report(pages: DataFrame, regions: DataFrame, glyphs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row per region with what its source says, what its candidate says, the verdict, and all reasons (see ``semantics.evaluated``).
+
+    ``regions``: page, id, box in the candidate's frame, reason, limitations, candidate_text, candidate_format, link_status, link_reason,
+    rules. ``glyphs``: page, id, box and the signals of each glyph. A region given a reason has that and its limitations as reasons.
+    """
+    reports = page_reports(pages)
+    placed = normalised(regions, reports)
+    rows = placed.join(reports.select("page", F.col("status").alias("page_status")), "page", "left").join(aligned(placed, glyphs), ["page", "id"], "left")
+    counts = [F.coalesce(F.size("indices"), F.lit(0)), F.coalesce("n_multiple", F.lit(0)), F.coalesce("n_boundary", F.lit(0))]
+    status = evaluate.alignment_status(F.col("reason"), *counts, F.coalesce(F.col("page_status") == "traced", F.lit(False)))
+    return semantics.evaluated(rows.withColumn("status", status), glyphs, names).drop("page_status", "n_multiple", "n_boundary", "reason")
+
+
 def summary(reported: DataFrame, reports: DataFrame) -> DataFrame:
     """page, status, code, regions and the count of each verdict, for every page; pages without regions have zeros."""
     count = lambda verdict: F.count_if(F.col("verdict") == verdict).alias(verdict)
