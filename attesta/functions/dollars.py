@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import RELATION, SYNTAX
 
-_relation, _syntax = re.compile(RELATION.replace("^", r"\A", 1)[:-1] + r"\Z"), re.compile(SYNTAX)
-# Amounts before and after a dollar.
+# A bare relation, as a whole text, signs of mathematical syntax, and amounts before and after a dollar.
+_relation = re.compile(r"\A\S+\s*[<>=]\s*\S+\Z")
+_syntax = re.compile(r"[+*/^_{}()\[\]\\]")
 _AMOUNT_BEFORE = re.compile(r"(?:^|\s)(?:\d+(?:[.,]\d+)?\s*[kKmMbB]?|[kKmMbB])\Z")
 _AMOUNT_AFTER = re.compile(r"\d+(?:[.,]\d+)?(?:\b|\Z)")
 

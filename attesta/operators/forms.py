@@ -10,10 +10,12 @@ reads (``ctx``). Names are looked up as joins, and nesting is followed in rounds
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import cut
+from .rounds import cut, rows
 
 NODE = ["source", "stream", "ctx"]
 #: What is told of a node: it shows text, it shows none, or the reason why that can't be told.
@@ -43,7 +45,7 @@ def showing_text(streams: DataFrame, entries: DataFrame, draws: DataFrame, shows
     node = ["source", "stream", "ctx"]
     frontier = cut(_child(targets(pages, draws, streams, entries)))
     nodes, edges = frontier, None
-    while not frontier.isEmpty():
+    while rows(frontier):
         step = cut(targets(frontier, draws, streams, entries).where("target_kind = 'form' OR target_kind IS NULL"))
         edges = step if edges is None else edges.unionAll(step)
         frontier = cut(_child(step).join(nodes, node, "left_anti"))
@@ -53,7 +55,7 @@ def showing_text(streams: DataFrame, entries: DataFrame, draws: DataFrame, shows
     told = cut(nodes.join(shows.select("source", "stream").distinct(), ["source", "stream"], "left_semi").select(*node, F.lit(TEXT).alias("outcome")))
     open_, edges = cut(nodes.join(told, node, "left_anti")), cut(edges)
     known = lambda t: t.select("source", F.col("stream").alias("target"), F.col("ctx").alias("target_ctx"), F.col("outcome").alias("__of"))
-    while not open_.isEmpty():
+    while rows(open_):
         each = open_.join(edges, node, "left").join(known(told), ["source", "target", "target_ctx"], "left")
         of = F.when(F.col("op").isNotNull() & F.col("target").isNull(), MISSING).otherwise(F.col("__of"))
         # The first draw that isn't known to show none; no such draw, and the form shows none.
@@ -61,7 +63,7 @@ def showing_text(streams: DataFrame, entries: DataFrame, draws: DataFrame, shows
         first = F.min(F.when(waits, F.struct("op", of.alias("of"))))
         found = each.groupBy(*node).agg(first.alias("first")).select(*node, F.when(F.col("first").isNull(), NONE).otherwise(F.col("first.of")).alias("outcome"))
         new = cut(found.where("outcome IS NOT NULL"))
-        if new.isEmpty():
+        if not rows(new):
             return told.unionAll(open_.select(*node, F.lit(CYCLE).alias("outcome")))
         told = told.unionAll(new)
         open_ = cut(open_.join(new, node, "left_anti"))
@@ -76,18 +78,17 @@ def drawn(streams: DataFrame, entries: DataFrame, draws: DataFrame, outcomes: Da
     """
     told = outcomes.select("source", F.col("stream").alias("target"), F.col("ctx").alias("target_ctx"), "outcome")
     frontier = streams.where("kind = 'page'").select("source", F.col("stream").alias("page"), "stream", F.col("stream").alias("ctx"), F.array().cast("array<int>").alias("path"), F.array().cast("array<long>").alias("active"))
-    frontier = cut(frontier)
-    entered, faults = frontier, None
-    while not frontier.isEmpty():
+    entered, faults = frontier, []
+    while True:
         each = targets(frontier, draws, streams, entries).join(told, ["source", "target", "target_ctx"], "left")
         at = F.concat("path", F.array(F.col("op"), F.lit(0)))
         again = (F.col("outcome") == TEXT) & F.array_contains("active", F.col("target"))
         reason = F.when(F.col("target_kind").isNull(), MISSING).when(again, CYCLE).when(F.col("outcome").isin(CYCLE, MISSING), F.col("outcome"))
         each = cut(each.select("source", "page", "target", "target_ctx", at.alias("path"), "active", "outcome", reason.alias("reason")).where(f"reason IS NOT NULL OR outcome = '{TEXT}'"))
-        met = each.where("reason IS NOT NULL").select("source", "page", "path", "reason")
-        faults = met if faults is None else faults.unionAll(met)
+        if not rows(each):
+            break
+        faults.append(each.where("reason IS NOT NULL").select("source", "page", "path", "reason"))
         frontier = each.where("reason IS NULL").select("source", "page", F.col("target").alias("stream"), F.col("target_ctx").alias("ctx"), "path", F.concat("active", F.array("target")).alias("active"))
         entered = entered.unionAll(frontier)
-    if faults is None:
-        faults = entered.select("source", "page", "path", F.lit(None).cast("string").alias("reason")).limit(0)
-    return entered.drop("active"), faults
+    none = entered.select("source", "page", "path", F.lit(None).cast("string").alias("reason")).limit(0)
+    return entered.drop("active"), reduce(DataFrame.unionAll, faults, none)

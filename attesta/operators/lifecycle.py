@@ -60,15 +60,13 @@ def adopt(records: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 
 def attempt_history(attempts: DataFrame, most: int = 64) -> DataFrame:
     """id and each ancestor over parent_id, with the distance; depth is bounded by ``most``."""
-    spark = attempts.sparkSession
-    name = "attesta_attempts"
-    attempts.select("id", "parent_id").createOrReplaceTempView(name)
-    return spark.sql(f"""
+    query = f"""
         WITH RECURSIVE chain(id, ancestor, distance) MAX RECURSION LEVEL {most} AS (
-          SELECT id, parent_id, 1 FROM {name} WHERE parent_id IS NOT NULL
+          SELECT id, parent_id, 1 FROM {{attempts}} WHERE parent_id IS NOT NULL
           UNION ALL
-          SELECT c.id, a.parent_id, c.distance + 1 FROM chain c JOIN {name} a ON a.id = c.ancestor WHERE a.parent_id IS NOT NULL
-        ) SELECT id, ancestor, distance FROM chain""")
+          SELECT c.id, a.parent_id, c.distance + 1 FROM chain c JOIN {{attempts}} a ON a.id = c.ancestor WHERE a.parent_id IS NOT NULL
+        ) SELECT id, ancestor, distance FROM chain"""
+    return attempts.sparkSession.sql(query, attempts=attempts.select("id", "parent_id"))
 
 
 def retry(latest: DataFrame) -> DataFrame:

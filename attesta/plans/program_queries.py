@@ -9,13 +9,13 @@ from ..sources import content, synthetic
 from ..sources.testdata import table
 from .registry import query
 
-_TEXT = F.regexp_replace("text", "[^A-Za-z ]", "")
+
 
 
 def _documents(spark, sf_dir):
     """A made document for each row of ``documents``: its page shows the row's whole text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("doc_id").alias("n"), "text")
-    return synthetic.streams(docs, _TEXT), synthetic.entries(docs), docs
+    return synthetic.streams(docs, F.regexp_replace("text", "[^A-Za-z ]", "")), synthetic.entries(docs), docs
 
 
 def _scan(spark, sf_dir):

@@ -173,12 +173,12 @@ class Scan:
         key = F.when(F.col("font") == F.col("first"), F.col("name")).otherwise(F.concat("name", F.lit("@"), "font"))
         load = F.when(F.col("font").isNotNull() & F.col("code_bytes").isNull() & F.col("load").isNull(), "embedded_font_type_unsupported").otherwise(F.col("load"))
         text = cut(text.join(firsts, ["source", "page", "name"], "left").withColumns({"font_key": key, "load": load}).drop("first", "ctx"))
-        digits, width = F.hex("chunk"), F.coalesce("code_bytes", F.lit(1))
-        n = F.floor(F.length("chunk") / width).cast("int")
-        code = lambda i: F.conv(F.substring(digits, i * width * 2 + 1, width * 2), 16, 10).cast("int")
-        listed = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), code)
-        usable = text.where("font IS NOT NULL AND load IS NULL").withColumn("n", n)
-        shown = usable.select("source", "page", "at", "font_key", "font", F.posexplode(listed).alias("k", "code")).join(codes.select("source", "font", "code", F.col("name").alias("glyph"), "gid", "u"), ["source", "font", "code"], "left")
+        width = F.coalesce("code_bytes", F.lit(1))
+        # A chunk is cut into its codes in one pass; a rest that is no whole code is left out.
+        each_code = F.regexp_extract_all(F.hex("chunk"), F.concat(F.lit("(.{"), (width * 2).cast("string"), F.lit("})")), F.lit(1))
+        usable = text.where("font IS NOT NULL AND load IS NULL")
+        shown = usable.select("source", "page", "at", "font_key", "font", F.posexplode(each_code).alias("k", "digits")).withColumn("code", F.conv("digits", 16, 10).cast("int")).drop("digits")
+        shown = shown.join(codes.select("source", "font", "code", F.col("name").alias("glyph"), "gid", "u"), ["source", "font", "code"], "left")
         fault = F.when(F.col("gid").isNull() | (F.col("gid") == 0), "embedded_glyph_required").when(F.coalesce(F.col("u") == "", F.lit(True)), "agl_mapping_required")
         shown = cut(shown.withColumn("fault", fault))
         failed = shown.where("fault IS NOT NULL").groupBy("source", "page", "font_key").agg(F.min(F.struct("at", "k", "fault")).alias("f")).select("source", "page", "font_key", F.col("f.at").alias("failed_at"), F.col("f.fault").alias("fault"))
