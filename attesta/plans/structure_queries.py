@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import latex
-from ..operators import corrections, evaluate, html, layout, linking
+from ..operators import contexts, corrections, evaluate, html, layout, linking
 from ..sources import testdata as T
 from ..sources.testdata import GLYPHS_SQL, REGIONS_SQL, SPANS_SQL, table
 from .registry import query
@@ -107,6 +107,14 @@ def c05_h30_linked_spans(spark, sf_dir):
     return d.select("doc_id", "line", linking.locate_udf(damaged, "t", F.lit(20), F.lit(30)).alias("l")).select("doc_id", "line", "l.*")
 
 
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS id, CAST(i AS INTEGER) AS place, NULL::VARCHAR AS reason FROM (SELECT doc_id, unnest(range(0, CAST(length(text) - 2 AS BIGINT), 97)) AS i FROM documents)""")
+def f09_c17_unique_contexts(spark, sf_dir):
+    """Three characters at every 97th place of each whole text, found again in the text by growing contexts: the one place left is their own."""
+    d = table(spark, sf_dir, "documents").where("length(text) > 2").select("doc_id", F.col("text").alias("document"), F.col("text").alias("source"))
+    targets = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("document") - 3, F.lit(97))).alias("id")).select("doc_id", "id", F.col("id").alias("start"), (F.col("id") + 3).alias("end"))
+    return contexts.unique_places(targets, d, "doc_id").select("doc_id", "id", "place", "reason")
+
+
 @query("""SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")
 def a37_d17_html_parsed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.inventory_udf("html").alias("i")).select("page_id", "i.links", "i.paragraphs")
