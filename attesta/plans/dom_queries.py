@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dom
+from ..operators import derived, dom
 from ..sources.testdata import table
 from .registry import query
 
@@ -68,3 +68,46 @@ SELECT page_id, s[: strpos(s, '"') - 1] AS href, '<a href="' || s[: strpos(s, '<
 def a37_link_elements(spark, sf_dir):
     nodes = dom.elements(table(spark, sf_dir, "pages"), "page_id", "html", ["a"])
     return nodes.select("page_id", F.col("attributes")["href"].alias("href"), "markup")
+
+
+def _corrected(spark, sf_dir):
+    """Each paragraph of a page is a text; its first three characters are corrected where i % 4 = 1, and i % 12 = 5 has another correction from the third on,
+    i % 20 = 9 one beyond its end, i % 16 = 13 is a formula. The HTML leaves out paragraphs where i % 18 = 17, and has those of i % 36 = 1 twice."""
+    _, parts = _published(spark, sf_dir)
+    i = F.col("i")
+    ref = F.concat(F.lit("#/texts/"), i.cast("string"))
+    texts = parts.where("length(text) >= 6").select("page_id", ref.alias("ref"), F.when(i % 16 == 13, "formula").otherwise("text").alias("label"), "text")
+    some = parts.where("i % 4 = 1 AND length(text) >= 6")
+    one = lambda rows, name, start, end: rows.select("page_id", F.concat(F.lit(name), i.cast("string")).alias("target_id"), ref.alias("ref"), start.alias("start"), end.alias("end"), F.lit("\\alpha").alias("after"), F.lit("<math><mi>α</mi></math>").alias("mathml"))
+    beyond = F.when(i % 20 == 9, F.length("text") + 1).otherwise(3)
+    corrections = one(some, "a", F.lit(0), beyond).unionAll(one(some.where("i % 12 = 5"), "b", F.lit(2), F.lit(5))).unionAll(one(some.where("i % 12 = 9"), "c", F.lit(3), F.lit(4)))
+
+    def render(marked):
+        number = F.regexp_extract("ref", r"(\d+)$", 1).cast("int")
+        p = F.concat(F.lit("<p>"), "text", F.lit("</p>"))
+        shown = marked.select("page_id", number.alias("i"), F.when(number % 18 == 17, "").when(number % 36 == 1, F.concat(p, p)).otherwise(p).alias("p"))
+        return shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("s")).select("page_id", F.array_join(F.transform("s", lambda x: x["p"]), "").alias("html"))
+
+    return derived.derived("page_id", texts, corrections, render)
+
+
+@query(f"""WITH {PARTS_SQL}, r AS (SELECT page_id, i, text FROM t WHERE length(text) >= 6 AND i % 4 = 1),
+c AS (SELECT *, 'a' || i AS target_id, 0 AS s, CASE WHEN i % 20 = 9 THEN length(text) + 1 ELSE 3 END AS e FROM r UNION ALL SELECT *, 'b' || i, 2, 5 FROM r WHERE i % 12 = 5 UNION ALL SELECT *, 'c' || i, 3, 4 FROM r WHERE i % 12 = 9),
+k AS (SELECT *, CASE WHEN e > length(text) THEN 'correction_span_invalid' WHEN i % 16 = 13 AND e - s < length(text) THEN 'correction_formula_partial' WHEN i % 12 = 5 AND i % 20 <> 9 THEN 'correction_overlap' END AS refused FROM c)
+SELECT page_id, target_id, coalesce(refused, CASE WHEN i % 18 = 17 OR i % 36 = 1 THEN 'correction_not_localisable' END) AS code,
+  CASE WHEN refused IS NULL THEN CAST(CASE WHEN target_id[1] = 'c' AND i % 20 <> 9 THEN s + 3 ELSE s END AS INTEGER) END AS derived_start FROM k""")
+def a39_derived_loci(spark, sf_dir):
+    return _corrected(spark, sf_dir)[2].select("page_id", "target_id", "code", "derived_start")
+
+
+# What was put into the texts and into the documents, read back from both.
+@query(f"""WITH {PARTS_SQL}, r AS (SELECT page_id, i, text FROM t WHERE length(text) >= 6 AND i % 4 = 1),
+c AS (SELECT *, 'a' || i AS target_id, 0 AS s, CASE WHEN i % 20 = 9 THEN length(text) + 1 ELSE 3 END AS e FROM r UNION ALL SELECT *, 'b' || i, 2, 5 FROM r WHERE i % 12 = 5 UNION ALL SELECT *, 'c' || i, 3, 4 FROM r WHERE i % 12 = 9)
+SELECT page_id, target_id, '\\alpha' AS shown, true AS alone FROM c
+WHERE NOT (e > length(text) OR i % 16 = 13 AND e - s < length(text) OR i % 12 = 5 AND i % 20 <> 9 OR i % 18 = 17 OR i % 36 = 1)""")
+def a39_derived_documents(spark, sf_dir):
+    texts, documents, told = _corrected(spark, sf_dir)
+    nodes = dom.elements(documents, "page_id", "html", ["math"]).select("page_id", F.col("attributes")[dom.CORRECTION].alias("target_id"), F.col("attributes")[dom.SPAN].alias("span"), F.col("attributes")[dom.REF].alias("ref"))
+    met = told.where("code IS NULL").withColumn("span", F.concat_ws(":", "derived_start", "derived_end")).join(nodes, ["page_id", "target_id", "span", "ref"]).join(texts, ["page_id", "ref"])
+    shown = F.substring(F.col("text"), F.col("derived_start") + 1, F.col("derived_end") - F.col("derived_start"))
+    return met.groupBy("page_id", "target_id").agg(F.max(shown).alias("shown"), (F.count("*") == 1).alias("alone"))

@@ -49,3 +49,32 @@ def test_rows(spark, monkeypatch):
     assert all(got[key] == (None, contexts.AMBIGUOUS) for key in ((2, 1), (2, 2), (3, 0), (5, 0), (4, 0)))
     agreed = contexts.unique_places(spark.createDataFrame([(1, 0, 8, 11), (1, 1, 4, 7)], "k int, id int, start int, end int"), texts, "k", agreeing=True)
     assert {r["id"]: r["place"] for r in agreed.collect()} == {0: 8, 1: 4}
+
+
+def test_derived_documents(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.operators import derived
+
+    texts = spark.createDataFrame([(1, "r1", "text", "abcdef"), (1, "r2", "formula", "x+y"), (1, "r3", "text", "01 kept"), (2, "r1", "text", "none"), (3, "r1", "text", None)], "d int, ref string, label string, text string")
+    m = "<math><mi>q</mi></math>"
+    rows = [
+        (1, "a", "r1", 0, 2, "LONG", m), (1, "b", "r1", 2, 3, "", m), (1, "c", "r1", 5, 6, "Z", m), (1, "d", "r2", 0, 3, "y-x", m), (1, "e", "r2", 0, 1, "?", m), (1, "f", "r9", 0, 1, "?", m), (1, "g", "r1", 4, 9, "?", m),
+        (1, "h", "r3", 4, 5, "k1", m), (1, "i", "r3", 4, 6, "k2", m), (1, "j", "r3", 5, 5, "k3", m), (3, "k", "r1", 0, 0, "?", m),
+    ]
+    corrections = spark.createDataFrame(rows, "d int, target_id string, ref string, start int, end int, after string, mathml string")
+
+    def render(marked):
+        shown = marked.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("t"))
+        return shown.select("d", F.array_join(F.transform("t", lambda x: F.concat(F.lit("<p>"), x["text"], F.lit("</p>"))), "").alias("html"))
+
+    new, documents, told = derived.derived("d", texts, corrections, render)
+    assert {(r["d"], r["ref"]): r["text"] for r in new.collect()} == {(1, "r1"): "LONGdeZ", (1, "r2"): "y-x", (1, "r3"): "01 kept", (2, "r1"): "none", (3, "r1"): None}
+    assert {r["target_id"]: (r["derived_start"], r["derived_end"], r["code"]) for r in told.collect()} == {
+        "a": (0, 4, None), "b": (4, 4, None), "c": (6, 7, None), "d": (0, 3, None), "e": (None, None, derived.WHOLE), "f": (None, None, derived.UNKNOWN), "g": (None, None, derived.SPAN),
+        "h": (None, None, derived.OVERLAP), "i": (None, None, derived.OVERLAP), "j": (None, None, derived.OVERLAP), "k": (None, None, derived.SPAN),
+    }
+    html = {r["d"]: r["html"] for r in documents.collect()}
+    one = lambda ref, span, target: f'<math data-docling-ref="{ref}" data-docling-charspan="{span}" data-correction-id="{target}"><mi>q</mi></math>'
+    assert html[2] == "<p>none</p>"
+    assert html[1] == f"<p>{one('r1', '0:4', 'a')}{one('r1', '4:4', 'b')}de{one('r1', '6:7', 'c')}</p><p>{one('r2', '0:3', 'd')}</p><p>01 kept</p>"
