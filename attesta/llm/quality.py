@@ -76,7 +76,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_draw = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id"), F.lit(8)), "id")
     drawn = learnt.withColumn("n", F.row_number().over(by_draw)).where(F.col("n") <= SAMPLE_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(drawn), "id").select("y", "n", "text").toPandas().sort_values(["y", "n", "text"])
+    # One text of each drawn id, however many rows have it: no more than SAMPLE_ROWS of a label come to the driver.
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("y", "n").agg(F.min("text").alias("text")).toPandas().sort_values(["y", "n"])
     parts = {(y, half): [t.encode() for t in rows[(rows["y"] == y) & (rows["n"] % 2 == half)]["text"]] for y in (0, 1) for half in (0, 1)}
     good, bad = _dictionary(parts[1, 0]), _dictionary(parts[0, 0])
     held = {y: parts[y, 1] for y in (0, 1)}

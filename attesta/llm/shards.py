@@ -19,7 +19,7 @@ SEED = 20_240_117
 #: Rows and UTF-8 bytes of text of a bucket, on average, at most.
 BUCKET_ROWS = 20_000
 BUCKET_BYTES = 16_000_000
-#: Tasks of the scatter at most, and rows of one id and text that are dealt to several buckets: as many as this at most stand out.
+#: Tasks of the scatter at most, and groups of one id and text, dealt to several buckets, that may be broadcast.
 MOST_TASKS = 100_000
 HOT_KEYS = 50_000
 
@@ -48,12 +48,15 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     doc_id, crc = F.col(id_col).cast("string"), F.crc32(text.cast("binary"))
     total = docs.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // (shards * bucket_rows)), -(-total["b"] // (shards * BUCKET_BYTES)))
-    # At most HOT_KEYS groups can have as many rows as this, so they may be broadcast.
-    many = max(bucket_rows, total["n"] // HOT_KEYS)
-    hot = docs.groupBy(doc_id.alias("hot_id"), crc.alias("hot_crc")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many)
-    hot = hot.select("hot_id", "hot_crc", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
+    # Rows of one id and text that are more than a bucket holds, in number or bytes, are dealt to as many parts as that takes.
+    own = docs.groupBy(doc_id.alias("hot_id"), crc.alias("hot_crc")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b"))
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / bucket_rows), F.ceil(F.col("b") / BUCKET_BYTES))).cast("int")
+    hot = own.select("hot_id", "hot_crc", parts.alias("parts")).where("parts > 1")
+    # There can't be more such groups than whole buckets; where these are many, the groups are counted before they are broadcast.
+    if total["n"] // bucket_rows + total["b"] // BUCKET_BYTES <= HOT_KEYS or hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        hot = F.broadcast(hot)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).alias("doc_id"), doc_id.alias("own_id"), crc.alias("crc"), F.monotonically_increasing_id().alias("number"))
-    rows = rows.join(F.broadcast(hot), F.col("own_id").eqNullSafe(F.col("hot_id")) & (F.col("crc") == F.col("hot_crc")), "left")
+    rows = rows.join(hot, F.col("own_id").eqNullSafe(F.col("hot_id")) & (F.col("crc") == F.col("hot_crc")), "left")
     salt = F.coalesce(F.pmod("number", F.col("parts")), F.lit(0))
     placed = rows.select(
         shard_of(F.col("doc_id"), shards, seed).alias("shard"),

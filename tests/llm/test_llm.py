@@ -511,3 +511,21 @@ def test_top_k_of_huge_components(spark):
 
 def test_queries_are_registered():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
+
+
+def test_quality_takes_one_text_of_an_id(spark):
+    draw = random.Random(2)
+    made = [(i, " ".join(draw.choice(WORDS if i % 2 else WORDS[:4]) for _ in range(40))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in made], "doc_id long, quality int")
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    once = quality.train(docs, labels)
+    assert once[0] and quality.train(docs.unionAll(docs.where("doc_id = 7").crossJoin(spark.range(3000)).drop("id")), labels) == once
+
+
+def test_shards_of_groups_with_many_bytes(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 1000)
+    frame = spark.createDataFrame([(1, "x" * 100)] * 60 + [(i, "y") for i in range(2, 40)], "doc_id long, text string").repartition(3)
+    told = table(shards.assign_shards(frame, shards=2))
+    assert len(told) == 98
+    monkeypatch.setattr(shards, "HOT_KEYS", 0)  # groups aren't broadcast
+    assert table(shards.assign_shards(frame, shards=2)) == told
