@@ -121,3 +121,15 @@ def evaluated(regions: DataFrame, glyphs: DataFrame, names: dict[str, str]) -> D
     return rows.withColumn("verdict", verdict).select(
         *regions.columns, "semantic", "reasons", "rules_applied", "source_tokens", "canonical_tokens", "source_signature", "relation_reason", "candidate_tokens", "candidate_signature", "failure_stage", "candidate_status", "verdict", "conflicts", "signal_missing",
     )
+
+
+def relations_of(glyphs: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tokens, canonical, signature and reason of each region: how its glyphs stand to each other and to its rules.
+
+    ``glyphs``: keys, seq, u, name, size, oy, x0, y0, x1, y1; ``rules``: keys, x0, x1, y, width. Fractions by a rule, a radical over its radicand,
+    operators with bounds, and lines with scripts are told; what could be read in two ways has a reason instead.
+    """
+    columns = ["seq", "u", "name", "size", "oy", "x0", "y0", "x1", "y1"]
+    held = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__g"))
+    ruled = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "y", "width"))).alias("__r"))
+    return held.join(ruled, keys, "left").withColumn("__t", read_udf("__g", "__r")).select(*keys, "__t.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import job
+from ..operators import job, semantics
 from ..sources.testdata import table
 from .registry import query
 
@@ -78,3 +78,33 @@ def a01_k18_k23_semantic_report(spark, sf_dir):
     told = job.semantic_report(*_made(spark, sf_dir), NAMES)
     flat = [F.array_join(c, s).alias(c) for c, s in (("reasons", ","), ("source_signature", ""), ("rules_applied", ","))]
     return told.select("page", "id", "status", "semantic", *flat, "failure_stage", "candidate_status", "verdict")
+
+
+# Kinds by k % 9: 0 a fraction, 1 one whose rule is too short, 2 a radical, 3 one without its rule, 4 an operator with bounds, 5 two operators, 6 scripts on both sides, 7 two
+# baselines of one size, 8 letters over an equals sign. Letters follow from k.
+@query(r"""WITH o AS (SELECT o_orderkey AS k, substr('abcdefgh', o_orderkey % 8 + 1, 1) AS a, substr('abcdefgh', (o_orderkey + 3) % 8 + 1, 1) AS b, substr('abcdefgh', (o_orderkey + 5) % 8 + 1, 1) AS c FROM orders)
+SELECT k, CASE k % 9 WHEN 0 THEN c || '<fraction><numerator>' || a || '</numerator><denominator>' || b || '</denominator></fraction>' WHEN 2 THEN '√<radicand>' || a || '</radicand>' || b
+    WHEN 4 THEN '∑<sub>' || a || '</sub><sup>' || b || '</sup>' || c WHEN 6 THEN a || '<sub>' || b || '</sub><sup>' || c || '</sup>' WHEN 8 THEN a || '=<over>' || b || '</over>' || c END AS signature,
+  CASE k % 9 WHEN 1 THEN 'source_fraction_rule_too_short' WHEN 3 THEN 'source_radical_rule_missing' WHEN 5 THEN 'source_stacked_operator_ambiguous' WHEN 7 THEN 'source_baseline_ambiguous' END AS reason FROM o""")
+def k09_k14_source_relations(spark, sf_dir):
+    letter = lambda n: F.substring(F.lit("abcdefgh"), (n % 8 + 1).cast("int"), F.lit(1))
+    k = F.col("k")
+    a, b, c = letter(k), letter(k + 3), letter(k + 5)
+
+    def glyph(seq, u, x, oy=10.0, size=10.0, name=""):
+        return F.struct(F.lit(seq).alias("seq"), (u if not isinstance(u, str) else F.lit(u)).alias("u"), F.lit(name).alias("name"), *[F.lit(float(v)).alias(n) for n, v in (("size", size), ("oy", oy), ("x0", x), ("y0", oy - 0.8 * size), ("x1", x + 0.5 * size), ("y1", oy + 0.2 * size))])
+
+    def rule(x0, x1, y):
+        return F.struct(*[F.lit(float(v)).alias(n) for n, v in (("x0", x0), ("x1", x1), ("y", y), ("width", 0.5))])
+
+    fraction = [glyph(0, c, 0, 16), glyph(1, a, 20, 8), glyph(2, b, 20, 24)]
+    kinds = [
+        (fraction, [rule(19.5, 25.5, 11)]), (fraction, [rule(22, 25.5, 11)]), ([glyph(0, "√", 0), glyph(1, a, 6), glyph(2, b, 20)], [rule(5, 11.5, 0)]), ([glyph(0, "√", 0), glyph(1, a, 6)], []),
+        ([glyph(0, "∑", 0, name="summationdisplay"), glyph(1, a, 0, 17, 6), glyph(2, b, 0, -1, 6), glyph(3, c, 10)], []), ([glyph(0, "∑", 0, name="summationdisplay"), glyph(1, "∏", 10, name="productdisplay"), glyph(2, a, 20)], []),
+        ([glyph(0, a, 0), glyph(1, b, 6, 13, 6), glyph(2, c, 6, 5, 6)], []), ([glyph(0, a, 0), glyph(1, b, 10, 40)], []), ([glyph(0, a, 0), glyph(1, "=", 10), glyph(2, b, 11, 4, 5), glyph(3, c, 20)], []),
+    ]
+    one = lambda part, empty: F.coalesce(*[F.when(k % 9 == n, F.array(*kind[part]) if kind[part] else empty) for n, kind in enumerate(kinds)])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    glyphs = o.select("k", F.inline(one(0, None)))
+    rules = o.select("k", F.inline(one(1, F.array().cast("array<struct<x0:double,x1:double,y:double,width:double>>"))))
+    return semantics.relations_of(glyphs, rules, ["k"]).select("k", F.array_join("signature", "").alias("signature"), "reason")
