@@ -2,8 +2,9 @@
 
 All runs of three words of every text are joined by hash, and then by the words themselves, with the places of
 the same runs in templates. A hit votes for the diagonal place - place in the template. Votes are counted by
-diagonal, diagonals a few words apart are merged (words put in or left out), and a span counts if enough
-of its template's runs are found in it; the base phrases must be found whole on one diagonal.
+diagonal, each diagonal is merged with those at most ``APART`` words behind it (words put in or left out; a band never grows beyond that, so
+words of a span stand in the template's order up to as many words), and a band counts if enough of its template's runs
+are found in it at as many places of the text; the base phrases must be found whole on one diagonal.
 """
 
 from __future__ import annotations
@@ -13,16 +14,37 @@ from pyspark.sql import functions as F
 
 # Phrases whose places are reported, with their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-# Opening words of well-known licenses and notices, with their labels.
+# Words of well-known licenses and notices, with their labels; opening words first, then whole notices and texts.
 TEMPLATES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
 ]
 K = 3
-#: Words that diagonals may lie apart to be merged, and the share of a template's runs that a span must hold.
+#: Words that the diagonals of a span may lie apart in all, and the share of a template's runs that it must hold.
 APART = 3
 COVERED = 0.7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,11 +83,13 @@ def scan(docs: DataFrame, base: list = BASE, templates: list = TEMPLATES, id_col
     first_template = F.broadcast(_templates(docs.sparkSession, base, templates).groupBy("hash").agg(F.min(F.struct("template", "at")).alias("lead")).select(F.col("hash").alias("lead_hash"), "lead"))
     hits = hits.join(first_template, F.col("hash") == F.col("lead_hash"), "left").withColumn("first", (F.struct("template", "at") == F.col("lead")).cast("int"))
     votes = hits.groupBy(*own, (F.col("pos") - F.col("at")).alias("diagonal"), "runs", "label", "base").agg(F.collect_set("at").alias("at"), F.max("n").alias("n"), F.sum(one).alias("copies"))
-    along = Window.partitionBy(*own).orderBy("diagonal")
-    apart = F.when(F.col("base") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > APART), 1).otherwise(0)
-    spans = votes.withColumn("new", apart).withColumn("span", F.sum("new").over(along))
-    spans = spans.groupBy(*own, "span", "runs", "label", "base").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.max("n").alias("n"), F.sum("copies").alias("copies"))
-    share = F.col("found") / F.col("runs")
+    # A band begins at each diagonal, so which one comes first doesn't matter. A base phrase takes its own diagonal only.
+    band = F.collect_list(F.struct("diagonal", "at")).over(Window.partitionBy(*own).orderBy("diagonal").rangeBetween(0, APART))
+    spans = votes.withColumn("band", F.when(F.col("base"), F.array(F.struct("diagonal", "at"))).otherwise(band))
+    runs_found = F.size(F.array_distinct(F.flatten(F.col("band.at"))))
+    places_found = F.size(F.array_distinct(F.flatten(F.transform("band", lambda d: F.transform(d["at"], lambda at: at + d["diagonal"])))))
+    spans = spans.select(*own, "label", "base", "n", "copies", F.col("diagonal").alias("start"), (F.least(runs_found, places_found) / F.col("runs")).alias("share"))
+    share = F.col("share")
     counts = F.when(F.col("base"), share == 1).otherwise(share >= COVERED)
     place = F.when(F.col("base") & (share == 1), F.col("start"))
     listed = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")

@@ -81,9 +81,9 @@ w AS (
 ), g AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM w),
 h AS (SELECT rid, p - 1 - place AS diagonal, template, place, runs, label, base FROM g JOIN t ON ws[p] = t0 AND ws[p + 1] = t1 AND ws[p + 2] = t2),
 v AS (SELECT rid, template, diagonal, runs, label, base, list(DISTINCT place) AS places FROM h GROUP BY ALL),
-a AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER d IS NULL OR diagonal - lag(diagonal) OVER d > {licenses.APART} THEN 1 ELSE 0 END AS fresh FROM v WINDOW d AS (PARTITION BY rid, template ORDER BY diagonal)),
-n AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM a),
-s AS (SELECT rid, template, runs, label, base, min(diagonal) AS start, len(list_distinct(flatten(list(places)))) / CAST(runs AS DOUBLE) AS share FROM n GROUP BY rid, template, runs, label, base, span),
+m AS (SELECT a.rid, a.template, a.diagonal, unnest(b.places) AS place, b.diagonal AS there FROM v a JOIN v b ON a.rid = b.rid AND a.template = b.template AND b.diagonal - a.diagonal BETWEEN 0 AND CASE WHEN a.base THEN 0 ELSE {licenses.APART} END),
+f AS (SELECT rid, template, diagonal, least(count(DISTINCT place), count(DISTINCT place + there)) AS found FROM m GROUP BY ALL),
+s AS (SELECT rid, template, runs, label, base, diagonal AS start, found / CAST(runs AS DOUBLE) AS share FROM v JOIN f USING (rid, template, diagonal)),
 c AS (SELECT *, CASE WHEN base THEN share = 1 ELSE share >= {licenses.COVERED} END AS counts FROM s),
 o AS (
   SELECT rid, count(*) FILTER (base AND counts) AS n_base, min(start) FILTER (base AND counts) AS first_word, max(start) FILTER (base AND counts) AS last_word,

@@ -118,6 +118,28 @@ def test_licenses(spark, odd, empty, docs):
     assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"]) == (2, 0, 4)
 
 
+def test_license_spans_dont_drift(spark):
+    runs = lambda t: [t.split()[i : i + 3] for i in range(len(t.split()) - 2)]
+    bsd, whole = licenses.TEMPLATES[3][0], licenses.TEMPLATES[-1][0]
+    # All runs of a template laid end to end: each hits, and each diagonal is two words from the last.
+    scattered = " ".join(w for r in runs(bsd) for w in r)
+    late = bsd.replace("source", "source (or x y) ")
+    worn = whole.replace("must retain", "should keep").replace("must reproduce", "should print")
+    rows = [(1, scattered), (2, late), (3, "A. " + worn.upper() + "."), (4, bsd + " " + bsd), (5, " ".join(reversed(whole.split())))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("", 0.0) and got[5] == ("", 0.0) and got[4] == ("bsd", 1.0)
+    assert got[2][0] == "bsd" and licenses.COVERED <= got[2][1] < 1
+    assert got[3] == ("bsd", 1.0)  # its opening words are whole, the rest is near enough
+    only = {r["doc_id"]: r["score"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=licenses.TEMPLATES[-1:]).collect()}
+    assert licenses.COVERED <= only[3] < 1
+
+
+def test_license_templates_find_themselves(spark):
+    rows = [(i, "x " + t.title() + " y") for i, (t, _) in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i, (_, label) in enumerate(licenses.TEMPLATES))
+
+
 # 3. Near duplicates
 
 
