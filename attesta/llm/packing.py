@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: documents that share rare tokens meet in a sequence.
 
-Documents are routed by the least hash of their words, which two of them share as likely as their sets of words agree,
-and taken in shards of bounded size in the order of that hash, so what is lexically close meets in a shard. Each shard
-has an inverted index of the tokens that its documents share, weighted by BM25; all that a seed shares counts. Each seed fills its window with the
+Documents are routed by the least hash of their runs of three words, which two of them share as likely as their sets of runs agree
+(single words won't do: most texts of a language hold its common ones, so most would share a route), and taken in shards of
+bounded size in the order of that hash and, where many share it, of the least by a second hash; so what is lexically close meets in a shard. Each shard
+has an inverted index: postings of the tokens that its documents share, weighted by BM25; a seed is scored from the postings of all its terms. Each seed fills its window with the
 best unused neighbours; where the last one is too long, its rest becomes the next seed. What a document has in whole
 windows stands alone, but is indexed and searched by. What a shard leaves is the first seed of the next; the rest at a partition's
 end goes to sequences whose lengths are powers of two, so that nothing is padded.
@@ -31,8 +32,6 @@ END = 1
 #: Bounds of a shard: documents, and characters (a larger document stands alone).
 SHARD_DOCS = 512
 SHARD_CHARS = 1_000_000
-#: Terms whose postings are scored at once.
-TERM_BLOCK = 2048
 K1, B = 1.2, 0.75
 
 
@@ -65,35 +64,43 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
 
 
 class Index:
-    """An inverted index of some token arrays: the BM25 scores of each one's terms in each other."""
+    """An inverted index of some token arrays: postings by term, with the BM25 weight of the term in each array."""
 
     def __init__(self, items: list[np.ndarray]) -> None:
-        n = len(items)
-        self.scores = np.zeros((n, n), np.float32)
-        if n < 2:
-            return
-        sizes = np.array([len(x) for x in items], np.float64)
+        self.size = n = len(items)
         owner = np.repeat(np.arange(n), [len(x) for x in items])
-        pairs, tf = np.unique(np.concatenate(items).astype(np.int64) * n + owner, return_counts=True)
-        docs, (terms, number, df) = pairs % n, np.unique(pairs // n, return_inverse=True, return_counts=True)
+        # Pairs of term and array come sorted by term, so each term's postings are a range.
+        pairs, tf = np.unique(np.concatenate([np.empty(0, np.int64), *items]).astype(np.int64) * max(n, 1) + owner, return_counts=True)
+        docs, (_, first, number, df) = pairs % max(n, 1), np.unique(pairs // max(n, 1), return_index=True, return_inverse=True, return_counts=True)
+        sizes = np.array([len(x) for x in items], np.float64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weights = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / sizes.mean()))
-        shared = df > 1  # a term of one document alone finds nothing
-        rank = np.cumsum(shared) - 1
-        live = shared[number]
-        docs, number, weights = docs[live], rank[number[live]], weights[live]
-        bounds = np.searchsorted(number, np.arange(0, int(shared.sum()) + TERM_BLOCK, TERM_BLOCK))
-        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            has, weighs = np.zeros((n, TERM_BLOCK), np.float32), np.zeros((n, TERM_BLOCK), np.float32)
-            has[docs[a:b], number[a:b] - k * TERM_BLOCK] = 1
-            weighs[docs[a:b], number[a:b] - k * TERM_BLOCK] = weights[a:b]
-            self.scores += has @ weighs.T
-        np.fill_diagonal(self.scores, 0)
+        self.docs, self.first, self.df = docs, first, df
+        self.weights = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / sizes.mean())) if len(docs) else np.empty(0)
+        # Terms of each array; a term of one array alone finds nothing.
+        shared = np.flatnonzero(df[number] > 1)
+        shared = shared[np.argsort(docs[shared], kind="stable")]
+        self.terms, self.bounds = number[shared], np.searchsorted(docs[shared], np.arange(n + 1))
+
+    def score(self, i: int) -> np.ndarray:
+        """What the terms of item i, each once, score in each item; 0 in itself."""
+        terms = self.terms[self.bounds[i] : self.bounds[i + 1]]
+        lengths = self.df[terms]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + lengths, lengths)
+        out = np.bincount(self.docs[at], self.weights[at], self.size)
+        out[i] = 0
+        return out
+
+    @property
+    def scores(self) -> np.ndarray:
+        """All scores as a matrix, to look at small indexes."""
+        return np.stack([self.score(i) for i in range(self.size)])
 
     def neighbours(self, i: int) -> np.ndarray:
         """The other items that share a term with item i, by falling score, ties by number."""
-        found = np.flatnonzero(self.scores[i])
-        return found[np.argsort(-self.scores[i][found], kind="stable")]
+        scores = self.score(i)
+        found = np.flatnonzero(scores)
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 #: A piece: the number of its row, where it starts there, and its ids.
@@ -179,6 +186,15 @@ class Packer:
             yield out
 
 
+def routed(rows: DataFrame) -> DataFrame:
+    """``rows`` with route and second: the least hashes of a text's runs of three words (of fewer, all of them), null for a null text."""
+    words = rows.withColumn("__w", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    n = F.size("__w")
+    runs = F.zip_with(F.zip_with("__w", F.slice("__w", 2, n), lambda a, b: F.xxhash64(a, b)), F.slice("__w", 3, n), lambda ab, c: F.xxhash64(ab, c))
+    runs = words.withColumn("__r", F.slice(runs, F.lit(1), F.greatest(n - 2, F.lit(1))))
+    return runs.withColumns({"route": F.array_min("__r"), "second": F.array_min(F.transform("__r", lambda r: F.xxhash64(r, F.lit(1))))}).drop("__w", "__r")
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
@@ -225,6 +241,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # A route may hold very many rows: adaptive execution splits the partitions of a rebalance.
-    route = F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("route", route).hint("rebalance", "route").sortWithinPartitions("route", "doc_id").select("doc_id", "text")
+    rows = routed(rows).hint("rebalance", "route").sortWithinPartitions("route", "second", "doc_id").select("doc_id", "text")
     return rows.mapInArrow(run, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

@@ -399,6 +399,33 @@ def test_neighbours_share_terms():
     assert {p[0] for p in windows[0]} == {0, 2, 1} or {p[0] for p in windows[0]} == {0, 2}
 
 
+def test_routes_bring_families_together(spark):
+    r = np.random.default_rng(4)
+    common = "the a of and to in is are was for".split()
+    own = lambda: [common[x % 10] if x % 7 == 0 else f"w{x}" for x in r.integers(0, 4000, 60)]
+    texts = []
+    for _ in range(60):
+        # A family: one text with two words changed in each, so two of them share about two thirds of their runs; all texts hold common words.
+        base = own()
+        for _ in range(5):
+            member = list(base)
+            for at in r.integers(0, 60, 2).tolist():
+                member[at] = "changed"
+            texts.append(member)
+    texts += [own() for _ in range(700)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(-1, None), (-2, ""), (-3, "one"), (-4, "one two"), (-5, "one two three")]
+    got = {x["doc_id"]: (x["route"], x["second"]) for x in packing.routed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == (None, None) and len({got[-k] for k in range(2, 6)}) == 4
+    sizes = {}
+    for route, _ in got.values():
+        sizes[route] = sizes.get(route, 0) + 1
+    assert max(sizes.values()) <= 5  # no route beyond a family
+    order = {doc: at for at, doc in enumerate(sorted((d for d in got if d >= 0), key=lambda d: got[d]))}
+    near = [min(abs(order[d] - order[e]) for e in range(f, f + 5) if e != d) for f in range(0, 300, 5) for d in range(f, f + 5)]
+    assert sum(x <= 4 for x in near) / len(near) > 0.75  # by chance: about 0.03
+
+
 # 6. Languages
 
 
