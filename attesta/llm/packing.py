@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: documents that share rare tokens meet in a sequence.
 
-Documents are routed by the least hash of their runs of three words, which two of them share as likely as their sets of runs agree
+Documents are routed by the least hash of their runs of five words, which two of them share as likely as their sets of runs agree
 (single words won't do: most texts of a language hold its common ones, so most would share a route), and taken in shards of
-bounded size in the order of that hash and, where many share it, of the least by a second hash; so what is lexically close meets in a shard. Each shard
+bounded size in the order of that hash and, where many share it, of the greatest one; so what is lexically close meets in a shard. Each shard
 has an inverted index: postings of the tokens that its documents share, weighted by BM25; a seed is scored from the postings of all its terms. Each seed fills its window with the
 best unused neighbours; where the last one is too long, its rest becomes the next seed. What a document has in whole
 windows stands alone, but is indexed and searched by. What a shard leaves is the first seed of the next; the rest at a partition's
@@ -32,6 +32,8 @@ END = 1
 #: Bounds of a shard: documents, and characters (a larger document stands alone).
 SHARD_DOCS = 512
 SHARD_CHARS = 1_000_000
+#: A term in more than one of so many arrays has a row of weights for its postings.
+DENSE = 16
 K1, B = 1.2, 0.75
 
 
@@ -64,7 +66,10 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
 
 
 class Index:
-    """An inverted index of some token arrays: postings by term, with the BM25 weight of the term in each array."""
+    """An inverted index of some token arrays: postings by term, with the BM25 weight of the term in each array.
+
+    Postings of a term that more than one in ``DENSE`` arrays hold are a row of weights, others a list of arrays and weights.
+    """
 
     def __init__(self, items: list[np.ndarray]) -> None:
         self.size = n = len(items)
@@ -77,9 +82,18 @@ class Index:
         self.docs, self.first, self.df = docs, first, df
         self.weights = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / sizes.mean())) if len(docs) else np.empty(0)
         # Terms of each array; a term of one array alone finds nothing.
-        shared = np.flatnonzero(df[number] > 1)
-        shared = shared[np.argsort(docs[shared], kind="stable")]
-        self.terms, self.bounds = number[shared], np.searchsorted(docs[shared], np.arange(n + 1))
+        dense = df * DENSE > n
+        row = np.cumsum(dense) - 1
+        filled = dense[number]
+        self.rows = np.zeros((int(dense.sum()), n), np.float32)
+        self.rows[row[number[filled]], docs[filled]] = self.weights[filled]
+        self.dense_of, self.dense_bounds = self._by_array(row[number], docs, filled & (df[number] > 1))
+        self.terms, self.bounds = self._by_array(number, docs, ~filled & (df[number] > 1))
+
+    def _by_array(self, terms: np.ndarray, docs: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(kept)
+        at = at[np.argsort(docs[at], kind="stable")]
+        return terms[at], np.searchsorted(docs[at], np.arange(self.size + 1))
 
     def score(self, i: int) -> np.ndarray:
         """What the terms of item i, each once, score in each item; 0 in itself."""
@@ -87,7 +101,10 @@ class Index:
         lengths = self.df[terms]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + lengths, lengths)
-        out = np.bincount(self.docs[at], self.weights[at], self.size)
+        out = np.bincount(self.docs[at], self.weights[at], self.size).astype(np.float64)
+        held = np.zeros(len(self.rows), np.float32)
+        held[self.dense_of[self.dense_bounds[i] : self.dense_bounds[i + 1]]] = 1
+        out += held @ self.rows
         out[i] = 0
         return out
 
@@ -187,12 +204,11 @@ class Packer:
 
 
 def routed(rows: DataFrame) -> DataFrame:
-    """``rows`` with route and second: the least hashes of a text's runs of three words (of fewer, all of them), null for a null text."""
-    words = rows.withColumn("__w", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
-    n = F.size("__w")
-    runs = F.zip_with(F.zip_with("__w", F.slice("__w", 2, n), lambda a, b: F.xxhash64(a, b)), F.slice("__w", 3, n), lambda ab, c: F.xxhash64(ab, c))
-    runs = words.withColumn("__r", F.slice(runs, F.lit(1), F.greatest(n - 2, F.lit(1))))
-    return runs.withColumns({"route": F.array_min("__r"), "second": F.array_min(F.transform("__r", lambda r: F.xxhash64(r, F.lit(1))))}).drop("__w", "__r")
+    """``rows`` with route and second: the least and the greatest hash of a text's runs of five words (of fewer, all of them), null for a null text."""
+    words = rows.withColumn("__w", F.split("text", " "))
+    starts = F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 4, F.lit(1)))
+    runs = words.withColumn("__r", F.transform(starts, lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2), F.get("__w", i + 3), F.get("__w", i + 4))))
+    return runs.withColumns({"route": F.array_min("__r"), "second": F.array_max("__r")}).drop("__w", "__r")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -405,7 +405,7 @@ def test_routes_bring_families_together(spark):
     own = lambda: [common[x % 10] if x % 7 == 0 else f"w{x}" for x in r.integers(0, 4000, 60)]
     texts = []
     for _ in range(60):
-        # A family: one text with two words changed in each, so two of them share about two thirds of their runs; all texts hold common words.
+        # A family: one text with two words changed in each, so two of them share more than half of their runs; all texts hold common words.
         base = own()
         for _ in range(5):
             member = list(base)
