@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: documents that share rare tokens meet in a sequence.
 
 Documents are routed by the least hash of their runs of five words, which two of them share as likely as their sets of runs agree
-(single words won't do: most texts of a language hold its common ones, so most would share a route), and taken in shards of
-bounded size in the order of that hash and, where many share it, of the greatest one; so what is lexically close meets in a shard. Each shard
+(single words won't do: most texts of a language hold its common ones, so most would share a route). In a partition they are ordered
+by the least hash of their words, which brings those of one language together, then by that of their runs and, where many
+share it, by the greatest one, and taken in shards of bounded size; so what is lexically close meets in a shard. Each shard
 has an inverted index: postings of the tokens that its documents share, weighted by BM25; a seed is scored from the postings of all its terms. Each seed fills its window with the
 best unused neighbours; where the last one is too long, its rest becomes the next seed. What a document has in whole
 windows stands alone, but is indexed and searched by. What a shard leaves is the first seed of the next; the rest at a partition's
@@ -204,11 +205,15 @@ class Packer:
 
 
 def routed(rows: DataFrame) -> DataFrame:
-    """``rows`` with route and second: the least and the greatest hash of a text's runs of five words (of fewer, all of them), null for a null text."""
-    words = rows.withColumn("__w", F.split("text", " "))
+    """``rows`` with the hashes of a text that say where it goes, null for a null text.
+
+    route and second: the least and the greatest hash of its runs of five words (of fewer, all of them); common: the least
+    hash of its words, which is mostly that of a common word of its language.
+    """
+    words = rows.withColumn("__w", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
     starts = F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 4, F.lit(1)))
-    runs = words.withColumn("__r", F.transform(starts, lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2), F.get("__w", i + 3), F.get("__w", i + 4))))
-    return runs.withColumns({"route": F.array_min("__r"), "second": F.array_max("__r")}).drop("__w", "__r")
+    runs = words.withColumn("__r", F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get("__w", i + k) for k in range(1, 5)])))
+    return runs.withColumns({"route": F.array_min("__r"), "second": F.array_max("__r"), "common": F.array_min("__w")}).drop("__w", "__r")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,5 +262,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # A route may hold very many rows: adaptive execution splits the partitions of a rebalance.
-    rows = routed(rows).hint("rebalance", "route").sortWithinPartitions("route", "second", "doc_id").select("doc_id", "text")
+    rows = routed(rows).hint("rebalance", "route").sortWithinPartitions("common", "route", "second", "doc_id").select("doc_id", "text")
     return rows.mapInArrow(run, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

@@ -415,13 +415,13 @@ def test_routes_bring_families_together(spark):
     texts += [own() for _ in range(700)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rows += [(-1, None), (-2, ""), (-3, "one"), (-4, "one two"), (-5, "one two three")]
-    got = {x["doc_id"]: (x["route"], x["second"]) for x in packing.routed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[-1] == (None, None) and len({got[-k] for k in range(2, 6)}) == 4
+    got = {x["doc_id"]: (x["route"], x["common"], x["second"]) for x in packing.routed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == (None, None, None) and len({got[-k] for k in range(2, 6)}) == 4
     sizes = {}
-    for route, _ in got.values():
+    for route, _, _ in got.values():
         sizes[route] = sizes.get(route, 0) + 1
     assert max(sizes.values()) <= 5  # no route beyond a family
-    order = {doc: at for at, doc in enumerate(sorted((d for d in got if d >= 0), key=lambda d: got[d]))}
+    order = {doc: at for at, doc in enumerate(sorted((d for d in got if d >= 0), key=lambda d: (got[d][1], got[d][0], got[d][2])))}
     near = [min(abs(order[d] - order[e]) for e in range(f, f + 5) if e != d) for f in range(0, 300, 5) for d in range(f, f + 5)]
     assert sum(x <= 4 for x in near) / len(near) > 0.75  # by chance: about 0.03
 
