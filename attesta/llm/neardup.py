@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import sketch
-from .common import drop, fresh, materialise, slices, texts_of
-from .components import components
+from .common import BROADCAST_ROWS, drop, fresh, gathered, if_few, materialise, slices, texts_of
+from .components import components, merged
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -38,10 +38,10 @@ TASK_SHINGLES = 100_000
 ROUNDS = 4
 #: One of so many buckets is looked at in each of these rounds: a node stands in several.
 SOME = 4
+#: Texts to compare that are few: then few tasks get them.
+FEW_TEXTS = 50_000
 #: Bytes of text whose words are compared at once.
 HELD_BYTES = 500_000
-#: Rows that are broadcast at most, of 16 bytes in an anti-join and of some 60 with the pairs.
-BROADCAST_ROWS = 500_000
 _WORDS = sketch.BINS // 64
 
 
@@ -105,14 +105,14 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 def verify(pairs: DataFrame, base: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (written; columns a, b: structs of node, doc_id, number, n) that are links, as nodes a and b; a pair may come repeatedly."""
     # The partners of a node go to its task, or to several where they are many; its own text goes to each of these.
-    parts = materialise(pairs.groupBy(F.col("a.node").alias("hub")).agg(F.ceil(F.sum("b.n") / TASK_SHINGLES).cast("int").alias("parts")))
-    dealt = pairs.join(parts, F.col("a.node") == F.col("hub")).withColumn("part", F.pmod(F.xxhash64("b.node"), F.col("parts")).cast("int"))
+    close = gathered(pairs)
+    parts = materialise(close(pairs.groupBy(F.col("a.node").alias("hub")).agg(F.ceil(F.sum("b.n") / TASK_SHINGLES).cast("int").alias("parts"))))
+    dealt = pairs.join(if_few(parts)(parts), F.col("a.node") == F.col("hub")).withColumn("part", F.pmod(F.xxhash64("b.node"), F.col("parts")).cast("int"))
     members = dealt.select("hub", "part", F.lit(True).alias("member"), F.col("b.node").alias("node"), F.col("b.doc_id").alias("__id"), F.col("b.number").alias("__number"))
     hubs = dealt.select("hub", "part", F.lit(False).alias("member"), F.col("hub").alias("node"), F.col("a.doc_id").alias("__id"), F.col("a.number").alias("__number")).distinct()
-    wanted = materialise(members.union(hubs))
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = base.join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("__id")) & (F.col("number") == F.col("__number")))
-    rows = rows.select("hub", "part", "member", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+    wanted = materialise(close(members.union(hubs)))
+    rows = base.join(if_few(wanted)(wanted), (F.col("doc_id") == F.col("__id")) & (F.col("number") == F.col("__number")))
+    rows = gathered(wanted, FEW_TEXTS)(rows.select("hub", "part", "member", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -150,11 +150,14 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int, round_: int) -> Dat
     In round 0 all of them; in others, for each node b the one whose marks agree best in some of the buckets, which differ by round.
     """
     best = round_ > 0
-    sizes = materialise(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").where(F.lit(not best) | (F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(SOME)) == 0)).select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks")))
+    looked_at = told.where(F.lit(not best) | (F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(SOME)) == 0))
+    sizes = looked_at.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    sizes = materialise(gathered(told)(sizes.select("key", F.ceil(F.col("m") / CHUNK_NODES).cast("int").alias("chunks"))))
     own = ["n", "marks"] if best else ["n", "marks", "bands"]
-    open_members = told.join(sizes, "key").join(nodes.select("hi", *own), "hi")
-    dealt = open_members.withColumn("i", F.pmod(F.xxhash64("hi", F.lit(3)), F.col("chunks")).cast("int"))
-    chunks = dealt.groupBy("key", "chunks", "i").agg(F.collect_list(F.struct("hi", "label", *own)).alias("rows"))
+    members = materialise(told.join(if_few(sizes)(sizes), "key"))
+    close = gathered(members)
+    dealt = if_few(members)(members).join(nodes.select("hi", *own), "hi").withColumn("i", F.pmod(F.xxhash64("hi", F.lit(3)), F.col("chunks")).cast("int"))
+    chunks = close(dealt.groupBy("key", "chunks", "i").agg(F.collect_list(F.struct("hi", "label", *own)).alias("rows")))
     met = chunks.select("key", "rows", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
     met = met.groupBy("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).agg(F.collect_list(F.struct("i", "rows")).alias("sides"))
     most = most_apart(percent)
@@ -194,8 +197,8 @@ def _across(told: DataFrame, nodes: DataFrame, percent: int, round_: int) -> Dat
         pairs = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select("near.a", "b")
     else:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    out = materialise(pairs)
-    drop(sizes)
+    out = materialise(close(pairs) if best else pairs)
+    drop(sizes, members)
     return out
 
 
@@ -206,44 +209,50 @@ def _found(base: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFr
     # The first row of each node stands for it.
     first = F.min(F.struct("doc_id", "number", "n", "hi", "marks", "bands"))
     nodes = materialise(live.groupBy("node").agg(first.alias("r")).select("node", "r.*"))
-    banded = live.select("hi", F.explode("bands").alias("key"))
+    banded = nodes.select("hi", F.explode(F.array_distinct("bands")).alias("key"))
     heads = materialise(banded.groupBy("key").agg(F.min("hi").alias("head"), F.max("hi").alias("last")).where("head < last").select("key", "head"))
-    shared = materialise(banded.join(heads, "key").distinct())
+    shared = materialise(banded.join(if_few(heads)(heads), "key"))
     drop(heads)
-    one = F.struct("node", "doc_id", "number", "n", "marks")
-    ends = [nodes.select(F.col("hi").alias(f"__{side}"), one.alias(f"e{side}")) for side in "ab"]
-
-    def pairs_of(near: DataFrame) -> DataFrame:
-        """Of pairs of 8 bytes, those whose sizes and marks allow a link, with what ``verify`` needs; an end may stand for several nodes."""
-        met = near.join(ends[1], F.col("b") == F.col("__b")).join(ends[0], F.col("a") == F.col("__a")).where(_plausible("ea", "eb", percent))
-        return met.select(*[F.struct(*[F.col(f"e{side}.{c}") for c in ("node", "doc_id", "number", "n")]).alias(side) for side in "ab"])
+    told_of = ("node", "doc_id", "number", "n")
+
+    def pairs_of(near: DataFrame, marks: bool) -> DataFrame:
+        """Pairs of 8 bytes with what ``verify`` needs, and with ``marks`` only those whose sizes and marks allow a link; an end may stand for several nodes."""
+        ends = [nodes.select(F.col("hi").alias(f"__{side}"), F.struct(*told_of, *["marks"] * marks).alias(f"e{side}")) for side in "ab"]
+        some = if_few(near)
+        met = some(near).join(ends[1], F.col("b") == F.col("__b"))
+        # Rows with marks are too wide for a broadcast.
+        met = (met if marks else some(met)).join(ends[0], F.col("a") == F.col("__a"))
+        met = met.where(_plausible("ea", "eb", percent)) if marks else met
+        return met.select(*[F.struct(*[F.col(f"e{side}.{c}") for c in told_of]).alias(side) for side in "ab"])
 
     # Of its buckets' heads, the one that a node shares most bands with is likely the most similar: only that one is tried.
     star = shared.where("hi <> head").groupBy("hi", "head").agg(F.count(F.lit(1)).alias("n"))
-    star = star.groupBy("hi").agg(F.max(F.struct("n", "head")).alias("most")).select(F.col("most.head").alias("a"), F.col("hi").alias("b"))
-    pairs = materialise(pairs_of(star))
+    star = materialise(star.groupBy("hi").agg(F.max(F.struct("n", "head")).alias("most")).select(F.col("most.head").alias("a"), F.col("hi").alias("b")))
+    pairs = materialise(pairs_of(star, True))
     links = verify(pairs, base, percent)
-    drop(pairs)
     found = components(links)
+    drop(star, pairs, links)
     # Families whose members are linked in part contract in a few rounds, before all pairs that are left are tried.
     left = ROUNDS
     while left >= 0:
-        label = nodes.join(found, "node", "left").select("hi", F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("hi")).alias("label"))
-        told = materialise(shared.select("key", "hi").join(label, "hi"))
+        # Nodes without a link are components by themselves.
+        some = if_few(found)
+        label = some(nodes.join(some(found), "node").select("hi", F.xxhash64("label").alias("label")))
+        told = materialise(shared.select("key", "hi").join(label, "hi", "left").select("key", "hi", F.coalesce("label", "hi").alias("label")))
         met = _across(told, nodes, percent, left)
-        pairs = materialise(pairs_of(met))
+        # Sizes and marks were looked at there.
+        pairs = materialise(pairs_of(met, False))
         more = verify(pairs, base, percent)
         drop(told, met, pairs)
         if more.isEmpty():
             drop(more)
             left = 0 if left > 0 else -1
             continue
-        both = materialise(links.union(more))
-        drop(links, more, found)
-        links = both
-        found = components(links)
+        both = merged(found, more)
+        drop(more, found)
+        found = both
         left -= 1
-    drop(links, shared)
+    drop(shared)
     least = nodes.join(found, "node").groupBy("label").agg(F.min(F.struct("doc_id", "number")).alias("first"))
     own = found.join(least, "label").select("node", "first")
     # Written out, so that the join with all rows stands alone and Spark can split the task of a node with very many rows.

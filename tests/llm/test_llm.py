@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from attesta.llm import bpe, components, langid, licenses, media, neardup, packing, quality, queries, repeats, shards, sketch, suffixes, topk
+from attesta.llm import bpe, common, components, langid, licenses, media, neardup, packing, quality, queries, repeats, shards, sketch, suffixes, topk
 
 SF = "/root/testdata/sf0.001"
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -241,6 +241,32 @@ def test_components(spark):
     assert got["c"] == "a" and got["y"] == "x" and got["n040"] == "n000" and got["z"] == "z" and "q" not in got
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components_grow_by_new_edges_alone(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)  # 0: all is shuffled
+    frame = lambda edges: common.materialise(spark.createDataFrame(edges, "a string, b string"))
+    draw = random.Random(4)
+    old, new = ([(f"n{draw.randrange(60):02}", f"n{draw.randrange(60):02}") for _ in range(25)] for _ in range(2))
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(0, 60, 2)], [(f"c{i:02}", f"c{i + 1:02}") for i in range(1, 60, 2)]
+    got = components.merged(components.components(frame(old + chain[0])), frame(new + chain[1]))
+    want = components.components(frame(old + new + chain[0] + chain[1]))
+    kept = lambda df: sorted((n, m) for n, m in df.collect() if n != m)  # noqa: E731  a loop alone is a component of one
+    assert kept(got) == kept(want) and dict(got.collect())["c60"] == "c00"
+
+
+def test_few_rows_stay_in_few_partitions(spark):
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame([(f"n{i}", f"m{i}") for i in range(300)], "a string, b string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found.count() == 600 and len(found.inputFiles()) <= common.FEW_PARTS
+
+
 # 4. Repeats
 
 
