@@ -14,7 +14,7 @@ import base64
 import functools
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -219,69 +219,121 @@ def _tokens(path: str) -> list[bytes]:
     return out
 
 
+class Grown:
+    """An array that grows at its end; its room doubles, so what it holds is seldom copied."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            held = self.held
+            self.room = np.empty(max(2 * len(self.room), end), held.dtype)
+            self.room[: self.size] = held
+        self.room[self.size : end] = values
+        self.size = end
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+#: Encodes some words: the ids of all, one after the other, and how many each has.
+Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
 class Kept:
-    """Encodings of words: sorted hashes to find them by, their bytes to compare, and their ids, each laid end to end. A word takes some 60 bytes."""
+    """Encodings of words: a table of places by hash (linear probing), and the words' bytes, to compare, and ids, each laid end to end.
+
+    A step costs what its words do, however many are kept. A word takes some 60 bytes.
+    """
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.bytes, self.ids = (np.zeros(0, np.uint8), np.zeros(1, np.int64)), (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        self.table = np.full(1 << max(1, (2 * KEPT_WORDS - 1).bit_length()), -1, np.int32)
+        self.hashes, self.bytes, self.byte_ends, self.ids, self.id_ends = map(Grown, (np.uint64, np.uint8, np.int64, np.int32, np.int64))
+        self.byte_ends.add(np.zeros(1, np.int64))
+        self.id_ends.add(np.zeros(1, np.int64))
 
-    def find(self, words: pa.LargeBinaryArray, encode: Callable[[bytes], Sequence[int]]) -> np.ndarray:
+    def find(self, words: pa.LargeBinaryArray, encode: Encode) -> np.ndarray:
         """The number of each of some different words; words that aren't there are put in."""
-        if len(self.hashes) + len(words) > KEPT_WORDS:
+        if self.hashes.size + len(words) > KEPT_WORDS:
             self.clear()
+        if 2 * len(words) > len(self.table):
+            self.table = np.full(1 << (2 * len(words) - 1).bit_length(), -1, np.int32)
         offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         data = np.frombuffer(words.buffers()[2], np.uint8)
         hashes, lengths = word_hashes(data, offsets[:-1], offsets[1:]), np.diff(offsets)
         out = np.full(len(words), -1)
-        at = np.searchsorted(self.hashes, hashes)
-        hit = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] == hashes) if len(self.hashes) else at[:0]
-        hit = hit[at[hit] < len(self.hashes)]
-        number = self.numbers[at[hit]]
-        # An equal hash proves nothing: lengths and bytes decide.
-        same = np.diff(self.bytes[1])[number] == lengths[hit]
-        hit, number = hit[same], number[same]
-        if len(hit):
-            sizes = lengths[hit]
-            differ = data[spread(offsets[hit], sizes)] != self.bytes[0][spread(self.bytes[1][number], sizes)]
-            same = np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0
-            out[hit[same]] = number[same]
+        last = np.uint64(len(self.table) - 1)
+        left, at = np.arange(len(words)), (hashes & last).astype(np.int64)
+        while len(left):
+            number = self.table[at]
+            met = np.flatnonzero(number >= 0)  # a word that meets an empty place isn't there
+            left, at, number = left[met], at[met], number[met]
+            # An equal hash proves nothing: lengths and bytes decide.
+            begin = self.byte_ends.held[number]
+            same = np.flatnonzero((self.hashes.held[number] == hashes[left]) & (self.byte_ends.held[number + 1] - begin == lengths[left]))
+            sizes = lengths[left[same]]
+            if len(same):
+                differ = data[spread(offsets[left[same]], sizes)] != self.bytes.held[spread(begin[same], sizes)]
+                same = same[np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0]
+            out[left[same]] = number[same]
+            others = out[left] < 0
+            left, at = left[others], at[others] + 1 & len(self.table) - 1
         new = np.flatnonzero(out < 0)
         if len(new):
-            coded = [encode(w) for w in words.take(pa.array(new)).to_pylist()]
-            out[new] = np.arange(len(self.hashes), len(self.hashes) + len(new))
-            both = np.concatenate((self.hashes, hashes[new]))
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.numbers = both[order], np.concatenate((self.numbers, out[new]))[order]
-            self.bytes = self._longer(self.bytes, data[spread(offsets[new], lengths[new])], lengths[new])
-            counts = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.ids = self._longer(self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(counts.sum())), counts)
+            ids, counts = encode(words.take(pa.array(new)).to_pylist())
+            out[new] = self.hashes.size + np.arange(len(new))
+            self._put(out[new], (hashes[new] & last).astype(np.int64))
+            self.hashes.add(hashes[new])
+            self.bytes.add(data[spread(offsets[new], lengths[new])])
+            self.byte_ends.add(self.byte_ends.held[-1] + np.cumsum(lengths[new]))
+            self.ids.add(ids)
+            self.id_ends.add(self.id_ends.held[-1] + np.cumsum(counts))
         return out
 
-    @staticmethod
-    def _longer(held: tuple[np.ndarray, np.ndarray], values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate((held[0], values)), np.concatenate((held[1], held[1][-1] + np.cumsum(lengths)))
+    def _put(self, numbers: np.ndarray, at: np.ndarray) -> None:
+        """Write numbers to the first empty place from ``at`` on; of those that meet at one, one stays and the others go on."""
+        while len(numbers):
+            empty = self.table[at] < 0
+            self.table[at[empty]] = numbers[empty]
+            others = self.table[at] != numbers
+            numbers, at = numbers[others], at[others] + 1 & len(self.table) - 1
+
+
+@functools.cache
+def _kept(path: str) -> Kept:
+    return Kept()
+
+
+def _by_tree(path: str) -> Encode:
+    ids = encoder(path).ids
 
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [ids(w) for w in words]
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.int32, int(counts.sum())), counts
 
-_kept: dict[str, Kept] = {}
+    return encode
 
 
-def encode_texts(texts: list[str], path: str, encode: Callable[[bytes], Sequence[int]] | None = None) -> Iterator[np.ndarray]:
+def encode_texts(texts: list[str], path: str, encode: Encode | None = None) -> Iterator[np.ndarray]:
     """The ids of each text; its words are encoded by ``encode``, or by the tree reduction."""
-    kept, encode = _kept.setdefault(path, Kept()), encode or encoder(path).ids
+    kept, encode = _kept(path), encode or _by_tree(path)
     for a, b in slices([len(t) for t in texts]):
         words = Words(texts[a:b])
         if not len(words.starts):
             yield from (np.zeros(0, np.int32) for _ in range(b - a))
             continue
         distinct, which = words.distinct()
-        at = kept.find(distinct, encode)[which]
-        ids, starts = kept.ids
-        lengths = np.diff(starts)[at]
-        out = ids[spread(starts[at], lengths)]
+        number = kept.find(distinct, encode)
+        starts = kept.id_ends.held[number]
+        lengths = (kept.id_ends.held[number + 1] - starts)[which]
+        out = kept.ids.held[spread(starts[which], lengths)]
         bounds = np.concatenate(([0], np.cumsum(lengths)))[words.doc_words]
         for i in range(b - a):
             yield out[bounds[i] : bounds[i + 1]]

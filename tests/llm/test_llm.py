@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -407,6 +408,39 @@ def test_packing(spark, odd, empty, docs):
     assert packing.pack(odd, TOKENIZER).groupBy().sum("length").first()[0] == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
 
 
+def test_words_are_encoded_many_at_a_time(monkeypatch):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    r = np.random.default_rng(12)
+    letters = np.array(list("abcé漢 1\0!'"))
+    texts = ["".join(r.choice(letters, 300)) for _ in range(30)] + ["", "\0", "\0\0 \0a", "it's\0"]
+    for some in (texts, [t.replace("\0", "") for t in texts]):
+        assert [x.tolist() for x in packing.token_ids(some, TOKENIZER)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    # A call of the library takes all new words of a step, and known words are not encoded again.
+    calls, encode = [], packing._library(TOKENIZER)
+    monkeypatch.setattr(bpe, "_kept", lambda path, kept=bpe.Kept(): kept)
+    told = lambda words: calls.append(len(words)) or encode(words)
+    assert [x.tolist() for _ in range(2) for x in bpe.encode_texts(texts, TOKENIZER, told)] == 2 * [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and calls[0] > 100
+
+
+@pytest.mark.parametrize("hashes", [1, 7, 1 << 40])
+def test_kept_words(monkeypatch, hashes):
+    real = bpe.word_hashes
+    monkeypatch.setattr(bpe, "word_hashes", lambda *a: real(*a) % np.uint64(hashes))  # few hashes: most words collide
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3000)
+    encode = lambda words: (np.frombuffer(b"".join(words), np.uint8).astype(np.int32), np.array([len(w) for w in words]))
+    kept, r = bpe.Kept(), np.random.default_rng(3)
+    for step in range(30):  # the store is emptied in between; one step has more words than are kept by itself
+        drawn = r.integers(0, 4000, 200).tolist() if step != 25 or hashes < 100 else range(3200)
+        words = sorted({b"w%d" % x for x in drawn})
+        room, size = kept.hashes.room, kept.hashes.size
+        at = kept.find(pa.array(words, pa.large_binary()), encode)
+        ends = kept.id_ends.held
+        assert len(set(at.tolist())) == len(words) and [bytes(kept.ids.held[ends[i] : ends[i + 1]].astype(np.uint8)) for i in at.tolist()] == words
+        # A step leaves what is kept where it is, but when it needs more room.
+        assert kept.hashes.room is room or kept.hashes.size > len(room) or kept.hashes.size < size or len(words) > 3000
+
+
 def test_neighbours_share_terms():
     r = np.random.default_rng(9)
     many = [r.integers(0, 5000, r.integers(1, 400)) for _ in range(60)]
