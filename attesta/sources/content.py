@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from .pdf_streams import IDENTITY, INVISIBLE, times, tokens
 # Operators that show text, those that aren't read, and the reasons for them.
 SHOWING, UNREAD = {"Tj", "TJ", "'", '"'}, {"'", '"', "BI", "sh"}
 UNSUPPORTED = "page_content_unsupported"
+#: Bytes of chunks whose codes a task looks up at once.
+BLOCK = 1_000_000
 ITEMS = "source {key}, stream long, op int, part int, skipped int, kind string, name string, matrix array<double>, ctm array<double>, chunk binary, reason string"
 
 
@@ -109,6 +113,76 @@ def scanned(streams: DataFrame) -> DataFrame:
     return streams.where("kind IN ('page', 'form')").select("source", F.col("stream").cast("long"), "content").mapInArrow(run, schema)
 
 
+def _codes(chunk: bytes, width: int) -> np.ndarray:
+    """The codes of a chunk; a rest that is no whole code is left out."""
+    raw = np.frombuffer(chunk, np.uint8)[: len(chunk) // width * width].reshape(-1, width)
+    out = np.zeros(len(raw), np.int64)
+    for column in raw.T:
+        out = out * 256 + column
+    return out
+
+
+def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of codes in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return at, table[at] == codes
+
+
+def _tables(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of each row's table, in order, and their states: 0 where one can be read, 1 without a glyph, 2 without a text."""
+    column = batch["table"]
+    flat, ends = column.values, column.offsets.to_pylist()
+    codes = flat.field("code").to_numpy(zero_copy_only=False).astype(np.int64)
+    no_glyph = pc.equal(pc.fill_null(flat.field("gid"), 0), 0).to_numpy(zero_copy_only=False)
+    no_text = pc.equal(pc.fill_null(flat.field("u"), ""), "").to_numpy(zero_copy_only=False)
+    states = np.where(no_glyph, 1, np.where(no_text, 2, 0))
+    for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False):
+        yield (codes[a:b], states[a:b]) if there else (codes[:0], states[:0])
+
+
+def _failing(rows: DataFrame) -> DataFrame:
+    """source, page, at, font_key, k, fault of the first code of each chunk that can't be read; chunks without one have no row."""
+    keys = ["source", "page", "at", "font_key"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", k int, fault string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, faults = [], [], []
+            for i, (chunk, width, (table, states)) in enumerate(zip(batch["chunk"], batch["code_bytes"].to_pylist(), _tables(batch), strict=True)):
+                place, there = _found(table, _codes(chunk.as_py(), width))
+                if not there.all() or states[place].any():
+                    state = np.where(there, states[place], 1) if len(table) else np.ones(len(place), np.int64)
+                    at.append(i)
+                    places.append(int(np.argmax(state > 0)))
+                    faults.append(("embedded_glyph_required", "agl_mapping_required")[state[places[-1]] - 1])
+            taken = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(taken) for c in keys], pa.array(places, pa.int32()), pa.array(faults, pa.string())], [*keys, "k", "fault"])
+
+    return rows.select(*keys, "code_bytes", "chunk", "table").mapInArrow(run, schema)
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """The rows with ``slots``, the place of each code of the chunk in the table, instead of the chunk: all of them are there."""
+    kept = [c for c in rows.columns if c not in ("chunk", "code_bytes", "stream", "op", "part", "at")]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", slots array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # Places take four bytes a code, so few chunks are handled at once.
+            block = np.cumsum(pc.binary_length(whole["chunk"]).to_numpy(zero_copy_only=False)) // BLOCK
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                batch = whole.slice(a, b - a)
+                found = [_found(table, _codes(chunk.as_py(), width))[0].astype(np.int32) for chunk, width, (table, _) in zip(batch["chunk"], batch["code_bytes"].to_pylist(), _tables(batch), strict=True)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], slots], [*kept, "slots"])
+
+    return rows.select(*kept, "code_bytes", "chunk").mapInArrow(run, schema)
+
+
 class Scan:
     """All streams of some documents, read once, and the forms in them."""
 
@@ -162,11 +236,13 @@ class Scan:
         """
         entered, met = forms.drawn(self.streams, self.entries, self.draws, self.outcomes)
         at = F.concat("path", F.array("op", "part"))
-        each = cut(entered.join(self.items, ["source", "stream"]).select("source", "page", "ctx", "kind", "name", "matrix", "chunk", "skipped", "reason", at.alias("at"), F.size("path").alias("depth")))
+        # Chunks stay where they are: they are met by their places once a step needs their bytes.
+        items = self.items.withColumn("size", F.length("chunk")).drop("ctm", "chunk")
+        each = cut(entered.join(items, ["source", "stream"]).select("source", "page", "stream", "ctx", "op", "part", "kind", "name", "matrix", "size", "skipped", "reason", at.alias("at"), F.size("path").alias("depth")))
         order = Window.partitionBy("source", "page").orderBy("at")
         counted = each.where("kind <> 'start' AND kind <> 'shows' AND kind <> 'state'")
         # An end stands for the operators behind the last item; states only count on.
-        steps = each.where("kind <> 'start' AND kind <> 'shows'").select("source", "page", "at", "kind", "ctx", "name", "matrix", "chunk", "reason", (F.sum("skipped").over(order) - 1).alias("operation"))
+        steps = each.where("kind <> 'start' AND kind <> 'shows'").select("source", "page", "at", "stream", "op", "part", "kind", "ctx", "name", "matrix", "size", "reason", (F.sum("skipped").over(order) - 1).alias("operation"))
         named = self.entries.where("kind = 'Font'").select("source", F.col("owner").alias("ctx"), "name", F.col("target").alias("font"))
         text = steps.where("kind = 'text'").drop("kind", "reason").join(named, ["source", "ctx", "name"], "left").join(fonts.select("source", "font", "code_bytes", F.col("reason").alias("load")), ["source", "font"], "left")
         firsts = text.where("font IS NOT NULL").groupBy("source", "page", "name").agg(F.min_by("font", "at").alias("first"))
@@ -174,20 +250,19 @@ class Scan:
         load = F.when(F.col("font").isNotNull() & F.col("code_bytes").isNull() & F.col("load").isNull(), "embedded_font_type_unsupported").otherwise(F.col("load"))
         text = cut(text.join(firsts, ["source", "page", "name"], "left").withColumns({"font_key": key, "load": load}).drop("first", "ctx"))
         width = F.coalesce("code_bytes", F.lit(1))
-        # A chunk is cut into its codes in one pass; a rest that is no whole code is left out.
-        each_code = F.regexp_extract_all(F.hex("chunk"), F.concat(F.lit("(.{"), (width * 2).cast("string"), F.lit("})")), F.lit(1))
         usable = text.where("font IS NOT NULL AND load IS NULL")
-        shown = usable.select("source", "page", "at", "font_key", "font", F.posexplode(each_code).alias("k", "digits")).withColumn("code", F.conv("digits", 16, 10).cast("int")).drop("digits")
-        shown = shown.join(codes.select("source", "font", "code", F.col("name").alias("glyph"), "gid", "u"), ["source", "font", "code"], "left")
-        fault = F.when(F.col("gid").isNull() | (F.col("gid") == 0), "embedded_glyph_required").when(F.coalesce(F.col("u") == "", F.lit(True)), "agl_mapping_required")
-        shown = cut(shown.withColumn("fault", fault))
-        failed = shown.where("fault IS NOT NULL").groupBy("source", "page", "font_key").agg(F.min(F.struct("at", "k", "fault")).alias("f")).select("source", "page", "font_key", F.col("f.at").alias("failed_at"), F.col("f.fault").alias("fault"))
+        used = usable.select("source", "font").distinct()
+        each_code = F.sort_array(F.collect_list(F.struct("code", "name", "gid", "u")))
+        tables = cut(codes.where("code IS NOT NULL").join(used, ["source", "font"], "left_semi").groupBy("source", "font").agg(each_code.alias("table")))
+        chunks = self.items.where("kind = 'text'").select("source", "stream", "op", "part", "chunk")
+        with_bytes = lambda rows: rows.join(chunks, ["source", "stream", "op", "part"]).join(tables, ["source", "font"], "left")
+        failed = cut(_failing(with_bytes(usable.select("source", "page", "stream", "op", "part", "at", "font_key", "font", "code_bytes"))).groupBy("source", "page", "font_key").agg(F.min(F.struct("at", "k", "fault")).alias("f")).select("source", "page", "font_key", F.col("f.at").alias("failed_at"), F.col("f.fault").alias("fault")))
         text = text.join(failed, ["source", "page", "font_key"], "left")
         live = F.col("load").isNull() & (F.col("failed_at").isNull() | (F.col("at") <= F.col("failed_at")))
         # A font that is out already counts by bytes.
-        taken = F.when(live, F.floor(F.length("chunk") / width)).otherwise(F.length("chunk"))
+        taken = F.when(live, F.floor(F.col("size") / width)).otherwise(F.col("size"))
         text = cut(text.withColumn("taken", taken.cast("long")).withColumn("base", F.sum("taken").over(order) - F.col("taken")))
-        own = text.select("source", "page", "at", F.when(F.col("name").isNull(), "text_font_missing").when(F.col("font").isNull(), "font_resource_missing").when(live & (F.length("chunk") % width != 0), "font_code_width_mismatch").alias("reason"))
+        own = text.select("source", "page", "at", F.when(F.col("name").isNull(), "text_font_missing").when(F.col("font").isNull(), "font_resource_missing").when(live & (F.col("size") % width != 0), "font_code_width_mismatch").alias("reason"))
         begun = each.where("kind = 'start'").select("source", "page", F.slice("at", F.lit(1), F.size("at") - 2).alias("at"), "reason")
         trace = begun.unionAll(each.where("kind = 'fault'").select("source", "page", "at", "reason")).unionAll(own.where("reason IS NOT NULL")).unionAll(met.select("source", "page", F.col("path").alias("at"), "reason"))
         _, drawn = self.opaque_regions()
@@ -201,9 +276,10 @@ class Scan:
         told = pages.join(drawn.select("source", "page", F.col("reason").alias("early")), ["source", "page"], "left").join(late, ["source", "page"], "left").join(some, ["source", "page"], "left").join(busy, ["source", "page"], "left")
         silent = F.when(F.col("some").isNull() & (F.coalesce("ops", F.lit(0)) > 0), UNSUPPORTED)
         faults = cut(told.select("source", "page", F.coalesce("early", "late", silent).alias("reason")).where("reason IS NOT NULL"))
-        places = text.select("source", "page", "at", "base", "operation", "matrix")
-        glyphs = shown.join(failed.select("source", "page", "font_key"), ["source", "page", "font_key"], "left_anti").join(places, ["source", "page", "at"])
-        glyphs = glyphs.select("source", "page", (F.col("base") + F.col("k")).alias("sequence"), "operation", "font_key", "font", "code", F.col("glyph").alias("name"), "gid", "u", "matrix")
+        sound = text.where("font IS NOT NULL AND load IS NULL AND failed_at IS NULL").join(faults, ["source", "page"], "left_anti")
+        glyphs = _slots(with_bytes(sound.select("source", "page", "stream", "op", "part", "at", "font_key", "font", "code_bytes", "base", "operation", "matrix")))
+        glyphs = glyphs.select("*", F.posexplode("slots").alias("k", "slot")).withColumn("c", F.get("table", F.col("slot")))
+        glyphs = glyphs.select("source", "page", (F.col("base") + F.col("k")).alias("sequence"), "operation", "font_key", "font", "c.code", "c.name", "c.gid", "c.u", "matrix")
         gone = F.flatten(F.collect_list(F.when(F.col("taken") > 0, F.sequence(F.col("base"), F.col("base") + F.col("taken") - 1)).otherwise(F.array().cast("array<long>"))))
         exclusions = out.groupBy("source", "page", "font_key", "font", "reason").agg(F.sort_array(F.collect_set("operation")).alias("operations"), F.sort_array(gone).alias("sequences"))
-        return glyphs.join(faults, ["source", "page"], "left_anti"), exclusions.join(faults, ["source", "page"], "left_anti"), faults
+        return glyphs, exclusions.join(faults, ["source", "page"], "left_anti"), faults
