@@ -1,4 +1,4 @@
-"""Which glyph and which text a font's codes have: joins of its encoding, its program and its ToUnicode map.
+"""Which glyph and which text a font's codes have, by its encoding, its program and its ToUnicode map.
 
 ``fonts``: source, font, subtype, encoding, base_encoding, differences (numbers and names as text, in order), descendants,
 descendant_subtype, cid_to_gid, descriptor (whether there is one), file (FontFile2 or FontFile3), file_subtype, program, to_unicode.
@@ -7,11 +7,15 @@ Each subtype has rules of its own; the first one that a font breaks is its reaso
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import font_programs
-from .rounds import cut
+from ..sources import font_programs, pdf_streams
 
 # Reasons, and the order in which the Unicode subtables of an sfnt are asked: (platform, encoding).
 TYPE, TYPE1C, ENCODING = "embedded_font_type_unsupported", "embedded_type1c_font_required", "font_encoding_unsupported"
@@ -22,9 +26,11 @@ UNICODE_TABLES = [(3, 10), (0, 6), (0, 4), (3, 1), (0, 3), (0, 2), (0, 1), (0, 0
 FONT = ["source", "font"]
 
 
-def _first(*rules: tuple[Column, str | Column]) -> Column:
-    """The reason of the first rule that is broken; a rule that can't be told is."""
-    return F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), reason if isinstance(reason, Column) else F.lit(reason)) for broken, reason in rules])
+#: Small fonts (by bytes of program and map) that a worker keeps the codes of, as they may be embedded again; rows of codes that leave a task at once.
+KEPT, SMALL, ROWS = 256, 16_384, 50_000
+CODES = "code int, name string, gid int, u string, method string"
+_BASES, _NAMES = font_programs.base_encodings(), font_programs.glyph_names()
+_NUMBER, _SPELT = re.compile(r"^-?[0-9]+$"), re.compile(r"^uni((?:[0-9A-F]{4})+)$|^u([0-9A-F]{4,6})$")
 
 
 def names_table(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFrame:
@@ -58,48 +64,129 @@ def encodings(fonts: DataFrame) -> DataFrame:
     return last.withColumn("bad", F.coalesce(~F.col("code").between(0, 255), F.lit(True)))
 
 
+def _overlaid(base: str | None, differences: list[str | None]) -> tuple[dict[int, str], bool]:
+    """The names of a font's codes, and whether a name has no code from 0 to 255 (see ``encodings``)."""
+    out, wrong, at = dict(_BASES.get(base, {})), False, None
+    for x in differences:
+        if x is not None and _NUMBER.search(x):
+            at = int(x) if -(2**31) <= int(x) < 2**31 else None
+            continue
+        if x is not None:
+            if at is not None and 0 <= at <= 255:
+                out[at] = x.removeprefix("/")
+            else:
+                wrong = True
+        at = None if at is None else at + 1
+    return out, wrong
+
+
+def _text(name: str, names: dict[str, str]) -> str | None:
+    """What a glyph's name says (see ``named_text``)."""
+    stem = name.split(".")[0]
+    if stem in names:
+        return names[stem]
+    found = _SPELT.search(stem)
+    points = [int(d, 16) for d in (re.findall("....", found[1]) if found[1] else [found[2]])] if found else []
+    return "".join(map(chr, points)) if points and all(p < 0x110000 and not 0xD800 <= p < 0xE000 for p in points) else None
+
+
+def _true_type(texts: dict[int, str], rows: list[tuple]) -> tuple[dict[int, int | None], bool]:
+    """The glyph of each code, and whether subtables differ: the one that all agree on, else that of its text in the first Unicode subtable that is there."""
+    rank = {key: k for k, key in enumerate(UNICODE_TABLES)}
+    direct, ranked = {}, {}
+    for platform, encoding, code, gid in rows:
+        direct.setdefault(code, set()).add(gid)
+        if (platform, encoding) in rank:
+            by_text = ranked.setdefault(rank[platform, encoding], {})
+            by_text[code] = min(gid, by_text.get(code, gid))
+    unicode_gids = ranked[min(ranked)] if ranked else {}
+    out = {c: min(direct[c]) if c in direct else unicode_gids.get(ord(u)) if len(u) == 1 else None for c, u in texts.items()}
+    return out, any(len(direct.get(c, ())) > 1 for c in texts)
+
+
+def _resolved(extra: tuple, subtype: str | None, encoding: str | None, base: str | None, differences: tuple, descendants: int | None, descendant: str | None, cid_to_gid: str | None, descriptor: bool | None, file: str | None, file_subtype: str | None, program: bytes | None, to_unicode: bytes | None) -> tuple[str | None, list[tuple]]:
+    """A font's reason, or its codes as (code, name, gid, u, method)."""
+    n_glyphs, program_reason, rows, names = None, font_programs.INVALID, [], []
+    if file in ("FontFile2", "FontFile3") and program is not None:
+        try:
+            if file == "FontFile2":
+                n_glyphs, rows = font_programs.sfnt(program)
+            else:
+                names = font_programs.cff(program)
+                n_glyphs = len(names)
+            program_reason = None
+        except font_programs._FAULTS:
+            n_glyphs, rows, names = None, [], []
+    texts, map_reason = ({}, None) if to_unicode is None else pdf_streams.to_unicode(to_unicode, 2 if subtype == "/Type0" else 1, simple=subtype != "/Type0")
+    texts = texts or {}
+    first = lambda *rules: next((reason for broken, reason in rules if broken), None)
+    if subtype == "/Type1":
+        overlaid, wrong = _overlaid(base, differences)
+        reason = first((not descriptor, TYPE1C), (file != "FontFile3", TYPE1C), (file_subtype != "/Type1C", TYPE1C), (program_reason, program_reason), (base not in _BASES, ENCODING), (wrong, ENCODING), (map_reason, map_reason))
+        gids = {n: g for g, n in enumerate(names) if n}
+        texts_of = _NAMES | dict(extra)
+        return reason, [(c, n, gids[n], _text(n, texts_of), "agl") for c, n in overlaid.items() if n in gids] if not reason else []
+    if subtype == "/Type0":
+        beyond = n_glyphs is not None and any(not 0 < c < n_glyphs for c in texts)
+        reason = first(
+            (encoding != "/Identity-H", IDENTITY), (descendants != 1, CID), (descendant != "/CIDFontType2", CID), (not descriptor, CID), (file != "FontFile2", CID), (program_reason, program_reason), (map_reason, map_reason),
+            (not texts, TYPE0_MAP), (cid_to_gid is not None and cid_to_gid != "/Identity", CID_MAP), (beyond, CID_GLYPHS),
+        )
+        return reason, [(c, f"gid{c}", c, u, "to_unicode") for c, u in texts.items()] if not reason else []
+    if subtype == "/TrueType":
+        gids, ambiguous = _true_type(texts, rows)
+        reason = first((not descriptor, TRUETYPE), (file != "FontFile2", TRUETYPE), (map_reason, map_reason), (not texts, TRUETYPE_MAP), (program_reason, program_reason), (ambiguous, AMBIGUOUS), (None in gids.values(), INCOMPLETE))
+        return reason, [(c, f"gid{gids[c]}", gids[c], u, "to_unicode") for c, u in texts.items()] if not reason else []
+    return TYPE, []
+
+
+@lru_cache(maxsize=KEPT)
+def _kept(*font) -> tuple[str | None, list[tuple]]:
+    return _resolved(*font)
+
+
+_OF = ["subtype", "encoding", "base_encoding", "differences", "descendants", "descendant_subtype", "cid_to_gid", "descriptor", "file", "file_subtype", "program", "to_unicode"]
+
+
 def loaded(fonts: DataFrame, extra_names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """source, font, code_bytes, trace_font and reason of each font, and source, font, code, name, gid, u, method of the codes of sound ones."""
-    told = cut(font_programs.programs(fonts))
-    mapped = cut(font_programs.maps(fonts))
-    program = told.where("what = 'program'").select(*FONT, F.col("gid").alias("n_glyphs"), F.col("reason").alias("program_reason"), F.lit(True).alias("read"))
-    counts = mapped.where("what = 'maps'").select(*FONT, F.col("gid").alias("n_codes"), F.col("reason").alias("map_reason"))
-    base = fonts.drop("program", "to_unicode").join(program, FONT, "left").join(counts, FONT, "left")
-    texts = mapped.where("what = 'map'").select(*FONT, "code", F.col("name").alias("u"))
-
-    encoded = cut(encodings(fonts.where("subtype = '/Type1'")))
-    names = told.where("what = 'glyph'").groupBy(*FONT, "name").agg(F.max("gid").alias("gid"))
-    type1 = named_text(encoded.where("NOT bad").select(*FONT, "code", "name").join(names, [*FONT, "name"]), extra_names).select(*FONT, "code", "name", "gid", "u", F.lit("agl").alias("method"))
-
-    # A TrueType code's glyph: the one that all subtables agree on, else that of its text in the first Unicode subtable that is there.
-    cmap = told.where("what = 'cmap'")
-    direct = texts.join(cmap.select(*FONT, "code", "gid"), [*FONT, "code"], "left").groupBy(*FONT, "code", "u").agg(F.count_distinct("gid").alias("kinds"), F.min("gid").alias("gid"))
-    rank = F.coalesce(*[F.when((F.col("platform") == p) & (F.col("encoding") == e), k) for k, (p, e) in enumerate(UNICODE_TABLES)])
-    ranked = cmap.withColumn("rank", rank).where("rank IS NOT NULL")
-    best = ranked.groupBy(*FONT).agg(F.min("rank").alias("rank"))
-    unicode_gids = ranked.join(best, [*FONT, "rank"]).select(*FONT, F.col("code").alias("point"), F.col("gid").alias("by_text"))
-    point = F.when(F.char_length("u") == 1, F.conv(F.hex(F.encode("u", "UTF-32")), 16, 10).cast("int"))
-    true_type = direct.withColumn("point", point).join(unicode_gids, [*FONT, "point"], "left").select(*FONT, "code", "u", "kinds", F.coalesce("gid", "by_text").alias("gid"))
-    verdicts = true_type.groupBy(*FONT).agg(F.max(F.col("kinds") > 1).alias("ambiguous"), F.max(F.col("gid").isNull()).alias("incomplete"))
-    beyond = texts.join(program, FONT).groupBy(*FONT).agg(F.max(~F.coalesce((F.col("code") > 0) & (F.col("code") < F.col("n_glyphs")), F.lit(False))).alias("beyond"))
-    wrong = encoded.where("bad").select(*FONT).distinct().withColumn("wrong", F.lit(True))
-
-    base = base.join(verdicts, FONT, "left").join(beyond, FONT, "left").join(wrong, FONT, "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    unread = (F.col("program_reason").isNotNull() | ~flag("read"), F.coalesce("program_reason", F.lit(font_programs.INVALID)))
-    bad_map = (F.col("map_reason").isNotNull(), F.col("map_reason"))
-    none = F.coalesce("n_codes", F.lit(0)) == 0
-    of_type1 = _first((~flag("descriptor"), TYPE1C), (F.col("file") != "FontFile3", TYPE1C), (F.col("file_subtype") != "/Type1C", TYPE1C), unread, (~F.col("base_encoding").isin(*font_programs.base_encodings()), ENCODING), (flag("wrong"), ENCODING), bad_map)
-    of_type0 = _first((F.col("encoding") != "/Identity-H", IDENTITY), (F.col("descendants") != 1, CID), (F.col("descendant_subtype") != "/CIDFontType2", CID), (~flag("descriptor"), CID), (F.col("file") != "FontFile2", CID), unread, bad_map, (none, TYPE0_MAP), (F.coalesce(F.col("cid_to_gid") != "/Identity", F.lit(False)), CID_MAP), (flag("beyond"), CID_GLYPHS))
-    of_true_type = _first((~flag("descriptor"), TRUETYPE), (F.col("file") != "FontFile2", TRUETYPE), bad_map, (none, TRUETYPE_MAP), unread, (flag("ambiguous"), AMBIGUOUS), (flag("incomplete"), INCOMPLETE))
-    subtype = F.col("subtype")
-    reason = F.when(subtype == "/Type1", of_type1).when(subtype == "/Type0", of_type0).when(subtype == "/TrueType", of_true_type).otherwise(TYPE)
+    """source, font, code_bytes, trace_font and reason of each font, and source, font, code, name, gid, u, method of the codes of sound ones.
+
+    All that a font's codes depend on is in its own row: each font is read by itself, and nothing is shuffled, broadcast or kept.
+    """
+    extra = tuple(sorted((extra_names or {}).items()))
+    kind = {c: fonts.schema[c].dataType.simpleString() for c in FONT}
+    keys = f"source {kind['source']}, font {kind['font']}"
+    own = fonts.select(*FONT, *_OF)
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[str | None, list[tuple]]]]:
+        columns = [batch[c].to_pylist() for c in _OF]
+        for k, values in enumerate(zip(*columns, strict=True)):
+            subtype, encoding, base, differences, *rest = values
+            small = sum(len(x) for x in rest[-2:] if x is not None) <= SMALL
+            yield k, (_kept if small else _resolved)(extra, subtype, encoding, base, tuple(differences or ()), *rest)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in (*FONT, "subtype", "base_font")], pa.array([r for _, (r, _) in each(batch)], pa.string())], [*FONT, "subtype", "base_font", "reason"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (_, codes) in each(batch):
+                at += [k] * len(codes)
+                rows += codes
+                if len(rows) >= ROWS:
+                    yield _coded(batch, at, rows)
+                    at, rows = [], []
+            yield _coded(batch, at, rows)
+
     trace = F.substring(F.regexp_replace("base_font", r"^/?(?:[^+]*\+)?", ""), 1, 24)
-    out = cut(base.select(*FONT, F.when(subtype == "/Type0", 2).otherwise(1).alias("code_bytes"), trace.alias("trace_font"), reason.alias("reason")))
-
-    sound = out.where("reason IS NULL").select(*FONT)
-    of = lambda kind: fonts.where(F.col("subtype") == kind).select(*FONT).join(sound, FONT)
-    mark = lambda g: F.concat(F.lit("gid"), g.cast("string"))
-    type0 = texts.join(of("/Type0"), FONT).select(*FONT, "code", mark(F.col("code")).alias("name"), F.col("code").alias("gid"), "u", F.lit("to_unicode").alias("method"))
-    true_type = true_type.join(of("/TrueType"), FONT).select(*FONT, "code", mark(F.col("gid")).alias("name"), "gid", "u", F.lit("to_unicode").alias("method"))
-    return out, type1.join(of("/Type1"), FONT).unionAll(type0).unionAll(true_type)
+    told = fonts.select(*FONT, "base_font", *_OF).mapInArrow(tell, f"{keys}, subtype string, base_font string, reason string")
+    out = told.select(*FONT, F.when(F.col("subtype") == "/Type0", 2).otherwise(1).alias("code_bytes"), trace.alias("trace_font"), "reason")
+    return out, own.mapInArrow(spell, f"{keys}, {CODES}")
+
+
+def _coded(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    taken, names = pa.array(at, pa.int32()), [c.split()[0] for c in CODES.split(", ")]
+    columns = [pa.array(c, pa.int32() if n in ("code", "gid") else pa.string()) for c, n in zip(list(zip(*rows, strict=True)) or [()] * len(names), names, strict=True)]
+    return pa.RecordBatch.from_arrays([*[batch[c].take(taken) for c in FONT], *columns], [*FONT, *names])

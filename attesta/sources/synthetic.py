@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -124,20 +125,25 @@ FONTS = "source long, font long, n long, subtype string, base_font string, encod
 
 
 def _font(source: int, font: int, n: int) -> tuple:
-    """One font by the rules that ``fonts`` states."""
+    """One font by the rules that ``fonts`` states: they go by the remainders of n by 2, 3, 5 and 6."""
+    return source, font, n, *_made(font, n % 30)
+
+
+@lru_cache(maxsize=90)
+def _made(font: int, n: int) -> tuple:
     many, fault = n % 5 + 2, n % 6
     texts = [chr(ALPHA + i) for i in range(many)]
     if font == FONT1 and fault != 5:
         encoding = "/MacExpertEncoding" if fault == 1 else ("/StandardEncoding", "/WinAnsiEncoding", "/MacRomanEncoding")[n % 3]
         differences = ["/alpha"] if fault == 2 else ["1", "/alpha", "/uni03B2", "9", "/absent"]
         program = b"\1\0" if fault == 4 else cff([*range(1, 96), 391, 392], ["alpha", "uni03B2"], n % 3)
-        return (source, font, n, "/Type1", "/ABCDEF+Made+One", None, encoding, differences, None, None, None, fault != 3, "FontFile3", "/Type1C", program, None)
+        return ("/Type1", "/ABCDEF+Made+One", None, encoding, differences, None, None, None, fault != 3, "FontFile3", "/Type1C", program, None)
     if font == FONT1:
-        return (source, font, n, "/Type3", "/Other", None, None, [], None, None, None, False, None, None, None, None)
+        return ("/Type3", "/Other", None, None, [], None, None, None, False, None, None, None, None)
     if font == FONT2:
         codes = dict(enumerate(["0", *texts, "x", "y", "z", "v", "w", "q", "r", "s"][:11], 1))
         program = sfnt(12 if fault != 1 else 11, [(3, 1, 4, {ord(u): c for c, u in codes.items()})])
-        return (source, font, n, "/Type0", "/Made-Two", "/Identity-V" if fault == 2 else "/Identity-H", None, [], 2 if fault == 3 else 1, "/CIDFontType2", "Stream" if fault == 4 else "/Identity" if n % 2 else None, True, "FontFile2", None, program, None if fault == 5 else to_unicode(codes, 2))
+        return ("/Type0", "/Made-Two", "/Identity-V" if fault == 2 else "/Identity-H", None, [], 2 if fault == 3 else 1, "/CIDFontType2", "Stream" if fault == 4 else "/Identity" if n % 2 else None, True, "FontFile2", None, program, None if fault == 5 else to_unicode(codes, 2))
     by_code, by_text = {65 + i: i + 1 for i in range(many)}, {ALPHA + i: i + 1 for i in range(many)}
     tables = [(1, 0, 0, by_code), (3, 1, (4, 12)[n % 2], by_text)]
     if fault == 1:
@@ -147,7 +153,7 @@ def _font(source: int, font: int, n: int) -> tuple:
     if fault == 3:
         tables = [(1, 0, 0, {65: 1}), (3, 1, 4, {ALPHA: 1})]
     program = b"\0" * 5 if fault == 4 else sfnt(many + 1, tables)
-    return (source, font, n, "/TrueType", "/Made-Three", None, None, [], None, None, None, True, "FontFile2", None, program, None if fault == 5 else to_unicode({65 + i: u for i, u in enumerate(texts)}, 1))
+    return ("/TrueType", "/Made-Three", None, None, [], None, None, None, True, "FontFile2", None, program, None if fault == 5 else to_unicode({65 + i: u for i, u in enumerate(texts)}, 1))
 
 
 def fonts(rows: DataFrame) -> DataFrame:
