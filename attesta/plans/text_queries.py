@@ -56,7 +56,8 @@ def h41_h44_h53_h58_h62_identity(spark, sf_dir):
 @query()
 def b06_h24_h25_math_spans(spark, sf_dir):
     rows = _docs(spark, sf_dir).where(F.col("text").contains("$"))
-    return rows.select("doc_id", dollars.delimiters_balanced_udf("text").alias("balanced"), F.explode_outer(dollars.math_spans_udf("text")).alias("s")).select("doc_id", "balanced", "s.*")
+    told = rows.select("doc_id", dollars.balanced_spans_udf("text").alias("d")).select("doc_id", "d.*")
+    return told.select("doc_id", "balanced", F.explode_outer("spans").alias("s")).select("doc_id", "balanced", "s.*")
 
 
 @query()
