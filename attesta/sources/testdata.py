@@ -29,12 +29,20 @@ boxes AS (
 )"""
 
 
+#: Characters of a line.
+WIDTH = 80
+
+
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, u, line, col: the characters of each document as glyphs of 5 x 10 on a grid of 6 x 12, on lines of 80."""
+    return glyphs_of(table(spark, sf_dir, "documents"))
+
+
+def glyphs_of(docs: DataFrame) -> DataFrame:
     chars = F.split("text", "")
     return (
-        table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chars).alias("seq", "u")).where("u <> ''")
-        .select("doc_id", F.col("seq").cast("long").alias("seq"), "u", F.floor(F.col("seq") / 80).alias("line"), (F.col("seq") % 80).cast("long").alias("col"))
+        docs.select("doc_id", F.posexplode(chars).alias("seq", "u")).where("u <> ''")
+        .select("doc_id", F.col("seq").cast("long").alias("seq"), "u", F.floor(F.col("seq") / WIDTH).alias("line"), (F.col("seq") % WIDTH).cast("long").alias("col"))
     )
 
 
