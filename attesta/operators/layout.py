@@ -6,10 +6,14 @@ group; pages never touch each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from math import isfinite
 from statistics import median
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.latex import EQUIVALENT
@@ -20,6 +24,8 @@ ATOMS = set("()[]{}_")
 BOUNDARIES = set(",.;")
 ANNOTATED = set("=≈≝")
 STACKED = {"productdisplay", "producttext", "radicalBig", "summationdisplay", "summationtext"}
+#: Glyphs of regions that a task holds at once.
+GLYPHS = 100_000
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -69,15 +75,31 @@ class Region:
 
 
 def fold(candidates: list[Region]) -> list[Region]:
-    """Candidates one by one: each takes in the groups that it joins and goes last, and is not tested again."""
-    groups: list[Region] = []
-    for new in candidates:
-        met = [g for g in groups if new.joins(g)]
+    """Candidates one by one: each takes in the groups that it joins and goes last, and is not tested again.
+
+    Only groups that hold one of its glyphs, that stand right before or behind it, or that lie level with it can be joined.
+    """
+    band = max([c.frame.y1 - c.frame.y0 for c in candidates], default=0.0) or 1.0
+    placed = all(isfinite(y) for c in candidates for y in (c.frame.y0, c.frame.y1))
+    levels = lambda frame: range(int(frame.y0 // band), int(frame.y1 // band) + 1) if placed else (0,)
+    groups: dict[int, Region] = {}
+    owner: dict[int, int] = {}
+    level: dict[int, set[int]] = {}
+    for number, new in enumerate(candidates):
+        near = {owner[s] for s in new.glyphs if s in owner} | {owner[s] for s in (new.first - 1, new.last + 1) if s in owner}
+        for k in levels(new.frame):
+            near |= level.get(k, set())
+        met = [g for g in sorted(near) if new.joins(groups[g])]
         if met:
-            groups = [g for g in groups if not any(g is m for m in met)]
-            new = Region({**new.glyphs, **{s: g for m in met for s, g in m.glyphs.items()}})
-        groups.append(new)
-    return sorted(groups, key=lambda g: g.first)
+            new = Region({**new.glyphs, **{s: x for g in met for s, x in groups[g].glyphs.items()}})
+            for g in met:
+                for k in levels(groups.pop(g).frame):
+                    level[k].discard(g)
+        groups[number] = new
+        owner.update(dict.fromkeys(new.glyphs, number))
+        for k in levels(new.frame):
+            level.setdefault(k, set()).add(number)
+    return sorted(groups.values(), key=lambda g: g.first)
 
 
 def without_open_delimiters(glyphs: list[dict]) -> list[dict]:
@@ -141,11 +163,104 @@ def detect_page(glyphs: list[dict], math_fonts: set[str]) -> list[list[dict]]:
     lines: dict[tuple[int, int], list[dict]] = {}
     for g in glyphs:
         lines.setdefault((g["block"], g["line"]), []).append(g)
-    candidates = [r for key in sorted(lines) for r in line_candidates(lines[key], math_fonts)] + annotations(glyphs)
+    return _trimmed([r for key in sorted(lines) for r in line_candidates(lines[key], math_fonts)] + annotations(glyphs))
+
+
+def _trimmed(candidates: list[Region]) -> list[list[dict]]:
     trimmed = [without_open_delimiters([r.glyphs[s] for s in sorted(r.glyphs)]) for r in fold(candidates)]
     return [t for t in trimmed if t]
 
 
+class _Kinds(dict):
+    """By code point: the kind's first letter, of a glyph in no font of mathematics."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = kind(chr(code), False)[0]
+        return found
+
+
+_kinds = _Kinds()
+
+
+@dataclass
+class Page:
+    """A page by columns, in the order of blocks, lines and glyphs; rows are made of those glyphs only that a region takes in."""
+
+    text: str
+    math: np.ndarray
+    block: np.ndarray
+    line: np.ndarray
+    span: np.ndarray
+    size: np.ndarray
+    oy: np.ndarray
+    x0: np.ndarray
+    x1: np.ndarray
+    row: Callable[[int], dict]
+
+
+def detect_columns(page: Page) -> list[list[dict]]:
+    """What ``detect_page`` gives of the same glyphs."""
+    n = len(page.text)
+    kinds = np.where(page.math, ord("s"), np.frombuffer(page.text.translate(_kinds).encode("ascii"), np.uint8))
+    breaks = np.ones(n, bool)
+    breaks[1:] = (np.diff(page.block) != 0) | (np.diff(page.line) != 0)
+    begins = breaks.copy()
+    begins[1:] |= (np.diff(kinds) != 0) | (np.diff(page.span) != 0)
+    at = np.flatnonzero(begins)
+    ends = np.append(at[1:], n)
+    of, new_line = kinds[at], breaks[at]
+    seed = of == ord("s")
+    linked = seed | (of == ord("a"))
+    # A word between two such tokens of its line: if, or in front of a bracket.
+    words = np.flatnonzero((of[1:-1] == ord("p")) & linked[:-2] & linked[2:] & ~new_line[1:-1] & ~new_line[2:]) + 1
+    joined = [i for i in words.tolist() if page.text[ends[i]] == "(" or (ends[i] - at[i] <= 2 and page.text[at[i] : ends[i]].casefold() == "if")]
+    linked[joined] = True
+    starts = np.flatnonzero(linked & (new_line | ~np.append(False, linked[:-1])))
+    stops = np.flatnonzero(linked & (np.append(new_line[1:], True) | ~np.append(linked[1:], False)))
+    seeds = np.append(0, np.cumsum(seed))
+    held = seeds[stops + 1] > seeds[starts]
+    candidates = [Region.of([*map(page.row, range(a, b))]) for a, b in zip(at[starts[held]].tolist(), ends[stops[held]].tolist(), strict=True)]
+    return _trimmed(candidates + _annotations(page))
+
+
+def _annotations(page: Page) -> list[Region]:
+    signs = sorted(i for sign in ANNOTATED if sign in page.text for i, u in enumerate(page.text) if u == sign)
+    if not signs:
+        return []
+    small = np.flatnonzero(page.size < 0.8 * page.size[signs].max())
+    block, line, size, oy, middle = page.block[small], page.line[small], page.size[small], page.oy[small], (page.x0[small] + page.x1[small]) / 2
+    out = []
+    for i in signs:
+        own, reach = page.size[i], 0.25 * (page.x1[i] - page.x0[i])
+        up = page.oy[i] - oy
+        above = (block == page.block[i]) & (line != page.line[i]) & (size < 0.8 * own) & (0.1 * own < up) & (up <= own) & (page.x0[i] - reach <= middle) & (middle <= page.x1[i] + reach)
+        if above.any():
+            out.append(Region.of([page.row(i), *map(page.row, small[above].tolist())]))
+    return out
+
+
+def detect_held(rows: DataFrame, page_of: Callable[..., Page], key: str, number: int = 1) -> DataFrame:
+    """What ``detect`` gives where a row holds a whole page: ``page_of`` makes it of the row's other columns. Nothing is shuffled."""
+    columns = [c for c in rows.columns if c != key]
+    kinds = {"region_id": pa.string(), "seqs": pa.list_(pa.int64()), "text": pa.string(), "x0": pa.float64(), "y0": pa.float64(), "x1": pa.float64(), "y1": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out, glyphs = [], [], 0
+            for k in range(len(batch)):
+                for region in detect_columns(page_of(*[batch[c][k].as_py() for c in columns])):
+                    f = Frame.around(region)
+                    at.append(k)
+                    out.append((f"{number}:{region[0]['seq']}", [g["seq"] for g in region], "".join(g["u"] for g in region), f.x0, f.y0, f.x1, f.y1))
+                    glyphs += len(region)
+                if glyphs > GLYPHS or k == len(batch) - 1:
+                    told = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(at, pa.int32())), pa.array([number] * len(at), pa.int64()), *told], [key, "page", *kinds])
+                    at, out, glyphs = [], [], 0
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, page long, region_id string, seqs array<long>, text string, x0 double, y0 double, x1 double, y1 double")
+
+
 def detect(glyphs: DataFrame, math_fonts: list[str], keys: str = "doc_id long, page long") -> DataFrame:
     """Regions per page: keys, region_id (page:first seq), seqs, text, x0, y0, x1, y1."""
     names = [k.split()[0] for k in keys.split(", ")]
